@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from lodestone.llm import sharding
+from lodestone.llm import decontamination, matroska, sharding
 from lodestone.llm.tables import read
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.interleave(read(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark, sf_dir):
+    return matroska.digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
