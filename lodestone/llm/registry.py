@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, matroska, sharding
+from lodestone.llm import decontamination, matroska, sharding, urlrules
 from lodestone.llm.tables import read
 
 
@@ -18,9 +18,13 @@ def op7_media_columns(spark, sf_dir):
     return matroska.digests(read(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark, sf_dir):
+    return urlrules.judge(read(spark, sf_dir, "pages"), urlrules.LIST_RULES + urlrules.PATTERN_RULES)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {"op4_sharding": sharding.ORACLE_SQL}
+    return {"op4_sharding": sharding.ORACLE_SQL, "op10_url_filter": urlrules.oracle_sql(urlrules.LIST_RULES + urlrules.PATTERN_RULES)}
