@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, matroska, sharding, urlrules
+from lodestone.llm import decontamination, matroska, minhash, sharding, urlrules
 from lodestone.llm.tables import read
 
 
@@ -18,6 +18,10 @@ def op7_media_columns(spark, sf_dir):
     return matroska.digests(read(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return urlrules.judge(read(spark, sf_dir, "pages"), urlrules.LIST_RULES + urlrules.PATTERN_RULES)
 
