@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, matroska, minhash, sharding, urlrules
+from lodestone.llm import decontamination, matroska, minhash, mixing, secrets, sharding, urlrules
 from lodestone.llm.tables import read
 
 
@@ -14,6 +14,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.interleave(read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark, sf_dir):
     return matroska.digests(read(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark, sf_dir):
+    return mixing.sequence(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return urlrules.judge(read(spark, sf_dir, "pages"), urlrules.LIST_RULES + urlrules.PATTERN_RULES)
 
@@ -31,4 +39,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_sharding": sharding.ORACLE_SQL, "op10_url_filter": urlrules.oracle_sql(urlrules.LIST_RULES + urlrules.PATTERN_RULES)}
+    return {"op4_sharding": sharding.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_source_mixing": mixing.ORACLE_SQL, "op10_url_filter": urlrules.oracle_sql(urlrules.LIST_RULES + urlrules.PATTERN_RULES)}
