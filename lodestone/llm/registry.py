@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, matroska, minhash, mixing, secrets, sharding, urlrules
+from lodestone.llm import decontamination, matroska, minhash, mixing, secrets, sharding, substrings, urlrules
 from lodestone.llm.tables import read
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
