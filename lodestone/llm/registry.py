@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, matroska, minhash, mixing, secrets, sharding, substrings, urlrules
+from lodestone.llm import decontamination, matroska, minhash, mixing, secrets, sharding, substrings, toxicity, urlrules
 from lodestone.llm.tables import read
 
 
@@ -18,6 +18,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.interleave(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secrets.report(read(spark, sf_dir, "documents"))
 
