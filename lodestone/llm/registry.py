@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, matroska, minhash, mixing, secrets, sharding, substrings, toxicity, urlrules
+from lodestone.llm import decontamination, matroska, minhash, mixing, quality, secrets, sharding, substrings, toxicity, urlrules
 from lodestone.llm.tables import read
 
 
+def op1_quality(spark, sf_dir):
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(read(spark, sf_dir, "documents"))
 
