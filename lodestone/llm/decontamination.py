@@ -291,7 +291,10 @@ def clean_text(raw: bytes, blocks: list) -> bytes:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, with the spans of test phrases cut from ``text``; ``n_chars`` follows where present."""
+    """The documents, all columns, with the spans of test phrases cut from ``text``; ``n_chars`` follows where present.
+
+    A document of which no word is left is dropped; one that had none stays.
+    """
     blocks, schema = broadcast_phrases(benchmark), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,16 +302,18 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for i, j, data, offsets in _shards(batch):
                 shard, part = scan(data, offsets, blocks), batch.slice(i, j - i)
                 found = [d for d in range(j - i) if shard.items[d]]
+                keep = np.ones(j - i, bool)
                 if found:
                     texts, at = part["text"].to_pylist(), part.schema.get_field_index("text")
                     for d in found:
-                        texts[d] = clean_text(data[offsets[d] : offsets[d + 1]].tobytes(), blocks).decode()
+                        left = clean_text(data[offsets[d] : offsets[d + 1]].tobytes(), blocks)
+                        texts[d], keep[d] = left.decode(), w.ALNUM[np.frombuffer(left, np.uint8)].any()
                     part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
                     if (k := part.schema.get_field_index("n_chars")) >= 0:
                         counts = part["n_chars"].to_pylist()
                         for d in found:
                             counts[d] = len(texts[d])
                         part = part.set_column(k, part.schema.field(k), pa.array(counts, part.schema.field(k).type))
-                yield part
+                yield part if keep.all() else part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)
