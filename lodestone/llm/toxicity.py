@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm import words as w
 from lodestone.llm.sampling import bounded, fold
@@ -148,8 +149,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return _scored(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """The rows of docs and their score."""
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "score") -> DataFrame:
+    """The rows of docs and their score, in a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -165,13 +166,14 @@ def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Dat
                 key = np.unique(doc[live] << SLOT_BITS | slot[live])
                 total = np.bincount(key >> SLOT_BITS, dense[key & (1 << SLOT_BITS) - 1], j - i) + bias
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(total))], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(total))], names=[*batch.schema.names, name])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, without those predicted toxic."""
-    named = docs.select(*docs.columns, F.lit(None).alias("_")).drop("_")
-    return _scored(named, fit(docs, labels)).filter("score < 0.5").select(*docs.columns)
+    name = "score"
+    while name in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return _scored(docs, fit(docs, labels), name).filter(F.col(name) < 0.5).select(*docs.columns)
