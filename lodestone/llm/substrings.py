@@ -7,32 +7,34 @@ anchor, at the same offset; neighbouring windows mostly share theirs too, which
 leaves about one anchor for seven words.
 
 Extension.  An anchor is extended both ways as far as the windows that chose it
-reach.  Occurrences of an anchor whose whole extension is equal are one class:
-all windows of all but the first occurrence stand earlier too.  Where the first
-occurrences of several classes share an anchor, their extensions agree in part
-only, and their windows are compared one by one.  So a passage in a third of all
-documents is one class, and costs what its anchors cost; nothing is compared in
-pairs and no group is gathered.
+reach.  Documents are joined on anchors: where all extensions of an anchor are
+equal they are one class, and all windows of all but the class's first document
+stand earlier too.  Where an anchor has several classes, their extensions agree
+in part only, and the windows of each class's first document are compared one by
+one.  So a passage in a third of all documents is one class, and costs what its
+anchors cost; nothing is compared in pairs and no group is gathered.
 
 Maximal repeats.  The repeated windows of a document are merged to spans, which
-no repeat over the threshold extends; each word in them is removed.
+no repeat over the threshold extends; each word in them is removed.  Repeats
+within one document are found in the same task, by its windows' hashes.
 
-Texts go through one task each way: once to find anchors, once joined with their
-document's spans.  Anchors and classes are reduced by grouped minima, combined
-before the shuffle, and joined back by joins that adaptive execution can split.
+A document names each class once, as two hashes.  Classes are reduced by grouped
+minima, combined before the shuffle, and joined back by joins that adaptive
+execution can split.  Anchors are computed again where they are needed instead of
+being stored.
 
 Edge cases: null text has no words; fewer words than a window are never removed;
 equal words are words with equal 64-bit hashes, and extensions are equal if two
-such hashes are; rows with one id and equal texts have equal results; rows with
-one id and different texts are judged each for itself against smaller ids and
-against their own text; a null id counts as smaller than any other; an empty
-table gives no rows.
+such hashes are; rows that share an id are each judged against smaller ids and
+against themselves; a null id counts as the smallest; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import words as w
 from lodestone.llm.tables import materialize
 
-WINDOW, SEED = 20, 8
+WINDOW, SEED = 20, 5
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,99 +74,113 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, seed: i
     return grams[chosen[at]], chosen[at], starts[at], last
 
 
-def _hashed(data: np.ndarray, offsets: np.ndarray):
-    starts, ends, first = w.words(data, offsets, w.NOT_SPACE)
-    return w.span_hash(data, starts, ends, fold=False), first
-
+@dataclass
+class Windows:
+    """The windows of several texts: their start among all words, text and hash, and the anchor that each chose."""
 
-_COLUMNS = "doc_id long, text_hash long, start int, last int, seed long, extent long"
+    first: np.ndarray
+    start: np.ndarray
+    doc: np.ndarray
+    digest: np.ndarray
+    anchor: np.ndarray
+    seed: np.ndarray
+    extent: np.ndarray
 
 
-def _occurrences(docs: DataFrame, window: int) -> DataFrame:
-    """One row per anchor: the windows ``start`` to ``last`` of its document chose it; seed and extent identify its class."""
+def windows(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[Windows, np.ndarray, np.ndarray]:
+    """The windows of all texts (seed and extent: of each anchor), and where words start and end."""
+    starts, ends, first = w.words(data, offsets, w.NOT_SPACE)
+    hashes = w.span_hash(data, starts, ends, fold=False)
+    seed, chosen, a, b = anchors(hashes, first, window, min(SEED, window))
+    reach = b - a + window
+    base = 0xD6E8FEB86659FD93
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * w.powers(base, len(hashes)), out=total[1:])
+    # the words of the extension, and where in it the anchor stands
+    extent = w.mix((total[a + reach] - total[a]) * w.powers(base, len(hashes) + 1, inverse=True)[a] ^ w.mix((reach * 4096 + (chosen - a)).astype(np.uint64)))
+    n = b - a + 1
+    anchor = np.repeat(np.arange(len(a)), n)
+    start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - a, n)
+    digest = w.gram_hash(hashes, window, 0xA24BAED4963EE407)
+    return Windows(first, start, np.searchsorted(first, start, "right") - 1, digest[start].view(np.int64) if len(start) else np.empty(0, np.int64), anchor, seed.view(np.int64), extent.view(np.int64)), starts, ends
+
+
+def _once(*keys: np.ndarray) -> np.ndarray:
+    """Where each distinct row of the keys stands first."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order[new]
+
+
+def _listed(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, value) of all values of the lists i to j, sorted; a null list is empty."""
+    lists = column.slice(i, j - i)
+    counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    values, doc = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(j - i), counts)
+    order = np.lexsort((values, doc))
+    return doc[order], values[order]
+
+
+def _among(doc: np.ndarray, value: np.ndarray, in_doc: np.ndarray, in_value: np.ndarray) -> np.ndarray:
+    """Which (doc, value) are among (in_doc, in_value)."""
+    if not len(in_doc):
+        return np.zeros(len(doc), bool)
+    both = np.concatenate([in_value, value])
+    _, code = np.unique(both, return_inverse=True)
+    width = int(code.max()) + 1
+    return np.isin(doc * width + code[len(in_value) :], in_doc * width + code[: len(in_value)])
+
+
+def _classes(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, seed, extent) of each class that a document has, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = w.text_bytes(batch["text"])
             for i, j in w.slices(offsets):
-                hashes, first = _hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                seeds, chosen, a, b = anchors(hashes, first, window, min(SEED, window))
-                doc = np.searchsorted(first, a, "right") - 1
-                reach = b - a + window
-                # the words of the extension, and where in it the anchor stands
-                total = np.zeros(len(hashes) + 1, np.uint64)
-                base = 0xD6E8FEB86659FD93
-                np.cumsum(hashes * w.powers(base, len(hashes)), out=total[1:])
-                extent = w.mix((total[a + reach] - total[a]) * w.powers(base, len(hashes) + 1, inverse=True)[a] ^ w.mix((reach * 4096 + (chosen - a)).astype(np.uint64)))
-                rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(rows), batch["text_hash"].take(rows), pa.array((a - first[doc]).astype(np.int32)), pa.array((b - first[doc]).astype(np.int32)), pa.array(seeds.view(np.int64)), pa.array(extent.view(np.int64))],
-                    names=["doc_id", "text_hash", "start", "last", "seed", "extent"],
-                )
+                found, _, _ = windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window)
+                doc = found.doc[np.searchsorted(found.anchor, np.arange(len(found.seed)))] if len(found.seed) else np.empty(0, np.int64)
+                at = _once(doc, found.extent, found.seed)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(doc[at] + i)), pa.array(found.seed[at]), pa.array(found.extent[at])], names=["doc_id", "seed", "extent"])
 
-    return docs.mapInArrow(run, _COLUMNS)
+    return docs.mapInArrow(run, "doc_id long, seed long, extent long")
 
 
-def _window_hashes(spans: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """One row (seed, digest, doc_id, text_hash, start) for each window of the given spans (doc_id, text_hash, a list of (start, last, seed))."""
+def _compared(docs: DataFrame, heads: DataFrame, window: int) -> DataFrame:
+    """(doc_id, seed, digest) of the windows of the classes in heads (doc_id, extent), once for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = w.text_bytes(batch["text"])
             for i, j in w.slices(offsets):
-                hashes, first = _hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                digests = w.gram_hash(hashes, window, 0xA24BAED4963EE407)
-                lists = batch["spans"].slice(i, j - i)
-                counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-                flat = lists.flatten()
-                a, b, seed = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                doc = np.repeat(np.arange(j - i), counts)
-                n = (b - a + 1).astype(np.int64)
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - a, n)
-                doc, seed = np.repeat(doc, n), np.repeat(seed, n)
-                rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(digests[first[doc] + start].view(np.int64)), batch["doc_id"].take(rows), batch["text_hash"].take(rows), pa.array(start.astype(np.int32))], names=["seed", "digest", "doc_id", "text_hash", "start"])
-
-    listed = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "last", "seed")).alias("spans"))
-    keyed = listed.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    joined = docs.dropDuplicates(["doc_id", "text_hash"]).join(keyed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
-    return joined.select("doc_id", "text_hash", "text", "spans").mapInArrow(run, "seed long, digest long, doc_id long, text_hash long, start int")
+                found, _, _ = windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window)
+                at = np.flatnonzero(_among(found.doc, found.extent[found.anchor], *_listed(batch["extents"], i, j)))
+                at = at[_once(found.doc[at], found.digest[at])]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(found.doc[at] + i)), pa.array(found.seed[found.anchor[at]]), pa.array(found.digest[at])], names=["doc_id", "seed", "digest"])
 
+    listed = heads.groupBy("doc_id").agg(F.collect_list("extent").alias("extents"))
+    return docs.join(listed, "doc_id").select("doc_id", "text", "extents").mapInArrow(run, "doc_id long, seed long, digest long")
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Ranges of window starts (doc_id, text_hash, start, last) of which each also stands earlier.
 
-    Earlier: in a document with a smaller id, or before in the same document.
-    """
+def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, extent) and (doc_id, digest) of classes and of windows that stand in a document with a smaller id too."""
     rows = _keyed(docs)
-    seeds = materialize(_occurrences(rows, window), "anchors")
-    place = F.struct("doc_id", "start", "text_hash", "last")
-    classes = materialize(seeds.groupBy("seed", "extent").agg(F.min(place).alias("head"), F.max(place).alias("tail")), "classes")
-    # later members of a class: every window of theirs stands in its first one
-    many = classes.filter("head != tail").select("seed", "extent", "head")
-    member = seeds.join(many, ["seed", "extent"])
-    strictly = ~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("start") == F.col("head.start")))
-    later = member.filter(strictly).select("doc_id", "text_hash", "start", "last")
-    # first members of classes that share an anchor: their windows, one by one
-    shared = classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    heads = classes.join(shared, "seed", "left_semi").select("head.doc_id", "head.text_hash", "head.start", "head.last", "seed")
-    single = materialize(_window_hashes(heads, rows, window), "windows")
-    least = single.groupBy("seed", "digest").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    again = single.join(least, ["seed", "digest"]).filter(strictly).select("doc_id", "text_hash", "start", F.col("start").alias("last"))
-    return later.unionByName(again)
-
-
-def _merged(listed: pa.Array, n: int, window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts in one of the ranges."""
-    edge = np.zeros(n + window + 1, np.int64)
-    if len(listed):
-        np.add.at(edge, listed.field(0).to_numpy(zero_copy_only=False), 1)
-        np.add.at(edge, listed.field(1).to_numpy(zero_copy_only=False) + window, -1)
-    return np.cumsum(edge)[:n] > 0
+    classes = _classes(rows, window)
+    seeds = classes.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("head"), (F.min("extent") != F.max("extent")).alias("several")).filter("n > 1")
+    shared = classes.join(materialize(seeds.drop("n"), "seeds"), "seed").filter("several or doc_id > head")
+    shared = materialize(shared, "shared")
+    several = shared.filter("several").select("doc_id", "seed", "extent")
+    heads = materialize(several.groupBy("seed", "extent").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), "heads")
+    whole = shared.filter("not several").select("doc_id", "extent").unionByName(several.join(heads.filter("n > 1"), ["seed", "extent"]).filter("doc_id > head").select("doc_id", "extent"))
+    single = materialize(_compared(rows, heads.select(F.col("head").alias("doc_id"), "extent"), window), "windows")
+    least = single.groupBy("seed", "digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    return whole, single.join(least, ["seed", "digest"]).filter("doc_id > head").select("doc_id", "digest")
 
 
 _REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: int, end: int>>, kept_text string"
@@ -178,24 +194,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             data, offsets = w.text_bytes(batch["text"])
             for i, j in w.slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends, first = w.words(part, at, w.NOT_SPACE)
+                found, starts, ends = windows(part, at, window)
+                again = np.ones(len(found.start), bool)
+                again[_once(found.doc, found.digest)] = False
+                again |= _among(found.doc, found.extent[found.anchor], *_listed(batch["extents"], i, j))
+                again |= _among(found.doc, found.digest, *_listed(batch["digests"], i, j))
+                edge = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(edge, found.start[again], 1)
+                np.add.at(edge, found.start[again] + window, -1)
+                removed = np.cumsum(edge[:-1]) > 0
                 raw, out = part.tobytes(), []
-                for d in range(j - i):
-                    a, b = int(first[d]), int(first[d + 1])
-                    listed = batch["ranges"][i + d].values
-                    gone = _merged(listed if listed is not None else pa.array([]), b - a, window)
+                for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True):
+                    gone = removed[a:b]
                     kept = np.flatnonzero(~gone) + a
                     text = b" ".join([raw[s:e] for s, e in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)])
                     change = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
                     spans = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True)]
                     out.append((b - a, int(gone.sum()), hashlib.sha256(text).hexdigest(), spans, text.decode() if with_text else None))
-                n, gone, digest, spans, texts = zip(*out, strict=True) if out else ((),) * 5
+                n, gone, digest, spans, texts = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(i, j - i), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"],
                 )
 
-    found = repeated_windows(docs, window).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "last")).alias("ranges")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    joined = _keyed(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left").select("doc_id", "text", "ranges")
-    out = joined.mapInArrow(run, _REPORT)
+    whole, single = repeated(docs, window)
+    found = whole.select("doc_id", "extent", F.lit(None).cast("long").alias("digest")).unionByName(single.select("doc_id", F.lit(None).cast("long").alias("extent"), "digest"))
+    lists = found.groupBy("doc_id").agg(F.collect_list("extent").alias("extents"), F.collect_list("digest").alias("digests")).withColumnRenamed("doc_id", "_d")
+    rows = _keyed(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "_d").withColumn("doc_id", F.when(F.col("_d") != -(1 << 63), F.col("_d")))
+    out = rows.join(lists, "_d", "left").select("doc_id", "text", "extents", "digests").mapInArrow(run, _REPORT)
     return out if with_text else out.drop("kept_text")
