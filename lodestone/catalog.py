@@ -1,15 +1,20 @@
-"""Registry of the library's own queries and their DuckDB oracle."""
+"""The library's own queries and their DuckDB oracle, by family."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from lodestone.plans import retrieval
 
+FAMILIES = (retrieval.R,)
 
-def queries() -> dict:
-    return {}
+#: Fused hybrid retrieval.
+FLAGSHIP = retrieval.search_hybrid
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    return {name: query for family in FAMILIES for name, query in family.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for family in FAMILIES for name, sql in family.sql.items()}
