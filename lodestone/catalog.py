@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestone.plans import retrieval
+from lodestone.plans import graphs, retrieval
 
-FAMILIES = (retrieval.R,)
+FAMILIES = (retrieval.R, graphs.R)
 
 #: Fused hybrid retrieval.
 FLAGSHIP = retrieval.search_hybrid
