@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestone.plans import graphs, retrieval
+from lodestone.plans import graphs, operations, retrieval
 
-FAMILIES = (retrieval.R, graphs.R)
+FAMILIES = (retrieval.R, graphs.R, operations.R)
 
 #: Fused hybrid retrieval.
 FLAGSHIP = retrieval.search_hybrid
