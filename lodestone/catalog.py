@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestone.plans import graphs, operations, retrieval, texts
+from lodestone.plans import catalogs, graphs, operations, retrieval, texts
 
-FAMILIES = (retrieval.R, graphs.R, operations.R, texts.R)
+FAMILIES = (retrieval.R, graphs.R, operations.R, texts.R, catalogs.R)
 
 #: Fused hybrid retrieval.
 FLAGSHIP = retrieval.search_hybrid
