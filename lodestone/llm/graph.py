@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestone.llm.tables import materialize
@@ -16,21 +16,22 @@ def components(edges: DataFrame) -> DataFrame:
     execution can split, so a node with very many neighbours is no single task.
     Self-loops and repeated edges are harmless; null ends are dropped.
     """
-    now = materialize(_distinct(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
-    before = None
+    now, state = _settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a > b")
+        large = both.join(low, "a").filter("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = materialize(_distinct(small), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before = state
+        now, state = _settled(small)
         if state == before:
             return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node")))
-        before = state
 
 
-def _distinct(edges: DataFrame) -> DataFrame:
-    return edges.filter("a > b").distinct()
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges from larger to smaller ends, written, and their count and checksum."""
+    seen = Observation()
+    count, checksum = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("sum")
+    out = materialize(edges.filter("a > b").distinct().observe(seen, count, checksum), "edges")
+    return out, tuple(seen.get.values())

@@ -10,15 +10,18 @@ Documents with equal sets are one class, and only its smallest id goes on.  The
 signature is cut in bands; classes that share a band are candidates, and a
 candidate becomes a link only after the full sets are compared.
 
-No bucket is expanded into all its pairs.  Each bucket first compares its members
-with one pivot.  Links join classes into components; where members of a bucket
-are still in different components, more pivots (four times as many a round)
-from outside its largest component are compared with the members they aren't
-joined to, until few pairs are left, which are then all compared.  So every
-pair of candidates ends verified or in one component.
-
-With 32 bands of 4 coordinates a pair at similarity 0.85 misses every band with
-probability 5e-11.
+No bucket is expanded into all its pairs.  First each bucket compares its members
+with one pivot, another one in each bucket; the links found join classes into
+components.  Then only buckets that still hold several components are open.
+Their members are dealt out in blocks, and each pair of blocks is compared in one
+numpy step, by a byte of each coordinate: what comes out are the pairs of
+different components that agree in ``AGREE`` coordinates at least, each once, in
+the first band it shares.  Those are verified on full sets.  So every pair of
+candidates ends verified, in one component, or below a bound that a pair at the
+threshold misses with probability 3e-6.
+
+With 28 bands of 5 coordinates a pair at similarity 0.85 misses every band with
+probability 7e-8.
 
 Edge cases: fewer than 5 words are one shingle; no words, or null text: the
 empty set, linked with nothing; rows with one id are one document; a null id is
@@ -33,27 +36,33 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as w
 from lodestone.llm.graph import components
-from lodestone.llm.tables import materialize
+from lodestone.llm.tables import materialize, shuffle_width
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 28, 5
+#: Coordinates of a signature (the first ones form the bands), and how many low bytes of them must agree:
+#: 4.5 standard deviations under what is expected at the threshold.
+COORDINATES = 384
+AGREE = int(COORDINATES * (PERCENT / 100 - 4.5 * (PERCENT * (100 - PERCENT) / 10000 / COORDINATES) ** 0.5))
 #: Bits of a slot: the ring has 2**21 of them.
 SLOT_BITS = 21
-#: Pairs compared outright at the end, for each class that shares a bucket.
-LAST_PAIRS = 4
-_STEP = 8192
+#: Members of a block of a bucket.
+BLOCK = 512
+#: Bytes of a shingle's hash that verification compares: two sets of a thousand shingles have one in common by chance once in a million pairs.
+HASH_BYTES = 5
+_STEP = 4096
 
 
 @cache
 def _ring() -> np.ndarray:
     """Row s: the numbers of the slots s, s + 1, ... of the ring, one for each coordinate."""
     numbers = np.random.default_rng(8).permutation(1 << SLOT_BITS).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([numbers, numbers[: BANDS * ROWS]]), BANDS * ROWS)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([numbers, numbers[:COORDINATES]]), COORDINATES)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -80,29 +89,44 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One hash for each band, of the band's coordinates and its number."""
-    halves = np.ascontiguousarray(sig).view(np.uint64).reshape(BANDS, ROWS // 2)
+    coordinates = sig[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS // 2):
-        key = w.mix(key * np.uint64(0x9E3779B97F4A7C15) + halves[:, k])
+    for k in range(ROWS):
+        key = w.mix(key * np.uint64(0x9E3779B97F4A7C15) + coordinates[:, k])
     return key.view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, a digest of the set (null if empty) and its band keys."""
+    """Per row: doc_id, n_shingles, a digest of the set (null if empty), its band keys and a byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = w.text_bytes(batch["text"])
             for i, j in w.slices(offsets):
-                counts, digests, keys = [], [], []
+                rows = []
                 for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    counts.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    keys.append(band_keys(signature(s)) if len(s) else np.empty(0, np.int64))
+                    if len(s):
+                        sig = signature(s)
+                        rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(sig), sig.astype(np.uint8).tobytes()))
+                    else:
+                        rows.append((0, None, np.empty(0, np.int64), None))
+                counts, digests, keys, low = zip(*rows, strict=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "low"])
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<bigint>, low binary")
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """The sorted high bytes of a set's hashes."""
+    return (hashes >> np.uint64(64 - 8 * HASH_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<bigint>")
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :HASH_BYTES] = low
+    return out.view("<u8").ravel()
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -112,75 +136,137 @@ def _sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = w.text_bytes(batch["text"])
             for i, j in w.slices(offsets):
-                rows = [s.tobytes() for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+                rows = [_packed(s) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(rows, pa.binary())], names=["doc_id", "hashes"])
 
     return docs.mapInArrow(run, "doc_id long, hashes binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def _agreeing(pairs: DataFrame, low: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures agree in enough coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _signatures(batch["x"]), _signatures(batch["y"])
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+    right, left = low.select(F.col("doc_id").alias("b"), F.col("low").alias("y")), low.select(F.col("doc_id").alias("a"), F.col("low").alias("x"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 if len(x) > len(y):
                     x, y = y, x
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    asked = sets.join(ids, "doc_id", "left_semi")
+    right, left = asked.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), asked.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a < b of rows (p, p_n, m, m_n), without those whose sizes alone rule a link out."""
-    fits = joined.filter((F.col("p") != F.col("m")) & (100 * F.least("p_n", "m_n") >= PERCENT * F.greatest("p_n", "m_n")))
-    return fits.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
+def _fits(a: str, b: str) -> Column:
+    """Whether two sets' sizes allow a link."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """Written rows (key, band, m, m_n): the members of each band that several classes share."""
+    bands = reps.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("m_n"), F.posexplode("bands").alias("band", "key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return materialize(bands.join(shared, "key"), "buckets")
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Distinct (a, b) of each bucket's members and its pivot."""
+    order = F.xxhash64("m", "key")
+    pivot = members.groupBy("key").agg(F.min_by("m", order).alias("p"), F.min_by("m_n", order).alias("p_n"))
+    return members.join(pivot, "key").filter(F.col("p") != F.col("m")).filter(_fits("p_n", "m_n")).select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
+
+
+def _block_pairs(open_: DataFrame, low: DataFrame, width: int) -> DataFrame:
+    """(a, b), each once, of open members (key, band, m, m_n, c, size) that share a bucket, are of different components, and agree."""
+
+    def compared(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m, n, c, own, band = (np.array([r[k] for r in rows]) for k in range(5))
+        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, COORDINATES)
+        first, second = np.flatnonzero(own & 1), np.flatnonzero(own & 2)
+        for i in first:
+            j = second[(c[second] != c[i]) & (100 * np.minimum(n[second], n[i]) >= PERCENT * np.maximum(n[second], n[i]))]
+            if own[i] == 3:
+                j = j[m[j] > m[i]]  # a block with itself
+            if len(j):
+                same = sig[j] == sig[i]
+                near = same.sum(axis=1) >= AGREE
+                j, same = j[near], same[near]
+            if len(j):
+                earlier = same[:, : int(band[i]) * ROWS].reshape(len(j), -1, ROWS).all(axis=2).any(axis=1)
+                j = j[~earlier]
+                yield np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = [], None
+        for batch in batches:
+            found = []
+            columns = [batch[k].to_pylist() for k in ("key", "x", "y", "m", "m_n", "c", "own", "band", "low")]
+            for key, x, y, *row in zip(*columns, strict=True):
+                if (key, x, y) != group:
+                    found += compared(held) if len(held) > 1 else ()
+                    held, group = [], (key, x, y)
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        if len(held) > 1 and (found := list(compared(held))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    blocks = F.ceil(F.col("size") / BLOCK)
+    own = F.pmod(F.xxhash64("m"), blocks)
+    spread = open_.withColumn("_n", blocks).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    x, y = F.least("_own", "_other"), F.greatest("_own", "_other")
+    # 1: in the first block of the pair, 2: in the second, 3: the block with itself
+    side = F.when(F.col("_own") == F.col("_other"), 3).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    rows = spread.select("key", x.alias("x"), y.alias("y"), "m", "m_n", "c", side.alias("own"), "band").join(low.withColumnRenamed("doc_id", "m"), "m")
+    return rows.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(docs: DataFrame, sketch: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, component) of all classes that are linked with another."""
+    ids = members.select(F.col("m").alias("doc_id")).distinct()
+    low = materialize(sketch.select("doc_id", "low").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "low")
+    sets = materialize(_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    joined = components(_similar(materialize(_agreeing(_pivot_pairs(members), low), "pairs"), sets))
+    labelled = members.join(joined.withColumnRenamed("node", "m"), "m", "left").select("key", "band", "m", "m_n", F.coalesce("component", "m").alias("c"))
+    apart = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key", "size")
+    more = materialize(_block_pairs(labelled.join(apart, "key"), low, shuffle_width(docs.sparkSession)), "pairs")
+    edges = _similar(more, sets).unionByName(joined.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(edges).filter("node != component")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    sketch = materialize(sketches(docs), "sketches")
+    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    sketch = materialize(sketches(rows), "sketches")
     found = sketch.filter("digest is not null and doc_id is not null")
     classes = found.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = found.join(classes, "digest").filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = reps.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("least"), F.max("rep").alias("most")).filter("least.rep < most").select("key", F.col("least.rep").alias("p"), F.col("least.n").alias("p_n"))
-    members = materialize(reps.join(shared, "key").select("key", F.col("rep").alias("m"), F.col("n").alias("m_n"), "p", "p_n"), "buckets")
-    ids = members.select(F.col("m").alias("doc_id")).distinct()
-    sets = materialize(_sets(docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(ids, "doc_id", "left_semi")), "sets")
-    classes_shared = ids.count()
-    links = materialize(_linked(_pairs(members), sets), "links")
-    pivots = 4
-    while True:
-        joined = components(links)
-        labelled = members.select("key", "m", "m_n").join(joined.withColumnRenamed("node", "m"), "m", "left").withColumn("c", F.coalesce("component", "m")).drop("component")
-        groups = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
-        apart = groups.groupBy("key").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("k")).filter("k > 1")
-        apart = materialize(apart.select("key", F.col("main.c").alias("main"), "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("left"), (F.col("size") - F.col("main.n")).alias("outside")), "apart")
-        left = apart.agg(F.coalesce(F.sum("left"), F.lit(0.0))).first()[0]
-        if left == 0:
-            break
-        open_ = materialize(labelled.join(apart, "key"), "open")
-        outside = open_.filter("c != main")
-        last = left <= LAST_PAIRS * classes_shared
-        if not last:
-            outside = outside.filter(F.expr(f"abs(xxhash64(m, key, {pivots}) % 1000000007L) < {pivots} * 1000000007.0D / outside"))
-        pivot = outside.select("key", F.col("m").alias("p"), F.col("m_n").alias("p_n"), F.col("c").alias("p_c"))
-        more = materialize(_linked(_pairs(pivot.join(open_, "key").filter("p_c != c")), sets), "links")
-        links = links.unionByName(more)
-        if last:
-            joined = components(links)
-            break
-        pivots *= 4
-    of_class = materialize(classes.join(joined, classes["rep"] == joined["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "classes")
+    reps = found.select("doc_id", "digest", "n_shingles", "bands").join(classes, "digest").filter("doc_id = rep")
+    joined = _links(rows, found, _buckets(reps))
+    of_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     own = sketch.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rows = found.select("doc_id", "n_shingles", "digest").join(of_class, "digest").select("doc_id", "n_shingles", "component_id").unionByName(own)
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = found.select("doc_id", "n_shingles", "digest").join(of_class, "digest").select("doc_id", "n_shingles", "component_id").unionByName(own)
+    return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

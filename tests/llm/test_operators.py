@@ -101,10 +101,9 @@ def test_near_duplicates(docs, texts):
     assert got == want
 
 
-def test_near_duplicates_in_many_rounds(docs, texts, monkeypatch):
-    """With few pairs a round the same components come out."""
-    monkeypatch.setattr(minhash, "LAST_PAIRS", 0)
-    monkeypatch.setattr(minhash, "OTHERS", 1)
+def test_near_duplicates_in_small_blocks(docs, texts, monkeypatch):
+    """Buckets cut in many blocks give the same components."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
     want = brute.near_duplicates(texts)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == want
 
