@@ -6,8 +6,10 @@ examples and from unlabelled text alone.  Of the unlabelled risk, the part that
 toxic texts among it account for (class prior times the positives' risk as
 negatives) is subtracted; where that estimate of the negatives' risk would fall
 below zero it is driven back up instead of further down, which keeps the model
-from memorising the positives.  An L1 step keeps weights that don't help at zero,
-so a long text isn't scored by its length.
+from memorising the positives.  Features are valued by how much likelier they are in
+positives than in unlabelled texts, only those that are likelier take part, and an
+L1 step brings weights that don't help to zero: evidence only adds, and a long
+text isn't scored by its length.
 
 Only the samples named by ``POSITIVES`` and ``UNLABELLED`` reach the driver, as
 hashed features; the class prior is counted over all labels of the training
@@ -36,12 +38,12 @@ from lodestone.llm.sampling import bounded, fold
 #: Labels of this fold of crc32(doc_id) are held out.
 FOLDS, HELD_OUT = 5, 0
 #: Most documents of either kind that the model is fitted on.
-POSITIVES, UNLABELLED = 2000, 4000
+POSITIVES, UNLABELLED = 2000, 12_000
 #: Feature slots (a power of two), and the lengths in bytes of word beginnings.
 SLOT_BITS, BEGINNINGS = 20, (4, 5)
-#: A feature takes part if so many sampled documents have it.
-LEAST_DOCUMENTS = 4
-STEPS, RATE, L1 = 160, 0.08, 2e-4
+#: A feature takes part if it is so much likelier in positives (log ratio), smoothed by this share of documents at least.
+LEAST_RATIO, LEAST_SHARE = 1.0, 0.002
+STEPS, RATE, L1 = 500, 0.03, 0.1
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,21 +98,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def ratios(p: Rows, u: Rows, n: int) -> np.ndarray:
+    """How much likelier each feature is in a positive than in an unlabelled document, as a smoothed log ratio."""
+    positive, unlabelled = np.bincount(p.slots, minlength=n) / len(p.ends), np.bincount(u.slots, minlength=n) / len(u.ends)
+    smooth = max(LEAST_SHARE, 3 / len(p.ends))
+    return np.log((positive + smooth) / (unlabelled + smooth))
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
-    """Weights of all slots and the bias, by Adam on the non-negative risk with logistic loss."""
+    """Weights of all slots and the bias, by Adam on the non-negative risk with logistic loss.
+
+    A feature's value is its log ratio, so those that tell nothing take no part
+    and those that tell much move the score most.
+    """
     n = 1 << SLOT_BITS
     if not positive or not unlabelled:
         return np.zeros(n), -np.inf
-    counts = np.bincount(np.concatenate([*positive, *unlabelled, np.zeros(0, np.uint32)]).astype(np.int64), minlength=n)
-    used = np.flatnonzero(counts >= min(LEAST_DOCUMENTS, len(positive)))
+    whole = [_rows(x) for x in (positive, unlabelled)]
+    value = ratios(*whole, n)
+    used = np.flatnonzero(value >= LEAST_RATIO)
     place = np.full(n, -1)
     place[used] = np.arange(len(used))
     keep = lambda lists: _rows([x[x >= 0] for x in (place[s.astype(np.int64)] for s in lists)])
-    p, u = keep(positive), keep(unlabelled)
-    weight, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
+    p, u, value = keep(positive), keep(unlabelled), value[used]
+    weight, bias = np.full(len(used), 0.5), float(np.log(prior / (1 - prior))) - 1.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
-        gp, gu = _sigmoid(p.sums(weight) + bias), _sigmoid(u.sums(weight) + bias)
+        gp, gu = _sigmoid(p.sums(weight * value) + bias), _sigmoid(u.sums(weight * value) + bias)
         negative = -np.mean(np.log1p(-np.minimum(gu, 1 - 1e-12))) + prior * np.mean(np.log1p(-np.minimum(gp, 1 - 1e-12)))
         # derivatives of the risks by each document's score
         as_positive = prior * (gp - 1) / len(gp)
@@ -119,14 +133,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             dp, du = as_positive + corrected_p, corrected_u
         else:
             dp, du = -corrected_p, -corrected_u
-        g = np.append(p.spread(dp, len(used)) + u.spread(du, len(used)), dp.sum() + du.sum())
+        g = np.append((p.spread(dp, len(used)) + u.spread(du, len(used))) * value, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        weight = weight - move[:-1]
-        weight = np.sign(weight) * np.maximum(np.abs(weight) - RATE * L1 / (np.sqrt(v[:-1] / (1 - 0.999**step)) + 1e-3), 0)
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+        weight = np.maximum(weight - move[:-1] - RATE * L1, 0)
         bias -= move[-1]
     out = np.zeros(n)
-    out[used] = weight
+    out[used] = weight * value
     return out, bias
 
 
