@@ -183,3 +183,58 @@ def d14_backfill(spark, sf_dir):
     rows = _queue(spark, sf_dir).withColumn("schema_version", F.when(F.col("schema_version") == "0.9", "unknown").otherwise(F.col("schema_version")))
     return health.backfilled(rows, "1.0").select("chunk_id", "status", "schema_version")
 
+
+
+@R.add("q11_custom_modules", "SELECT p_partkey, p_name FROM part WHERE contains('/modules/' || CASE WHEN p_partkey % 3 = 0 THEN 'custom/' ELSE 'contrib/' END, '/custom/') AND (contains(lower(p_name), 'wid') OR contains(lower(p_brand), 'brand#1'))")
+def q11_custom_modules(spark, sf_dir):
+    path = F.concat(F.lit("/modules/"), F.when(F.col("p_partkey") % 3 == 0, "custom/").otherwise("contrib/"))
+    rows = table(spark, sf_dir, "part").filter(path.contains("/custom/"))
+    return rows.filter(F.lower("p_name").contains("wid") | F.lower("p_brand").contains("brand#1")).select("p_partkey", "p_name")
+
+
+@R.add("q17_blocks_of_region", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def q17_blocks_of_region(spark, sf_dir):
+    return table(spark, sf_dir, "nation").filter("n_regionkey = 2").select("n_nationkey", "n_name")
+
+
+@R.add("a13_editorial_summary", "SELECT p_type, count(*) AS items, count(DISTINCT p_brand) AS brands, list_sort(list(DISTINCT p_name))[1:10] AS first_names FROM part GROUP BY p_type")
+def a13_editorial_summary(spark, sf_dir):
+    """Counts per kind and its ten least names, as the report shows."""
+    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("items"), F.count_distinct("p_brand").alias("brands"), F.slice(F.array_sort(F.collect_set("p_name")), 1, 10).alias("first_names"))
+
+
+@R.add("e3_difference", "SELECT DISTINCT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE'")
+def e3_difference(spark, sf_dir):
+    few = table(spark, sf_dir, "customer").filter("c_mktsegment = 'FURNITURE'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_custkey").distinct().join(few, "o_custkey", "left_anti")
+
+
+@R.add("e4_key_intersection", "SELECT doc_id, list_filter(['doc_id', 'lang', 'source'], lambda x: x IN ('lang', 'text', 'source')) AS keys FROM documents")
+def e4_key_intersection(spark, sf_dir):
+    keys = F.array_intersect(F.array(*map(F.lit, ["doc_id", "lang", "source"])), F.array(*map(F.lit, ["lang", "text", "source"])))
+    return table(spark, sf_dir, "documents").select("doc_id", keys.alias("keys"))
+
+
+@R.add("e5_attributes_and_relations", "SELECT p_partkey AS id, 'attribute' AS kind, p_name AS name FROM part UNION ALL SELECT p_partkey, 'relation', p_brand FROM part")
+def e5_attributes_and_relations(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    one = lambda kind, c: part.select(F.col("p_partkey").alias("id"), F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    return one("attribute", "p_name").unionByName(one("relation", "p_brand"))
+
+
+@R.add("a9_excerpts_per_file", "SELECT n_regionkey AS file, count(s_suppkey) AS excerpts FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey")
+def a9_excerpts_per_file(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return rows.groupBy(F.col("n_regionkey").alias("file")).agg(F.count("s_suppkey").alias("excerpts"))
+
+
+@R.add("j3_projection", f"WITH {CHUNKS_SQL} SELECT chunk_id, language, tags FROM chunks")
+def j3_projection(spark, sf_dir):
+    """The allowed columns that there are, without the denied ones."""
+    rows, allow, deny = chunks(spark, sf_dir), ["chunk_id", "language", "tags", "text", "unknown"], {"text"}
+    return rows.select([c for c in allow if c in rows.columns and c not in deny])
+
+
+@R.add("d11_index_freshness", f"WITH {VECTORS_SQL} SELECT count(*) AS vectors, count(*) < 5000 AS fresh FROM vectors")
+def d11_index_freshness(spark, sf_dir):
+    return vectors(spark, sf_dir).agg(F.count("*").alias("vectors"), (F.count("*") < health.REBUILD).alias("fresh"))

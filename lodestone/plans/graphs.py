@@ -73,3 +73,11 @@ def k4_edge_upsert(spark, sf_dir):
     again = edges.filter("relationship_type = 'calls'").withColumn("target_node_id", F.lit(None).cast("string")).withColumn("v", F.lit(2))
     both = edges.withColumn("v", F.lit(1)).unionByName(again)
     return g.latest(both, ["source_node_id", "target_node_name", "relationship_type"], ["v"]).drop("v")
+
+
+@R.add("n8_symbol_to_chunk", "WITH spans AS (SELECT CAST(conv_id AS VARCHAR) AS file_path, conv_id || ':' || turn AS symbol, CAST(turn AS BIGINT) * 10 AS start, CAST(turn AS BIGINT) * 10 + 9 AS stop FROM conversations), sites AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS file_path, CAST(turn AS BIGINT) * 7 AS line FROM conversations), best AS (SELECT sites.file_path, line, max_by(symbol, (start, symbol)) AS symbol FROM sites JOIN spans ON sites.file_path = spans.file_path AND line BETWEEN start AND stop GROUP BY ALL) SELECT file_path, line, symbol FROM sites LEFT JOIN best USING (file_path, line)")
+def n8_symbol_to_chunk(spark, sf_dir):
+    """The chunk of ten lines that a line lies in."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("symbol"), (F.col("turn").cast("long") * 10).alias("start"))
+    sites = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), (F.col("turn").cast("long") * 7).alias("line")).distinct()
+    return g.enclosing(rows.withColumn("end", F.col("start") + 9), sites, slack=0)

@@ -237,3 +237,26 @@ def r14_priority(spark, sf_dir):
 def k9_latest_run(spark, sf_dir):
     """The latest row of each run's log."""
     return inc.current(table(spark, sf_dir, "events"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+@R.add("k7_delete_by_path", f"WITH {_FILES_SQL} SELECT file_path, status FROM stored WHERE file_path NOT IN (SELECT file_path FROM scanned)")
+def k7_delete_by_path(spark, sf_dir):
+    """What is stored without the files that were scanned."""
+    scanned, stored = _files(spark, sf_dir)
+    return stored.join(scanned.select("file_path"), "file_path", "left_anti").select("file_path", "status")
+
+
+@R.add("k8_set_enriched_text", f"WITH {_QUEUE2_SQL}, more AS (SELECT o_orderkey AS chunk_id, 'rich ' || o_orderkey AS text FROM orders WHERE o_orderkey % 6 = 0) SELECT chunk_id, coalesce(text, raw_text) AS text FROM chunk_queue LEFT JOIN more USING (chunk_id)")
+def k8_set_enriched_text(spark, sf_dir):
+    more = table(spark, sf_dir, "orders").filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("rich "), F.col("o_orderkey").cast("string")).alias("text"))
+    return _chunk_queue(spark, sf_dir).join(more, "chunk_id", "left").select("chunk_id", F.coalesce("text", "raw_text").alias("text"))
+
+
+@R.add("d13_queue_errors", f"WITH {_QUEUE2_SQL} SELECT status, retry_count, count(*) AS n, min(created_at) AS oldest FROM chunk_queue GROUP BY status, retry_count")
+def d13_queue_errors(spark, sf_dir):
+    return _chunk_queue(spark, sf_dir).groupBy("status", "retry_count").agg(F.count("*").alias("n"), F.min("created_at").alias("oldest"))
+
+
+@R.add("a3_filtered_counts", f"WITH {_QUEUE2_SQL} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (priority = 3) AS urgent FROM chunk_queue")
+def a3_filtered_counts(spark, sf_dir):
+    return _chunk_queue(spark, sf_dir).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("priority") == 3).alias("urgent"))

@@ -127,3 +127,9 @@ def html_outline(spark, sf_dir):
 @R.add("html_pruned")
 def html_pruned(spark, sf_dir):
     return h.pruned(h.outlines(table(spark, sf_dir, "pages")), max_depth=4)
+
+
+@R.add("a16_dom_nodes")
+def a16_dom_nodes(spark, sf_dir):
+    """Elements of each page and its greatest depth; the outline is built by a parser, so no SQL."""
+    return h.outlines(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
