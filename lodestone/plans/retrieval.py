@@ -85,14 +85,14 @@ words AS (
 ), top_words AS (SELECT * FROM words WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 50)"""
 
 
-@R.add("r6_bm25", f"WITH {CHUNKS_SQL}, {_SCOPED}, {_BM25} SELECT chunk_id, round(score, 5) AS score FROM words WHERE score > 0")
+@R.add("r6_bm25", f"WITH {CHUNKS_SQL}, {_SCOPED}, {_BM25} SELECT chunk_id, score FROM words WHERE score > 0")
 def r6_bm25(spark, sf_dir):
-    return r.bm25(r.scoped(chunks(spark, sf_dir), r.Filters()), WORDS).select("chunk_id", F.round("score", 5).alias("score"))
+    return r.bm25(r.scoped(chunks(spark, sf_dir), r.Filters()), WORDS).select("chunk_id", "score")
 
 
-@R.add("o2_keyword_top_k", f"WITH {CHUNKS_SQL}, {_SCOPED}, {_BM25} SELECT chunk_id, round(score, 5) AS score FROM top_words")
+@R.add("o2_keyword_top_k", f"WITH {CHUNKS_SQL}, {_SCOPED}, {_BM25} SELECT chunk_id, score FROM top_words")
 def o2_keyword_top_k(spark, sf_dir):
-    return r.keyword_top_k(r.scoped(chunks(spark, sf_dir), r.Filters()), QUERY).select("chunk_id", F.round("score", 5).alias("score"))
+    return r.keyword_top_k(r.scoped(chunks(spark, sf_dir), r.Filters()), QUERY).select("chunk_id", "score")
 
 
 _FUSED = f"""
