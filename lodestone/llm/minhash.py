@@ -11,7 +11,7 @@ signature is cut in bands; classes that share a band are candidates, and a
 candidate becomes a link only after the full sets are compared.
 
 No bucket is expanded into all its pairs.  First each bucket compares its members
-with one pivot, another one in each bucket; the links found join classes into
+with two pivots, other ones in each bucket; the links found join classes into
 components.  Then only buckets that still hold several components are open.
 Their members are dealt out in blocks, and each pair of blocks is compared in one
 numpy step, by a byte of each coordinate: what comes out are the pairs of
@@ -191,10 +191,12 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b) of each bucket's members and its pivot."""
+    """Distinct (a, b) of each bucket's members and its two pivots, the first and the last by a hash of their own in each bucket."""
     order = F.xxhash64("m", "key")
-    pivot = members.groupBy("key").agg(F.min_by("m", order).alias("p"), F.min_by("m_n", order).alias("p_n"))
-    return members.join(pivot, "key").filter(F.col("p") != F.col("m")).filter(_fits("p_n", "m_n")).select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
+    both = [F.struct(by("m", order).alias("p"), by("m_n", order).alias("p_n")) for by in (F.min_by, F.max_by)]
+    pivots = members.groupBy("key").agg(F.array(*both).alias("_p"))
+    rows = members.join(pivots, "key").select("m", "m_n", F.explode("_p").alias("_x")).select("m", "m_n", "_x.p", "_x.p_n")
+    return rows.filter(F.col("p") != F.col("m")).filter(_fits("p_n", "m_n")).select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
 
 
 def _block_pairs(open_: DataFrame, low: DataFrame, width: int) -> DataFrame:
