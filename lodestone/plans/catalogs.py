@@ -103,12 +103,12 @@ def v11_enrichment(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", c.enrichment(reply).alias("e")).select("p_partkey", "e.summary", "e.tags")
 
 
-@R.add("config_owners", "WITH shipped AS (SELECT p_name || '.' || p_partkey AS name, min(p_brand) AS m FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL), mods AS (SELECT DISTINCT p_brand AS b FROM part WHERE p_partkey % 3 = 0) SELECT n.name, coalesce(m, CASE WHEN b IS NOT NULL THEN head END) AS owner, CASE WHEN m IS NOT NULL THEN 1.0::DOUBLE WHEN b IS NOT NULL THEN 0.9 ELSE 0.1 END AS confidence FROM (SELECT p_name || '.' || p_partkey AS name, p_name AS head FROM part UNION ALL SELECT p_brand || '.x' || p_partkey, p_brand FROM part) n LEFT JOIN shipped USING (name) LEFT JOIN mods ON b = head")
+@R.add("config_owners", "WITH shipped AS (SELECT p_name || '.' || p_partkey AS name, min(p_brand) AS m FROM part WHERE p_type = 'PROMO' GROUP BY ALL), mods AS (SELECT DISTINCT p_brand AS b FROM part WHERE p_type = 'PROMO') SELECT n.name, coalesce(m, CASE WHEN b IS NOT NULL THEN head END) AS owner, CASE WHEN m IS NOT NULL THEN 1.0::DOUBLE WHEN b IS NOT NULL THEN 0.9 ELSE 0.1 END AS confidence FROM (SELECT p_name || '.' || p_partkey AS name, p_name AS head FROM part UNION ALL SELECT p_brand || '.x' || p_partkey, p_brand FROM part) n LEFT JOIN shipped USING (name) LEFT JOIN mods ON b = head")
 def config_owners(spark, sf_dir):
     part, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
     own = F.concat("p_name", F.lit("."), k)
     names = part.select(own.alias("name")).unionByName(part.select(F.concat("p_brand", F.lit(".x"), k).alias("name")))
-    return c.owners(names, part.filter("p_partkey % 3 = 0").select(own.alias("name"), F.col("p_brand").alias("module")))
+    return c.owners(names, part.filter("p_type = 'PROMO'").select(own.alias("name"), F.col("p_brand").alias("module")))
 
 
 @R.add("template_suggestions", "WITH n AS (SELECT DISTINCT 'node__' || replace(p_name, ' ', '_') || '__' || lower(p_type) AS name, replace(replace(p_name, ' ', '_'), '_', '-') AS a, lower(p_type) AS b FROM part) SELECT name, 3 AS place, 'node.html.twig' AS suggestion FROM n UNION ALL SELECT name, 2, 'node--' || a || '.html.twig' FROM n UNION ALL SELECT name, 1, 'node--' || a || '--' || b || '.html.twig' FROM n")

@@ -24,12 +24,12 @@ def _scratch(spark, name):
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-@R.add("i4_drained_queue", "SELECT event_id AS chunk_id, event_type || ':' || props AS raw_text, 8 AS dim FROM events WHERE event_id % 3 <> 0")
+@R.add("i4_drained_queue", "SELECT event_id AS chunk_id, event_type || ':' || props AS raw_text, 8 AS dim FROM events WHERE event_type <> 'view'")
 def i4_drained_queue(spark, sf_dir):
     """The events as a streaming queue of chunks, drained to the end and read back."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
-    queue = stream.select(F.col("event_id").alias("chunk_id"), F.concat_ws(":", "event_type", "props").alias("raw_text"), F.when(F.col("event_id") % 3 == 0, "embedded").otherwise("pending").alias("status"))
+    queue = stream.select(F.col("event_id").alias("chunk_id"), F.concat_ws(":", "event_type", "props").alias("raw_text"), F.when(F.col("event_type") == "view", "embedded").otherwise("pending").alias("status"))
     path = _scratch(spark, "drained")
     drain.drain(queue, path, _scratch(spark, "progress"), drain.hash_embedder).awaitTermination()
     return drain.latest(spark, path).select("chunk_id", "raw_text", F.size("vector").alias("dim"))

@@ -70,7 +70,7 @@ nodes AS (
 ), edges AS (
   SELECT 'n' || n_nationkey AS source_node_id, r_name AS target_node_name, 'r' || r_regionkey AS target_node_id, 'imports' AS relationship_type FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'n' || a.n_nationkey, b.n_name, 'n' || b.n_nationkey, 'calls' FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 3 + 1) % 25 OR b.n_nationkey = (a.n_nationkey * 5 + 2) % 25
-  UNION ALL SELECT 'n' || n_nationkey, 'External' || n_nationkey % 4, NULL, 'calls' FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT 'n' || n_nationkey, 'External' || n_nationkey % 4, NULL, 'calls' FROM nation WHERE n_regionkey <> 1
 )"""
 
 
@@ -83,5 +83,5 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     imports = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(key("n", "n_nationkey").alias("source_node_id"), F.col("r_name").alias("target_node_name"), key("r", "r_regionkey").alias("target_node_id"), F.lit("imports").alias("relationship_type"))
     hops = nation.select(F.col("n_nationkey").alias("a"), F.explode(F.array_distinct(F.array((F.col("n_nationkey") * 3 + 1) % 25, (F.col("n_nationkey") * 5 + 2) % 25))).alias("b"))
     calls = hops.join(nation, F.col("b") == F.col("n_nationkey")).select(key("n", "a").alias("source_node_id"), F.col("n_name").alias("target_node_name"), key("n", "b").alias("target_node_id"), F.lit("calls").alias("relationship_type"))
-    unknown = nation.filter("n_nationkey % 2 = 0").select(key("n", "n_nationkey").alias("source_node_id"), F.concat(F.lit("External"), (F.col("n_nationkey") % 4).cast("string")).alias("target_node_name"), F.lit(None).cast("string").alias("target_node_id"), F.lit("calls").alias("relationship_type"))
+    unknown = nation.filter("n_regionkey <> 1").select(key("n", "n_nationkey").alias("source_node_id"), F.concat(F.lit("External"), (F.col("n_nationkey") % 4).cast("string")).alias("target_node_name"), F.lit(None).cast("string").alias("target_node_id"), F.lit("calls").alias("relationship_type"))
     return nodes, imports.unionByName(calls).unionByName(unknown)

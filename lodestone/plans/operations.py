@@ -102,8 +102,8 @@ def a15_runtime_health(spark, sf_dir):
 # --- snapshots ---------------------------------------------------------------
 
 _NAME = "CASE WHEN {k} % 11 = 0 THEN 'field.storage.' WHEN {k} % 7 = 0 THEN 'views.view.' WHEN {k} % 5 = 0 THEN 'node.type.' WHEN {k} = 1 THEN 'core.extension' ELSE 'system.' END || CASE WHEN {k} = 1 THEN '' ELSE CAST({k} AS VARCHAR) END"
-_SNAP_SQL = f"""active AS (SELECT {_NAME.format(k='p_partkey')} AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, p_type AS deps FROM part WHERE p_partkey % 13 <> 4),
-sync AS (SELECT {_NAME.format(k='p_partkey')} AS name, p_brand AS brand, CAST(CASE WHEN p_partkey % 9 = 0 THEN p_size + 1 ELSE p_size END AS VARCHAR) AS size, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_type END AS deps FROM part WHERE p_partkey % 17 <> 3),
+_SNAP_SQL = f"""active AS (SELECT {_NAME.format(k='p_partkey')} AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, p_type AS deps FROM part WHERE p_size <> 13),
+sync AS (SELECT {_NAME.format(k='p_partkey')} AS name, p_brand AS brand, CAST(CASE WHEN p_partkey % 9 = 0 THEN p_size + 1 ELSE p_size END AS VARCHAR) AS size, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_type END AS deps FROM part WHERE p_size <> 17),
 diffed AS (
   SELECT name, CASE WHEN a.brand IS NULL THEN 'added' WHEN b.brand IS NULL THEN 'removed' WHEN len(keys) = 0 THEN 'identical' ELSE 'changed' END AS status, keys AS changed_keys
   FROM (SELECT coalesce(a.name, b.name) AS name, a, b, list_filter([CASE WHEN a.brand IS DISTINCT FROM b.brand THEN 'brand' END, CASE WHEN a.deps IS DISTINCT FROM b.deps THEN 'dependencies' END, CASE WHEN a.size IS DISTINCT FROM b.size THEN 'size' END], lambda x: x IS NOT NULL) AS keys
@@ -121,8 +121,8 @@ def _name(k):
 def _snapshots(spark, sf_dir):
     part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     pack = lambda size, deps: F.map_filter(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), size.cast("string"), F.lit("dependencies"), deps), lambda _, v: v.isNotNull())
-    active = part.filter(k % 13 != 4).select(_name(k).alias("name"), pack(F.col("p_size"), F.col("p_type")).alias("data"))
-    sync = part.filter(k % 17 != 3).select(_name(k).alias("name"), pack(F.when(k % 9 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")), F.when(k % 8 != 0, F.col("p_type"))).alias("data"))
+    active = part.filter("p_size <> 13").select(_name(k).alias("name"), pack(F.col("p_size"), F.col("p_type")).alias("data"))
+    sync = part.filter("p_size <> 17").select(_name(k).alias("name"), pack(F.when(k % 9 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")), F.when(k % 8 != 0, F.col("p_type"))).alias("data"))
     return active, sync
 
 
@@ -166,16 +166,16 @@ def a12_deployment_risk(spark, sf_dir):
 
 # --- incremental -------------------------------------------------------------
 
-_FILES_SQL = """scanned AS (SELECT source || '/' || doc_id AS file_path, n_chars AS size, doc_id * 1000 AS mtime_ns, sha256(text) AS hash FROM documents WHERE doc_id % 9 <> 2),
+_FILES_SQL = """scanned AS (SELECT source || '/' || doc_id AS file_path, n_chars AS size, doc_id * 1000 AS mtime_ns, sha256(text) AS hash FROM documents WHERE lang <> 'es'),
 stored AS (SELECT source || '/' || doc_id AS file_path, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CASE WHEN doc_id % 6 = 0 THEN doc_id ELSE doc_id * 1000 END AS mtime_ns,
-  CASE WHEN doc_id % 12 = 0 THEN 'x' ELSE sha256(text) END AS hash, CASE WHEN doc_id % 10 = 1 THEN 'pending_parse' WHEN doc_id % 10 = 3 THEN 'error' ELSE 'parsed' END AS status, doc_id % 5 AS retry_count FROM documents WHERE doc_id % 7 <> 3)"""
+  CASE WHEN doc_id % 12 = 0 THEN 'x' ELSE sha256(text) END AS hash, CASE WHEN doc_id % 10 = 1 THEN 'pending_parse' WHEN doc_id % 10 = 3 THEN 'error' ELSE 'parsed' END AS status, doc_id % 5 AS retry_count FROM documents WHERE lang <> 'de')"""
 
 
 def _files(spark, sf_dir):
     docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     path, digest = F.concat("source", F.lit("/"), i.cast("string")), F.sha2("text", 256)
-    scanned = docs.filter(i % 9 != 2).select(path.alias("file_path"), F.col("n_chars").alias("size"), (i * 1000).alias("mtime_ns"), digest.alias("hash"))
-    stored = docs.filter(i % 7 != 3).select(path.alias("file_path"), F.when(i % 4 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.when(i % 6 == 0, i).otherwise(i * 1000).alias("mtime_ns"), F.when(i % 12 == 0, "x").otherwise(digest).alias("hash"), F.when(i % 10 == 1, "pending_parse").when(i % 10 == 3, "error").otherwise("parsed").alias("status"), (i % 5).alias("retry_count"))
+    scanned = docs.filter("lang <> 'es'").select(path.alias("file_path"), F.col("n_chars").alias("size"), (i * 1000).alias("mtime_ns"), digest.alias("hash"))
+    stored = docs.filter("lang <> 'de'").select(path.alias("file_path"), F.when(i % 4 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.when(i % 6 == 0, i).otherwise(i * 1000).alias("mtime_ns"), F.when(i % 12 == 0, "x").otherwise(digest).alias("hash"), F.when(i % 10 == 1, "pending_parse").when(i % 10 == 3, "error").otherwise("parsed").alias("status"), (i % 5).alias("retry_count"))
     return scanned, stored
 
 
@@ -189,11 +189,12 @@ def q9_retryable_files(spark, sf_dir):
     return inc.retryable(_files(spark, sf_dir)[1]).select("file_path", "status", "retry_count")
 
 
-@R.add("k1_upsert", "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'new: ' || text ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@R.add("k1_upsert", "SELECT d.doc_id AS chunk_id, CASE WHEN l.doc_id IS NOT NULL THEN 'new: ' || text ELSE text END AS text, CASE WHEN l.doc_id IS NOT NULL THEN 2 ELSE 1 END AS version FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def k1_upsert(spark, sf_dir):
+    """All documents, then those with labels once more."""
     docs = table(spark, sf_dir, "documents")
-    old = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(1).alias("version"))
-    new = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("new: "), "text").alias("text"), F.lit(2).alias("version"))
+    old = docs.select(F.col("doc_id").alias("chunk_id"), "text", F.lit(1).alias("version"))
+    new = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("new: "), "text").alias("text"), F.lit(2).alias("version"))
     return inc.upsert(old, new, ["chunk_id"])
 
 
@@ -217,10 +218,10 @@ def o5_next_batch(spark, sf_dir):
     return inc.next_batch(_chunk_queue(spark, sf_dir), 20).select("chunk_id", "priority", "created_at")
 
 
-@R.add("k6_mark_error", f"WITH {_QUEUE2_SQL} SELECT chunk_id, CASE WHEN chunk_id % 10 = 4 THEN 'error' ELSE status END AS status, retry_count + CASE WHEN chunk_id % 10 = 4 THEN 1 ELSE 0 END AS retry_count FROM chunk_queue")
+@R.add("k6_mark_error", f"WITH {_QUEUE2_SQL} SELECT chunk_id, CASE WHEN raw_text = '1-URGENT' THEN 'error' ELSE status END AS status, retry_count + CASE WHEN raw_text = '1-URGENT' THEN 1 ELSE 0 END AS retry_count FROM chunk_queue")
 def k6_mark_error(spark, sf_dir):
     rows = _chunk_queue(spark, sf_dir)
-    return inc.mark(rows, rows.filter("chunk_id % 10 = 4"), "error").select("chunk_id", "status", "retry_count")
+    return inc.mark(rows, rows.filter("raw_text = '1-URGENT'"), "error").select("chunk_id", "status", "retry_count")
 
 
 @R.add("a7_progress", f"WITH {_QUEUE2_SQL}, n AS (SELECT count(*) FILTER (status = 'embedded') AS done, count(*) FILTER (status IN ('embedded', 'pending')) AS total FROM chunk_queue) SELECT done, total, least(round(100 * done / total, 1), 100.0) AS percent, round(done / 40.0::DOUBLE, 4) AS rate, CAST(ceil((total - done) / round(done / 40.0::DOUBLE, 4)) AS BIGINT) AS eta FROM n")
@@ -246,9 +247,9 @@ def k7_delete_by_path(spark, sf_dir):
     return stored.join(scanned.select("file_path"), "file_path", "left_anti").select("file_path", "status")
 
 
-@R.add("k8_set_enriched_text", f"WITH {_QUEUE2_SQL}, more AS (SELECT o_orderkey AS chunk_id, 'rich ' || o_orderkey AS text FROM orders WHERE o_orderkey % 6 = 0) SELECT chunk_id, coalesce(text, raw_text) AS text FROM chunk_queue LEFT JOIN more USING (chunk_id)")
+@R.add("k8_set_enriched_text", f"WITH {_QUEUE2_SQL}, more AS (SELECT o_orderkey AS chunk_id, 'rich ' || o_orderkey AS text FROM orders WHERE o_orderstatus = 'P') SELECT chunk_id, coalesce(text, raw_text) AS text FROM chunk_queue LEFT JOIN more USING (chunk_id)")
 def k8_set_enriched_text(spark, sf_dir):
-    more = table(spark, sf_dir, "orders").filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("rich "), F.col("o_orderkey").cast("string")).alias("text"))
+    more = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("rich "), F.col("o_orderkey").cast("string")).alias("text"))
     return _chunk_queue(spark, sf_dir).join(more, "chunk_id", "left").select("chunk_id", F.coalesce("text", "raw_text").alias("text"))
 
 

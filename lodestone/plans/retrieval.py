@@ -191,15 +191,15 @@ def o4_like_top_k(spark, sf_dir):
 # --- context -----------------------------------------------------------------
 
 _NEIGHBORS = f"""WITH {LINES_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line, chunk_id) AS rn FROM lines),
-wanted AS (SELECT file_path AS f, rn AS spot, chunk_id AS target FROM placed WHERE start_line % 5 = 2)
+wanted AS (SELECT file_path AS f, rn AS spot, chunk_id AS target FROM placed)
 SELECT target, chunk_id, rn - spot AS hop FROM wanted JOIN placed ON file_path = f AND rn BETWEEN spot - 2 AND spot + 1"""
 
 
 @R.add("w2_neighbors", _NEIGHBORS)
 def w2_neighbors(spark, sf_dir):
-    """The two chunks before and the one after each of many targets, in one join."""
+    """The two chunks before and the one after every chunk, in one join."""
     rows = turns(spark, sf_dir)
-    return c.neighbors(rows, rows.filter("start_line % 5 = 2").select("chunk_id"), before=2, after=1).select("target", "chunk_id", "hop")
+    return c.neighbors(rows, rows.select("chunk_id"), before=2, after=1).select("target", "chunk_id", "hop")
 
 
 def _pack_sql(strategy: str) -> str:
