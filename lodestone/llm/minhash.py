@@ -10,15 +10,15 @@ Documents with equal sets are one class, and only its smallest id goes on.  The
 signature is cut in bands; classes that share a band are candidates, and a
 candidate becomes a link only after the full sets are compared.
 
-No bucket is expanded into all its pairs.  First each bucket compares its members
-with two pivots, other ones in each bucket; the links found join classes into
-components.  Then only buckets that still hold several components are open.
-Their members are dealt out in blocks, and each pair of blocks is compared in one
-numpy step, by a byte of each coordinate: what comes out are the pairs of
-different components that agree in ``AGREE`` coordinates at least, each once, in
-the first band it shares.  Those are verified on full sets.  So every pair of
-candidates ends verified, in one component, or below a bound that a pair at the
-threshold misses with probability 3e-6.
+No bucket is expanded into all its pairs.  The members of a bucket are dealt out in
+blocks, and blocks are compared in numpy by a byte of each coordinate; what comes
+out are pairs that agree in ``AGREE`` coordinates at least, which are then
+verified on full sets.  First each block compares its members with two pivots,
+other ones in each bucket, and the links join classes into components.  Then only
+buckets that still hold several components are open: each pair of their blocks is
+compared, and gives the pairs of different components, each once, in the first
+band it shares.  So every pair of candidates ends verified, in one component, or
+below a bound that a pair at the threshold misses with probability 3e-6.
 
 With 28 bands of 5 coordinates a pair at similarity 0.85 misses every band with
 probability 7e-8.
@@ -47,7 +47,7 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 28, 5
 #: Coordinates of a signature (the first ones form the bands), and how many low bytes of them must agree:
 #: 4.5 standard deviations under what is expected at the threshold.
-COORDINATES = 384
+COORDINATES = 512
 AGREE = int(COORDINATES * (PERCENT / 100 - 4.5 * (PERCENT * (100 - PERCENT) / 10000 / COORDINATES) ** 0.5))
 #: Bits of a slot: the ring has 2**21 of them.
 SLOT_BITS = 21
@@ -142,22 +142,6 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hashes binary")
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
-
-
-def _agreeing(pairs: DataFrame, low: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose signatures agree in enough coordinates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = _signatures(batch["x"]), _signatures(batch["y"])
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
-
-    right, left = low.select(F.col("doc_id").alias("b"), F.col("low").alias("y")), low.select(F.col("doc_id").alias("a"), F.col("low").alias("x"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
 
@@ -184,75 +168,99 @@ def _fits(a: str, b: str) -> Column:
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """Written rows (key, band, m, m_n): the members of each band that several classes share."""
+    """Written rows (key, size, band, m, m_n): the members of each band that several classes share."""
     bands = reps.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("m_n"), F.posexplode("bands").alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     return materialize(bands.join(shared, "key"), "buckets")
 
 
-def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b) of each bucket's members and its two pivots, the first and the last by a hash of their own in each bucket."""
-    order = F.xxhash64("m", "key")
-    both = [F.struct(by("m", order).alias("p"), by("m_n", order).alias("p_n")) for by in (F.min_by, F.max_by)]
-    pivots = members.groupBy("key").agg(F.array(*both).alias("_p"))
-    rows = members.join(pivots, "key").select("m", "m_n", F.explode("_p").alias("_x")).select("m", "m_n", "_x.p", "_x.p_n")
-    return rows.filter(F.col("p") != F.col("m")).filter(_fits("p_n", "m_n")).select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
+def _block(key: Column) -> Column:
+    """Which of its bucket's blocks a member is in."""
+    return F.pmod(F.xxhash64("m", key), F.ceil(F.col("size") / BLOCK))
 
 
-def _block_pairs(open_: DataFrame, low: DataFrame, width: int) -> DataFrame:
-    """(a, b), each once, of open members (key, band, m, m_n, c, size) that share a bucket, are of different components, and agree."""
-
-    def compared(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m, n, c, own, band = (np.array([r[k] for r in rows]) for k in range(5))
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, COORDINATES)
-        first, second = np.flatnonzero(own & 1), np.flatnonzero(own & 2)
-        for i in first:
-            j = second[(c[second] != c[i]) & (100 * np.minimum(n[second], n[i]) >= PERCENT * np.maximum(n[second], n[i]))]
-            if own[i] == 3:
-                j = j[m[j] > m[i]]  # a block with itself
-            if len(j):
-                same = sig[j] == sig[i]
-                near = same.sum(axis=1) >= AGREE
-                j, same = j[near], same[near]
-            if len(j):
-                earlier = same[:, : int(band[i]) * ROWS].reshape(len(j), -1, ROWS).all(axis=2).any(axis=1)
-                j = j[~earlier]
-                yield np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
+def _compared(rows: DataFrame, width: int, group: list[str], step) -> DataFrame:
+    """Distinct (a, b) that ``step`` finds in each group of rows; a group is one task's, and no larger than two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group = [], None
+        held: list[dict] = []
         for batch in batches:
             found = []
-            columns = [batch[k].to_pylist() for k in ("key", "x", "y", "m", "m_n", "c", "own", "band", "low")]
-            for key, x, y, *row in zip(*columns, strict=True):
-                if (key, x, y) != group:
-                    found += compared(held) if len(held) > 1 else ()
-                    held, group = [], (key, x, y)
+            for row in batch.to_pylist():
+                if held and any(row[k] != held[0][k] for k in group):
+                    found += step(held) if len(held) > 1 else ()
+                    held = []
                 held.append(row)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-        if len(held) > 1 and (found := list(compared(held))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-
-    blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("m"), blocks)
-    spread = open_.withColumn("_n", blocks).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    x, y = F.least("_own", "_other"), F.greatest("_own", "_other")
-    # 1: in the first block of the pair, 2: in the second, 3: the block with itself
+                yield _pairs(found)
+        if len(held) > 1 and (found := list(step(held))):
+            yield _pairs(found)
+
+    return rows.repartition(width, *group).sortWithinPartitions(*group, "m").mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+
+def _near(rows: list[dict], i: int, j: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of rows j whose size and signature fit row i, and where their coordinates agree with its."""
+    j = j[100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])]
+    same = sig[j] == sig[i]
+    near = same.sum(axis=1) >= AGREE
+    return j[near], same[near]
+
+
+def _columns(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([r["m"] for r in rows]), np.array([r["m_n"] for r in rows]), np.frombuffer(b"".join(r["low"] for r in rows), np.uint8).reshape(-1, COORDINATES)
+
+
+def _with_pivots(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Agreeing pairs of a block's members with two of them, picked by the bucket's key."""
+    m, n, sig = _columns(rows)
+    for i in {rows[0]["key"] % len(rows), (rows[0]["key"] // 7919) % len(rows)}:
+        j, _ = _near(rows, i, np.flatnonzero(m != m[i]), n, sig)
+        if len(j):
+            yield np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
+
+
+def _across(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Agreeing pairs of different components of a pair of blocks (own: 1 first, 2 second, 3 both are one), that share no earlier band."""
+    m, n, sig = _columns(rows)
+    c, own = np.array([r["c"] for r in rows]), np.array([r["own"] for r in rows])
+    second = np.flatnonzero(own & 2)
+    for i in np.flatnonzero(own & 1):
+        j = second[(c[second] != c[i]) & ((own[i] != 3) | (m[second] > m[i]))]
+        if len(j):
+            j, same = _near(rows, i, j, n, sig)
+            j = j[~same[:, : rows[i]["band"] * ROWS].reshape(len(j), rows[i]["band"], ROWS).all(axis=2).any(axis=1)]
+            if len(j):
+                yield np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
+
+
+def _pivot_pairs(members: DataFrame, low: DataFrame, width: int) -> DataFrame:
+    rows = members.withColumn("x", _block(F.col("key"))).join(low, "m").select("key", "x", "m", "m_n", "low")
+    return _compared(rows, width, ["key", "x"], _with_pivots)
+
+
+def _open_pairs(open_: DataFrame, low: DataFrame, width: int) -> DataFrame:
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))
+    spread = open_.withColumn("_own", _block(F.lit(0))).withColumn("_other", other)
     side = F.when(F.col("_own") == F.col("_other"), 3).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
-    rows = spread.select("key", x.alias("x"), y.alias("y"), "m", "m_n", "c", side.alias("own"), "band").join(low.withColumnRenamed("doc_id", "m"), "m")
-    return rows.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    rows = spread.select("key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "m", "m_n", "c", side.alias("own"), "band")
+    return _compared(rows.join(low, "m"), width, ["key", "x", "y"], _across)
 
 
 def _links(docs: DataFrame, sketch: DataFrame, members: DataFrame) -> DataFrame:
     """(node, component) of all classes that are linked with another."""
+    width = shuffle_width(docs.sparkSession)
     ids = members.select(F.col("m").alias("doc_id")).distinct()
-    low = materialize(sketch.select("doc_id", "low").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "low")
+    low = materialize(sketch.select("doc_id", "low").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "m"), "low")
     sets = materialize(_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    joined = components(_similar(materialize(_agreeing(_pivot_pairs(members), low), "pairs"), sets))
-    labelled = members.join(joined.withColumnRenamed("node", "m"), "m", "left").select("key", "band", "m", "m_n", F.coalesce("component", "m").alias("c"))
-    apart = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key", "size")
-    more = materialize(_block_pairs(labelled.join(apart, "key"), low, shuffle_width(docs.sparkSession)), "pairs")
+    joined = components(_similar(materialize(_pivot_pairs(members, low, width), "pairs"), sets))
+    labelled = members.join(joined.withColumnRenamed("node", "m"), "m", "left").select("key", "size", "band", "m", "m_n", F.coalesce("component", "m").alias("c"))
+    apart = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key")
+    more = materialize(_open_pairs(labelled.join(apart, "key"), low, width), "pairs")
     edges = _similar(more, sets).unionByName(joined.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     return components(edges).filter("node != component")
 
