@@ -397,3 +397,10 @@ def test_entry_points(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and set(catalog.queries()) <= set(names)
     assert entry.entry(spark).columns[:2] == ["rank", "chunk_id"]
+
+
+def test_php_symbols_and_hooks(spark):
+    text = "<?php\n#[Block]\nfinal class A {\n  public static function go() {}\n}\nfunction node_help() {}\nfunction other_help() {}\ninterface I {}"
+    rows = spark.createDataFrame([(1, text, "/m/node.module")], "id int, text string, file_path string")
+    assert {(r.line, r.kind, r.name) for r in chunking.php_symbols(rows, "id").collect()} == {(2, "attribute", "Block"), (3, "class", "A"), (4, "function", "go"), (6, "function", "node_help"), (7, "function", "other_help"), (8, "interface", "I")}
+    assert [(r.line, r.module, r.hook) for r in chunking.hooks(rows, "id").collect()] == [(6, "node", "help")]
