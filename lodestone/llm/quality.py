@@ -36,7 +36,7 @@ from lodestone.llm.sampling import bounded, fold
 
 #: Labels of this fold of crc32(doc_id) are held out.
 FOLDS, HELD_OUT = 3, 1
-#: Most documents of either label that the field is fitted on, and lines of each that are used for fitting.
+#: Most documents of either label that the field is fitted on, and lines in a row of each; scoring takes all lines.
 SAMPLE, SAMPLE_LINES = 1500, 200
 ROUNDS, STEPS, RATE, L2 = 3, 120, 0.1, 1e-3
 #: Thresholds at which shares are cut.
@@ -220,14 +220,17 @@ def _batch(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sampled(docs: DataFrame, ids: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Line features and lengths of the first ``SAMPLE_LINES`` lines of each sampled document."""
+    """Line features and lengths of each sampled document: all lines, or ``SAMPLE_LINES`` in a row from a place that its id decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = w.text_bytes(batch["text"])
             for i, j in w.slices(offsets):
                 own, size, first = _batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                spans = [(int(a), int(min(b, a + SAMPLE_LINES))) for a, b in zip(first[:-1], first[1:], strict=True)]
+                spans = []
+                for ident, a, b in zip(batch["doc_id"].slice(i, j - i).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    a += ident * 2654435761 % max(1, b - a - SAMPLE_LINES + 1)
+                    spans.append((a, min(b, a + SAMPLE_LINES)))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array([np.packbits(own[a:b], axis=1).tobytes() for a, b in spans], pa.binary()), pa.array([size[a:b].astype(np.int64).tobytes() for a, b in spans], pa.binary()), pa.array([own.shape[1]] * len(spans), pa.int32())], names=["doc_id", "own", "size", "width"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")

@@ -38,7 +38,7 @@ from lodestone.llm.sampling import bounded, fold
 #: Labels of this fold of crc32(doc_id) are held out.
 FOLDS, HELD_OUT = 5, 0
 #: Most documents of either kind that the model is fitted on.
-POSITIVES, UNLABELLED = 2000, 12_000
+POSITIVES, UNLABELLED = 2000, 8000
 #: Feature slots (a power of two), and the lengths in bytes of word beginnings.
 SLOT_BITS, BEGINNINGS = 20, (4, 5)
 #: A feature takes part if it is so much likelier in positives (log ratio), smoothed by this share of documents at least.
@@ -98,11 +98,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def ratios(p: Rows, u: Rows, n: int) -> np.ndarray:
+def ratios(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int) -> np.ndarray:
     """How much likelier each feature is in a positive than in an unlabelled document, as a smoothed log ratio."""
-    positive, unlabelled = np.bincount(p.slots, minlength=n) / len(p.ends), np.bincount(u.slots, minlength=n) / len(u.ends)
-    smooth = max(LEAST_SHARE, 3 / len(p.ends))
-    return np.log((positive + smooth) / (unlabelled + smooth))
+    shares = []
+    for lists in (positive, unlabelled):
+        counts = np.zeros(n)
+        for slots in lists:
+            counts[slots] += 1
+        shares.append(counts / len(lists))
+    smooth = max(LEAST_SHARE, 3 / len(positive))
+    return np.log((shares[0] + smooth) / (shares[1] + smooth))
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
@@ -114,12 +119,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     n = 1 << SLOT_BITS
     if not positive or not unlabelled:
         return np.zeros(n), -np.inf
-    whole = [_rows(x) for x in (positive, unlabelled)]
-    value = ratios(*whole, n)
+    value = ratios(positive, unlabelled, n)
     used = np.flatnonzero(value >= LEAST_RATIO)
     place = np.full(n, -1)
     place[used] = np.arange(len(used))
-    keep = lambda lists: _rows([x[x >= 0] for x in (place[s.astype(np.int64)] for s in lists)])
+    keep = lambda lists: _rows([x[x >= 0] for x in (place[s] for s in lists)])
     p, u, value = keep(positive), keep(unlabelled), value[used]
     weight, bias = np.full(len(used), 0.5), float(np.log(prior / (1 - prior))) - 1.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
