@@ -8,6 +8,7 @@ ends in the chunk's id.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -86,31 +87,35 @@ def vector_top_k(rows: DataFrame, query: list[float], k: int = CANDIDATES) -> Da
     return rows.withColumn("distance", F.round(cosine_distance(F.col("vector"), query), 6)).filter("distance is not null").orderBy("distance", "chunk_id").limit(k)
 
 
+def _words(word: str | None = None) -> Column:
+    """The pattern of one word, or of any, in lower-cased text; it stays in generated code, which arrays of words don't."""
+    return F.lit("[a-z0-9_.]+" if word is None else f"(?<![a-z0-9_.]){re.escape(word)}(?![a-z0-9_.])")
+
+
+def _lower() -> Column:
+    return F.lower(F.coalesce(F.col("text"), F.lit("")))
+
+
 def corpus_stats(rows: DataFrame, words: list[str]) -> tuple[int, float, dict[str, int]]:
     """Number of rows, their mean length in words, and in how many each of the words occurs: one row, whatever the corpus."""
-    held = rows.select(t.tokens(F.coalesce("text", F.lit(""))).alias("_t"))
-    counts = [F.count_if(F.array_contains("_t", w)).alias(f"_{i}") for i, w in enumerate(words)]
-    n, mean, *df = held.agg(F.count("*"), F.avg(F.size("_t")), *counts).first()
+    counts = [F.count_if(F.regexp_count(_lower(), _words(w)) > 0).alias(f"_{i}") for i, w in enumerate(words)]
+    n, mean, *df = rows.agg(F.count("*"), F.avg(F.regexp_count(_lower(), _words())), *counts).first()
     return n, mean or 0.0, dict(zip(words, df, strict=True))
 
 
 def bm25(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Adds ``score``; rows without any of the words are left out."""
+    """Adds ``score``; rows without any of the words are left out, before anything is counted in them."""
     if not words:
         return rows.withColumn("score", F.lit(0.0)).filter(F.lit(False))
     n, mean, df = corpus_stats(rows, words)
-    held = rows.withColumn("_t", t.tokens(F.coalesce("text", F.lit(""))))
-    length = F.size("_t") / F.lit(mean or 1.0)
+    some = _lower().rlike("(?<![a-z0-9_.])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9_.])")
+    length = F.regexp_count(_lower(), _words()) / F.lit(mean or 1.0)
     score = F.lit(0.0)
     for w in words:
         idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-        tf = _frequency(w)
+        tf = F.regexp_count(_lower(), _words(w)).cast("double")
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + F.lit(K1) * (1 - B + B * length))
-    return held.withColumn("score", F.round(score, 6)).filter("score > 0").drop("_t")
-
-
-def _frequency(word: str) -> Column:
-    return F.size(F.filter("_t", lambda x: x == word)).cast("double")
+    return rows.filter(some).withColumn("score", F.round(score, 6))
 
 
 def keyword_top_k(rows: DataFrame, query: str, k: int = CANDIDATES) -> DataFrame:
