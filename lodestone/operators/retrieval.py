@@ -87,35 +87,40 @@ def vector_top_k(rows: DataFrame, query: list[float], k: int = CANDIDATES) -> Da
     return rows.withColumn("distance", F.round(cosine_distance(F.col("vector"), query), 6)).filter("distance is not null").orderBy("distance", "chunk_id").limit(k)
 
 
-def _words(word: str | None = None) -> Column:
-    """The pattern of one word, or of any, in lower-cased text; it stays in generated code, which arrays of words don't."""
-    return F.lit("[a-z0-9_.]+" if word is None else f"(?<![a-z0-9_.]){re.escape(word)}(?![a-z0-9_.])")
+def _hits(words: list[str]) -> Column:
+    """The query's words in a text, in one pass: all their occurrences, few whatever the text's length."""
+    some = "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+    return F.regexp_extract_all(_lower(), F.lit(f"(?<![a-z0-9_.])(?:{some})(?![a-z0-9_.])"), F.lit(0))
 
 
 def _lower() -> Column:
     return F.lower(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _length() -> Column:
+    return F.regexp_count(_lower(), F.lit("[a-z0-9_.]+"))
+
+
 def corpus_stats(rows: DataFrame, words: list[str]) -> tuple[int, float, dict[str, int]]:
     """Number of rows, their mean length in words, and in how many each of the words occurs: one row, whatever the corpus."""
-    counts = [F.count_if(F.regexp_count(_lower(), _words(w)) > 0).alias(f"_{i}") for i, w in enumerate(words)]
-    n, mean, *df = rows.agg(F.count("*"), F.avg(F.regexp_count(_lower(), _words())), *counts).first()
+    held = rows.select(_length().alias("_n"), _hits(words).alias("_h"))
+    n, mean, *df = held.agg(F.count("*"), F.avg("_n"), *(F.count_if(F.array_contains("_h", w)).alias(f"_{i}") for i, w in enumerate(words))).first()
     return n, mean or 0.0, dict(zip(words, df, strict=True))
 
 
 def bm25(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Adds ``score``; rows without any of the words are left out, before anything is counted in them."""
+    """Adds ``score``; rows without any of the words are left out."""
     if not words:
         return rows.withColumn("score", F.lit(0.0)).filter(F.lit(False))
     n, mean, df = corpus_stats(rows, words)
-    some = _lower().rlike("(?<![a-z0-9_.])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9_.])")
-    length = F.regexp_count(_lower(), _words()) / F.lit(mean or 1.0)
+    held = rows.withColumns({"_h": _hits(words), "_n": _length() / F.lit(mean or 1.0)}).filter(F.size("_h") > 0)
     score = F.lit(0.0)
     for w in words:
         idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-        tf = F.regexp_count(_lower(), _words(w)).cast("double")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + F.lit(K1) * (1 - B + B * length))
-    return rows.filter(some).withColumn("score", F.round(score, 6))
+        tf = F.size(F.array_remove(F.col("_h"), w))
+        tf = (F.size("_h") - tf).cast("double")
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + F.lit(K1) * (1 - B + B * F.col("_n")))
+    return held.withColumn("score", F.round(score, 6)).drop("_h", "_n")
 
 
 def keyword_top_k(rows: DataFrame, query: str, k: int = CANDIDATES) -> DataFrame:
