@@ -203,12 +203,10 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
 
-def _near(rows: list[dict], i: int, j: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of rows j whose size and signature fit row i, and where their coordinates agree with its."""
+def _near(i: int, j: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Those of rows j whose size and signature fit row i."""
     j = j[100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])]
-    same = sig[j] == sig[i]
-    near = same.sum(axis=1) >= AGREE
-    return j[near], same[near]
+    return j[(sig[j] == sig[i]).sum(axis=1) >= AGREE]
 
 
 def _columns(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,21 +217,25 @@ def _with_pivots(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Agreeing pairs of a block's members with two of them, picked by the bucket's key."""
     m, n, sig = _columns(rows)
     for i in {rows[0]["key"] % len(rows), (rows[0]["key"] // 7919) % len(rows)}:
-        j, _ = _near(rows, i, np.flatnonzero(m != m[i]), n, sig)
+        j = _near(i, np.flatnonzero(m != m[i]), n, sig)
         if len(j):
             yield np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
 
 
 def _across(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Agreeing pairs of different components of a pair of blocks (own: 1 first, 2 second, 3 both are one), that share no earlier band."""
+    """Agreeing pairs of different components of a pair of blocks (own: 1 first, 2 second, 3 both are one), that share no earlier band.
+
+    Bands are told apart by their full keys, as buckets are: a byte of each coordinate would take other bands for shared.
+    """
     m, n, sig = _columns(rows)
+    keys = np.array([r["bands"] for r in rows])
     c, own = np.array([r["c"] for r in rows]), np.array([r["own"] for r in rows])
     second = np.flatnonzero(own & 2)
     for i in np.flatnonzero(own & 1):
         j = second[(c[second] != c[i]) & ((own[i] != 3) | (m[second] > m[i]))]
         if len(j):
-            j, same = _near(rows, i, j, n, sig)
-            j = j[~same[:, : rows[i]["band"] * ROWS].reshape(len(j), rows[i]["band"], ROWS).all(axis=2).any(axis=1)]
+            j = _near(i, j, n, sig)
+            j = j[~(keys[j, : rows[i]["band"]] == keys[i, : rows[i]["band"]]).any(axis=1)]
             if len(j):
                 yield np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
 
@@ -255,7 +257,7 @@ def _links(docs: DataFrame, sketch: DataFrame, members: DataFrame) -> DataFrame:
     """(node, component) of all classes that are linked with another."""
     width = shuffle_width(docs.sparkSession)
     ids = members.select(F.col("m").alias("doc_id")).distinct()
-    low = materialize(sketch.select("doc_id", "low").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "m"), "low")
+    low = materialize(sketch.select("doc_id", "low", "bands").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "m"), "low")
     sets = materialize(_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
     joined = components(_similar(materialize(_pivot_pairs(members, low, width), "pairs"), sets))
     labelled = members.join(joined.withColumnRenamed("node", "m"), "m", "left").select("key", "size", "band", "m", "m_n", F.coalesce("component", "m").alias("c"))

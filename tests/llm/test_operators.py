@@ -108,6 +108,16 @@ def test_near_duplicates_in_small_blocks(docs, texts, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == want
 
 
+def test_minhash_band_shared_in_low_bytes_only(spark):
+    """Two classes whose first bands agree in the low bytes but have other keys meet in a later band: the pair isn't dropped there."""
+    keys = [list(range(minhash.BANDS)), [100, *range(1, minhash.BANDS)]]
+    low = spark.createDataFrame([(m, bytes(minhash.COORDINATES), k) for m, k in enumerate(keys)], "m long, low binary, bands array<bigint>")
+    buckets = spark.createDataFrame([(7, 2, 1, m, 50, m) for m in (0, 1)], "key long, size long, band int, m long, m_n long, c long")
+    assert [tuple(r) for r in minhash._open_pairs(buckets, low, 2).collect()] == [(0, 1)]
+    again = spark.createDataFrame([(8, 2, 2, m, 50, m) for m in (0, 1)], buckets.schema)
+    assert minhash._open_pairs(again, low, 2).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
