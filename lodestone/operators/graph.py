@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.scratch import written
+
 MAX_DEPTH = 3
+#: Levels of a path search after which the nodes seen are written as one table.
+SEEN_LEVELS = 8
 
 
 def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -62,27 +66,33 @@ def imports(nodes: DataFrame, edges: DataFrame, file_path: str | None = None) ->
     return rows.select(F.col("file_path").alias("source_file"), F.col("target_node_name").alias("imported"))
 
 
-def trace_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, depth: int = 10) -> DataFrame:
+def trace_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
     """(path) from one symbol to another over call edges: the shortest, of equal ones the least; no row if there is none.
 
-    Breadth first with parent paths: each level joins the frontier with the calls
-    and keeps the least path to each node not seen before, so a level is no
-    larger than the graph.
+    Breadth first with parent paths, until nothing new is reached: each level
+    joins the frontier with the calls and keeps the least path to each node not
+    seen before, so a level is no larger than the graph.  Levels are written, so
+    plans don't grow with them.  A call to a name without a node ends there: it can
+    be the target, but isn't followed.
     """
-    label = nodes.select("node_id", "symbol_path", "symbol_name")
     is_ = lambda x: (F.col("symbol_path") == x) | (F.col("symbol_name") == x)
-    calls = edges.filter("relationship_type = 'calls' and target_node_id is not null").select("source_node_id", "target_node_id")
-    level = label.filter(is_(source)).select("node_id", F.array("symbol_path").alias("path"))
-    seen = level.select("node_id")
-    for _ in range(depth + 1):
-        hit = level.join(label.filter(is_(target)), "node_id").agg(F.min("path").alias("path")).filter("path is not null")
-        if hit.count() or not level.count():
-            return hit
-        step = calls.join(level, calls["source_node_id"] == level["node_id"]).select(F.col("target_node_id").alias("node_id"), "path")
-        step = step.join(seen, "node_id", "left_anti").join(label.select("node_id", "symbol_path"), "node_id")
-        level = step.groupBy("node_id").agg(F.min(F.concat("path", F.array("symbol_path"))).alias("path"))
-        seen = seen.unionByName(level.select("node_id"))
-    return level.select("path").limit(0)
+    known = nodes.select(F.col("node_id").alias("target_node_id"), F.col("node_id").alias("_id"), "symbol_path", "symbol_name")
+    calls = edges.filter("relationship_type = 'calls'").join(known, "target_node_id", "left")
+    name = F.coalesce(F.nullif("symbol_path", F.lit("")), "target_node_name")
+    calls = written(calls.select("source_node_id", F.col("_id").alias("node_id"), name.alias("_name"), F.coalesce((name == target) | is_(target), F.lit(False)).alias("_hit")), "calls")
+    first = nodes.filter(is_(source)).select("node_id", F.array("symbol_path").alias("path"), F.when(is_(target), F.array("symbol_path")).alias("found"))
+    level = written(first, "level")
+    seen, depth = level.select("node_id"), 0
+    while True:
+        found, some = level.agg(F.min("found"), F.count("node_id")).first()
+        if found is not None or not some:
+            return level.agg(F.min("found").alias("path")).filter("path is not null")
+        step = calls.join(level.select(F.col("node_id").alias("source_node_id"), "path"), "source_node_id").filter("node_id is not null or _hit").join(seen, "node_id", "left_anti")
+        path = F.concat("path", F.array("_name"))
+        level = written(step.groupBy("node_id").agg(F.min(path).alias("path"), F.min(F.when(F.col("_hit"), path)).alias("found")), "level")
+        seen, depth = seen.unionByName(level.select("node_id")), depth + 1
+        if depth % SEEN_LEVELS == 0:
+            seen = written(seen, "seen")
 
 
 def enclosing(spans: DataFrame, sites: DataFrame, slack: int = 10) -> DataFrame:

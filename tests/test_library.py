@@ -240,6 +240,18 @@ def test_trace_path(web):
         assert (rows[0].path if rows else None) == want
 
 
+def test_trace_path_has_no_longest(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"s{i}", f"m.s{i}") for i in range(15)], "node_id string, symbol_name string, symbol_path string")
+    calls = [(f"n{i}", f"s{i + 1}", f"n{i + 1}", "calls") for i in range(14)]
+    calls += [("n14", "s3", "n3", "calls"), ("n2", "outside", None, "calls"), ("n2", "gone", "n99", "calls")]
+    edges = spark.createDataFrame(calls, "source_node_id string, target_node_name string, target_node_id string, relationship_type string")
+    path = lambda target: [r.path for r in graph.trace_path(nodes, edges, "m.s0", target).collect()]
+    assert path("s14") == [[f"m.s{i}" for i in range(15)]]
+    assert path("outside") == [["m.s0", "m.s1", "m.s2", "outside"]]
+    assert path("gone") == [["m.s0", "m.s1", "m.s2", "gone"]]
+    assert path("nowhere") == []
+
+
 def test_delete_file(web):
     nodes, edges, frames = web
     left, kept = graph.delete_file(*frames, "f2")
