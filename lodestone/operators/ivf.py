@@ -1,4 +1,10 @@
-"""An approximate vector index: cells by k-means on a bounded sample, all rows in their cell."""
+"""A vector index: cells by k-means on a bounded sample, all rows in their cell.
+
+A search first visits the cells nearest to the query.  The k-th distance found there
+rules out each cell that lies farther away as a whole: by the triangle inequality no
+row of a cell is nearer than its centre less the cell's radius.  All other cells are
+visited too, so the result is exact; only a search with ``probes`` is approximate.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +15,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieval import cosine_distance
+from lodestone.operators.retrieval import vector_top_k
 
 #: Rows that cells are fitted on at most; cells at most.
 SAMPLE, CELLS = 20_000, 256
+#: Cells that a search visits to bound the k-th distance.
+FIRST = 8
 
 
 def _unit(rows: DataFrame) -> DataFrame:
@@ -21,7 +29,7 @@ def _unit(rows: DataFrame) -> DataFrame:
 
 
 def build(vectors: DataFrame, cells: int | None = None) -> tuple[DataFrame, list[list[float]]]:
-    """(rows with their ``cell``, centres): every row is in a cell; centres come from a sample bounded by SAMPLE."""
+    """(rows with their ``cell`` and ``cell_distance`` from its centre, centres): every row is in a cell; centres come from a sample bounded by SAMPLE."""
     total = vectors.count()
     k = cells or min(CELLS, max(1, int(math.sqrt(total))))
     unit = _unit(vectors)
@@ -31,14 +39,32 @@ def build(vectors: DataFrame, cells: int | None = None) -> tuple[DataFrame, list
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
     table = F.array(*[F.array(*map(F.lit, c)) for c in centres])
     near = F.transform(table, lambda c, i: F.struct(F.aggregate(F.zip_with(F.col("_u"), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("i")))
-    return unit.withColumn("cell", F.array_min(near)["i"]).drop("_u"), centres
+    placed = unit.withColumn("_near", F.array_min(near))
+    return placed.withColumns({"cell": F.col("_near.i"), "cell_distance": F.sqrt("_near.d")}).drop("_u", "_near"), centres
+
+
+def radii(indexed: DataFrame) -> dict[int, float]:
+    """Each cell's largest distance of a row from its centre."""
+    return {r.cell: r.radius or 0.0 for r in indexed.groupBy("cell").agg(F.max("cell_distance").alias("radius")).collect()}
 
 
-def top_k(indexed: DataFrame, centres: list[list[float]], query: list[float], k: int, probes: int = 8) -> DataFrame:
-    """The k nearest rows among the cells whose centres are nearest to the query: a pruned scan."""
+def top_k(indexed: DataFrame, centres: list[list[float]], query: list[float], k: int, probes: int | None = None, radius: dict[int, float] | None = None) -> DataFrame:
+    """The k nearest rows: of all that ``build`` indexed, or of the ``probes`` cells whose centres are nearest to the query.
+
+    ``radius`` (from ``radii``) spares many searches of one index a scan each.
+    """
     norm = math.sqrt(sum(x * x for x in query)) or 1.0
     unit = [x / norm for x in query]
-    order = sorted(range(len(centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centres[i], unit, strict=True)))[:probes]
-    rows = indexed.filter(F.col("cell").isin(*order)).withColumn("distance", F.round(cosine_distance(F.col("vector"), query), 6))
-    return rows.filter("distance is not null").orderBy("distance", "chunk_id").limit(k)
+    away = [math.dist(c, unit) for c in centres]
+    order = sorted(range(len(centres)), key=away.__getitem__)
+    if probes is not None:
+        return _nearest(indexed, order[:probes], query, k)
+    radius = radii(indexed) if radius is None else radius
+    n, last = _nearest(indexed, order[:FIRST], query, k).agg(F.count("*"), F.max("distance")).first()
+    # The distance of unit vectors, squared and halved, is the cosine distance; 1e-6 is more than rounding moves it.
+    out = [i for i in order[FIRST:] if n == k and max(0.0, away[i] - radius.get(i, 0.0)) ** 2 / 2 > last + 1e-6]
+    return _nearest(indexed, sorted(set(order) - set(out)), query, k)
+
 
+def _nearest(indexed: DataFrame, cells: list[int], query: list[float], k: int) -> DataFrame:
+    return vector_top_k(indexed.filter(F.col("cell").isin(*cells)), query, k)

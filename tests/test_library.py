@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from lodestone import catalog
 from lodestone.functions import html
 from lodestone.functions import text as t
 from lodestone.operators import catalogs, chunking, context, graph, health, incremental, ivf, ops, retrieval, snapshots
+from lodestone.plans.inputs import QUERY_VECTOR, vectors
 from lodestone.sources import files, yaml
 from lodestone.streaming import drain
 
@@ -333,6 +335,26 @@ def test_index_recall(spark):
     assert found / total >= 0.9
 
 
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.1"])
+def test_index_recall_at_the_defaults(spark, folder):
+    rows, centres = ivf.build(vectors(spark, folder))
+    rows = rows.cache()
+    held = rows.select("chunk_id", "vector").collect()
+    ids, matrix = np.array([r.chunk_id for r in held]), np.array([r.vector for r in held], np.float64)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    radius = ivf.radii(rows)
+    asked = [(r.vector, u) for r, u in zip(held, matrix, strict=True) if int(r.chunk_id) % 50 == 0][:10] + [(QUERY_VECTOR, np.array(QUERY_VECTOR))]
+    found = total = 0
+    for v, u in asked:
+        want = set(ids[np.argsort(-(matrix @ u), kind="stable")[:10]])
+        found += len(want & {r.chunk_id for r in ivf.top_k(rows, centres, [float(x) for x in v], 10, radius=radius).select("chunk_id").collect()})
+        total += len(want)
+    assert found / total >= 0.9
+    exact = retrieval.vector_top_k(rows, QUERY_VECTOR, 20).select("chunk_id", "distance").collect()
+    assert catalog.queries()["k12_ivf_top_k"](spark, folder).collect() == exact
+    rows.unpersist()
+
+
 # --- sources -----------------------------------------------------------------
 
 
