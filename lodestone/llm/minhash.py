@@ -6,33 +6,38 @@ least number among the document's slots after the ring is turned by k.  Turning
 means reading the next entry of one table, so all coordinates of a shingle are
 one contiguous slice.
 
-Documents with equal sets are one class, and only its smallest id goes on.  The
-signature is cut in bands; classes that share a band are candidates, and a
-candidate becomes a link only after the full sets are compared.
-
-No bucket is expanded into all its pairs.  The members of a bucket are dealt out in
-blocks, and blocks are compared in numpy by a byte of each coordinate; what comes
-out are pairs that agree in ``AGREE`` coordinates at least, which are then
-verified on full sets.  First each block compares its members with two pivots,
-other ones in each bucket, and the links join classes into components.  Then only
-buckets that still hold several components are open: each pair of their blocks is
-compared, and gives the pairs of different components, each once, in the first
-band it shares.  So every pair of candidates ends verified, in one component, or
-below a bound that a pair at the threshold misses with probability 3e-6.
-
-With 28 bands of 5 coordinates a pair at similarity 0.85 misses every band with
-probability 7e-8.
+Rows with equal sets are one class, known by the number of one of its rows.  A
+class's signature is cut in bands; classes that share a band share a bucket.  No
+bucket is expanded into its pairs, and signatures stay where they were made: what
+is shuffled is a bucket's key and a class's number.
+
+1. Each bucket's members are paired with its least and its greatest member.  Of
+   these pairs sizes and a bitmap of each set (bit parity of 512 hashed counts,
+   an exact bound on how much two sets differ) rule out most; the others are
+   compared on full sets.  Links join classes into components.
+2. A bucket is open while members besides those two are of several components.
+   The classes of open buckets are joined on prefixes: shingles in one order,
+   first those that only one component holds, then rarest first.  Two sets at
+   the threshold share a shingle that stands, in both, before the place from
+   which the rest is too short to reach it; so only these places are joined, and
+   a family of texts on one template, whose common part stands last, joins
+   nothing.  The pairs found are bounded and compared as before.
+
+So every pair that shares a band is compared, or ruled out by an exact bound, or
+already in one component.  With 32 bands of 6 coordinates a pair at similarity
+0.85 shares none with probability 2.6e-7.
 
 Edge cases: fewer than 5 words are one shingle; no words, or null text: the
-empty set, linked with nothing; rows with one id are one document; a null id is
-linked with nothing and kept; no rows give no rows.
+empty set, linked with nothing; rows with one id and other texts are compared as
+documents of their own; a null id is linked with nothing and kept; no rows give
+no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +46,19 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import words as w
 from lodestone.llm.graph import components
-from lodestone.llm.tables import materialize, shuffle_width
+from lodestone.llm.tables import materialize
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 28, 5
-#: Coordinates of a signature (the first ones form the bands), and how many low bytes of them must agree:
-#: 4.5 standard deviations under what is expected at the threshold.
-COORDINATES = 512
-AGREE = int(COORDINATES * (PERCENT / 100 - 4.5 * (PERCENT * (100 - PERCENT) / 10000 / COORDINATES) ** 0.5))
+BANDS, ROWS = 32, 6
+COORDINATES = BANDS * ROWS
+#: Smaller sets are linked with equal ones alone: one shingle of difference is too much.
+LEAST = -(-PERCENT // (100 - PERCENT))
 #: Bits of a slot: the ring has 2**21 of them.
 SLOT_BITS = 21
-#: Members of a block of a bucket.
-BLOCK = 512
-#: Bytes of a shingle's hash that verification compares: two sets of a thousand shingles have one in common by chance once in a million pairs.
-HASH_BYTES = 5
+#: 64-bit words of a set's bitmap.
+BITMAP = 8
 _STEP = 4096
+_BITS = [f"p{i}" for i in range(BITMAP)]
 
 
 @cache
@@ -87,79 +90,68 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One hash for each band, of the band's coordinates and its number."""
-    coordinates = sig[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """For each signature one hash of each band, of the band's coordinates and its number."""
+    coordinates = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), coordinates.shape[:2])
     for k in range(ROWS):
-        key = w.mix(key * np.uint64(0x9E3779B97F4A7C15) + coordinates[:, k])
+        key = w.mix(key * np.uint64(0x9E3779B97F4A7C15) + coordinates[:, :, k])
     return key.view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of 512 hashed places: two sets differ by at least as many shingles as bits."""
+    places = w.mix(shingles ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(55)
+    return np.packbits(np.bincount(places, minlength=64 * BITMAP) & 1 == 1).view("<i8")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, a digest of the set (null if empty), its band keys and a byte of each coordinate."""
+    """Per row of docs (doc_id, text, th): doc_id, th, n_shingles, a digest of the set, band keys and bitmap (null if the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = w.text_bytes(batch["text"])
             for i, j in w.slices(offsets):
-                rows = []
-                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    if len(s):
-                        sig = signature(s)
-                        rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(sig), sig.astype(np.uint8).tobytes()))
-                    else:
-                        rows.append((0, None, np.empty(0, np.int64), None))
-                counts, digests, keys, low = zip(*rows, strict=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "low"])
-
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<bigint>, low binary")
-
-
-def _packed(hashes: np.ndarray) -> bytes:
-    """The sorted high bytes of a set's hashes."""
-    return (hashes >> np.uint64(64 - 8 * HASH_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-
-
-def _unpacked(data: pa.Buffer) -> np.ndarray:
-    low = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
-    out = np.zeros((len(low), 8), np.uint8)
-    out[:, :HASH_BYTES] = low
-    return out.view("<u8").ravel()
+                counts, digests, signed, bits, at = [], [], [], [], []
+                for k, s in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])):
+                    counts.append(len(s))
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    if len(s) >= LEAST:
+                        at.append(k)
+                        signed.append(signature(s))
+                        bits.append(bitmap(s))
+                sizes = np.zeros(j - i + 1, np.int32)
+                sizes[np.array(at, int) + 1] = BANDS
+                keys = band_keys(np.array(signed)).ravel() if at else np.empty(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(keys, pa.int64()))
+                maps = np.zeros((j - i, BITMAP), np.int64)
+                if at:
+                    maps[at] = bits
+                own = [batch["doc_id"].slice(i, j - i), batch["th"].slice(i, j - i), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(maps[:, k]) for k in range(BITMAP))], names=["doc_id", "th", "n_shingles", "digest", "bands", *_BITS])
+
+    columns = ", ".join(f"{b} long" for b in _BITS)
+    return docs.select("doc_id", "text", "th").mapInArrow(run, f"doc_id long, th long, n_shingles long, digest binary, bands array<bigint>, {columns}")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id and its set as the bytes of sorted hashes."""
+    """Per class (docs: node, text): node and its sorted shingle hashes. Repeated rows that follow each other give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
+            node = batch["node"].to_numpy()
+            fresh = np.append(True, node[1:] != node[:-1])
+            fresh[0] = before is None or node[0] != before
+            before = node[-1]
+            batch = batch.filter(pa.array(fresh))
             data, offsets = w.text_bytes(batch["text"])
             for i, j in w.slices(offsets):
-                rows = [_packed(s) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(rows, pa.binary())], names=["doc_id", "hashes"])
-
-    return docs.mapInArrow(run, "doc_id long, hashes binary")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                sets = list(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(i, j - i), lists], names=["node", "hashes"])
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    asked = sets.join(ids, "doc_id", "left_semi")
-    right, left = asked.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), asked.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return docs.select("node", "text").mapInArrow(run, "node long, hashes array<bigint>")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -167,121 +159,121 @@ def _fits(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """Written rows (key, size, band, m, m_n): the members of each band that several classes share."""
-    bands = reps.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("m_n"), F.posexplode("bands").alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    return materialize(bands.join(shared, "key"), "buckets")
-
+def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and bitmaps don't rule out.
 
-def _block(key: Column) -> Column:
-    """Which of its bucket's blocks a member is in."""
-    return F.pmod(F.xxhash64("m", key), F.ceil(F.col("size") / BLOCK))
+    A link needs a union of at most 100/85 of the common part, so the sets may differ by 15/185 of both sizes together.
+    """
+    left = facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), *(F.col(p).alias(f"a{p}") for p in _BITS))
+    right = facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), *(F.col(p).alias(f"b{p}") for p in _BITS))
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in _BITS))
+    bound = (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb"))
+    return pairs.join(right, "b").join(left, "a").filter(_fits("na", "nb") & bound).select("a", "b")
 
 
-def _compared(rows: DataFrame, width: int, group: list[str], step) -> DataFrame:
-    """Distinct (a, b) that ``step`` finds in each group of rows; a group is one task's, and no larger than two blocks."""
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
         for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                if held and any(row[k] != held[0][k] for k in group):
-                    found += step(held) if len(held) > 1 else ()
-                    held = []
-                held.append(row)
-            if found:
-                yield _pairs(found)
-        if len(held) > 1 and (found := list(step(held))):
-            yield _pairs(found)
-
-    return rows.repartition(width, *group).sortWithinPartitions(*group, "m").mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-
-
-def _near(i: int, j: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Those of rows j whose size and signature fit row i."""
-    j = j[100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])]
-    return j[(sig[j] == sig[i]).sum(axis=1) >= AGREE]
+            keep = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    right, left = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-def _columns(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array([r["m"] for r in rows]), np.array([r["m_n"] for r in rows]), np.frombuffer(b"".join(r["low"] for r in rows), np.uint8).reshape(-1, COORDINATES)
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """Written rows (key, node, lo, hi): the members of each band that several classes share, its least and greatest one."""
+    bands = classes.select("node", F.explode("bands").alias("key"))
+    shared = materialize(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "buckets")
+    return materialize(bands.join(shared, "key"), "members")
 
-def _with_pivots(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Agreeing pairs of a block's members with two of them, picked by the bucket's key."""
-    m, n, sig = _columns(rows)
-    for i in {rows[0]["key"] % len(rows), (rows[0]["key"] // 7919) % len(rows)}:
-        j = _near(i, np.flatnonzero(m != m[i]), n, sig)
-        if len(j):
-            yield np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
 
+def _with_ends(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each member with its bucket's least and greatest one."""
+    both = F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))
+    return members.select(F.explode(both).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
 
-def _across(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Agreeing pairs of different components of a pair of blocks (own: 1 first, 2 second, 3 both are one), that share no earlier band.
 
-    Bands are told apart by their full keys, as buckets are: a byte of each coordinate would take other bands for shared.
-    """
-    m, n, sig = _columns(rows)
-    keys = np.array([r["bands"] for r in rows])
-    c, own = np.array([r["c"] for r in rows]), np.array([r["own"] for r in rows])
-    second = np.flatnonzero(own & 2)
-    for i in np.flatnonzero(own & 1):
-        j = second[(c[second] != c[i]) & ((own[i] != 3) | (m[second] > m[i]))]
-        if len(j):
-            j = _near(i, j, n, sig)
-            j = j[~(keys[j, : rows[i]["band"]] == keys[i, : rows[i]["band"]]).any(axis=1)]
-            if len(j):
-                yield np.minimum(m[i], m[j]), np.maximum(m[i], m[j])
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Distinct (node, c): the classes, and their components, of buckets in which members besides the ends are of several components."""
+    inner = members.filter("node > lo and node < hi").select("key", "node")
+    labelled = materialize(inner.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "labelled")
+    apart = materialize(labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key"), "open")
+    return labelled.join(apart, "key").select("node", "c").distinct()
 
 
-def _pivot_pairs(members: DataFrame, low: DataFrame, width: int) -> DataFrame:
-    rows = members.withColumn("x", _block(F.col("key"))).join(low, "m").select("key", "x", "m", "m_n", "low")
-    return _compared(rows, width, ["key", "x"], _with_pivots)
+def _prefixes(open_: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Written rows (token, node, c, n, pos) for the shingles, held by several components, that a link of the class could start with."""
+    tokens = open_.join(facts.select("node", F.col("n_shingles").alias("n")), "node").join(sets, "node").select("node", "c", "n", F.explode("hashes").alias("token"))
+    held = materialize(tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("token", "df"), "held")
+    own = materialize(tokens.join(held, "token").select("node", "c", "n", "token", "df"), "shared")
+    ranked = own.groupBy("node").agg(F.any_value("c").alias("c"), F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    placed = ranked.select("node", "c", "n", F.size("own").alias("m"), F.posexplode("own").alias("k", "x")).select(F.col("x.token").alias("token"), "node", "c", "n", (F.col("n") - F.col("m") + F.col("k")).alias("pos"))
+    return materialize(placed.filter(100 * (F.col("n") - F.col("pos")) >= PERCENT * F.col("n")), "prefixes")
 
 
-def _open_pairs(open_: DataFrame, low: DataFrame, width: int) -> DataFrame:
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))
-    spread = open_.withColumn("_own", _block(F.lit(0))).withColumn("_other", other)
-    side = F.when(F.col("_own") == F.col("_other"), 3).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
-    rows = spread.select("key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "m", "m_n", "c", side.alias("own"), "band")
-    return _compared(rows.join(low, "m"), width, ["key", "x", "y"], _across)
+def _joined_on_prefixes(prefixes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a shingle early enough in both sets."""
+    one = prefixes.select("token", *(F.col(x).alias(f"{x}a") for x in ("node", "c", "n", "pos")))
+    two = prefixes.select("token", *(F.col(x).alias(f"{x}b") for x in ("node", "c", "n", "pos")))
+    left = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
+    enough = (100 + PERCENT) * left >= PERCENT * (F.col("na") + F.col("nb"))
+    found = one.join(two, "token").filter((F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & enough)
+    return found.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
-def _links(docs: DataFrame, sketch: DataFrame, members: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of all classes that are linked with another."""
-    width = shuffle_width(docs.sparkSession)
-    ids = members.select(F.col("m").alias("doc_id")).distinct()
-    low = materialize(sketch.select("doc_id", "low", "bands").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "m"), "low")
-    sets = materialize(_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    joined = components(_similar(materialize(_pivot_pairs(members, low, width), "pairs"), sets))
-    labelled = members.join(joined.withColumnRenamed("node", "m"), "m", "left").select("key", "size", "band", "m", "m_n", F.coalesce("component", "m").alias("c"))
-    apart = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key")
-    more = materialize(_open_pairs(labelled.join(apart, "key"), low, width), "pairs")
+    facts = classes.select("node", "n_shingles", *_BITS)
+    members = _buckets(classes)
+    pairs = materialize(_possible(_with_ends(members), facts), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.filter("node > lo and node < hi").select("node")).distinct()
+    named = classes.select("node", "doc_id", "th").join(asked, "node", "left_semi")
+    sets = materialize(_sets(docs.join(named, ["doc_id", "th"])), "sets")
+    joined = components(_similar(pairs, sets))
+    prefixes = _prefixes(_open(members, joined), facts, sets)
+    more = materialize(_possible(_joined_on_prefixes(prefixes), facts), "pairs")
     edges = _similar(more, sets).unionByName(joined.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(edges).filter("node != component")
+    return components(edges)
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, th (a hash of the text), n_shingles, group (null if linked with nothing by definition) and component_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    sketch = materialize(sketches(rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    found = sketch.filter("digest is not null and doc_id is not null")
+    classes = materialize(found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "classes")
+    banded = materialize(found.filter(F.size("bands") > 0).join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "banded")
+    linked = materialize(classes.join(_links(rows, banded), "node").select("digest", "rep", "component"), "linked")
+    least = materialize(linked.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    of_class = linked.join(least, "component").select("digest", "component", "least")
+    named = materialize(classes.join(of_class, "digest", "left").select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("component_id")), "named")
+    own = sketch.filter("digest is null or doc_id is null").select("doc_id", "th", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "th", "n_shingles", "digest").join(named, "digest").select("doc_id", "th", "n_shingles", "group", "component_id").unionByName(own)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    sketch = materialize(sketches(rows), "sketches")
-    found = sketch.filter("digest is not null and doc_id is not null")
-    classes = found.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = found.select("doc_id", "digest", "n_shingles", "bands").join(classes, "digest").filter("doc_id = rep")
-    joined = _links(rows, found, _buckets(reps))
-    of_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    own = sketch.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    placed = found.select("doc_id", "n_shingles", "digest").join(of_class, "digest").select("doc_id", "n_shingles", "component_id").unionByName(own)
-    return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _placed(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one of each group stays: the one with the smallest id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """The documents, all columns, of which one of each group stays: the one with the smallest id.
+
+    Of rows that share that id within one group, the one with the least hash of
+    its text stays; of rows equal in id and text one.  Rows without an id all stay.
+    """
+    names = docs.columns
+    placed = materialize(_placed(docs).filter("doc_id = component_id").select("doc_id", "th", "group"), "kept")
+    first = placed.filter("group is not null").groupBy("group", "doc_id").agg(F.min("th").alias("th")).select("doc_id", "th")
+    stay = first.unionByName(placed.filter("group is null").select("doc_id", "th")).distinct().select(F.col("doc_id").alias("_lodestone_id"), F.col("th").alias("_lodestone_th"))
+    keyed = docs.filter("doc_id is not null").withColumns({"_lodestone_id": F.col("doc_id").cast("long"), "_lodestone_th": F.xxhash64("text")})
+    one = keyed.dropDuplicates(["_lodestone_id", "_lodestone_th"]).join(stay, ["_lodestone_id", "_lodestone_th"], "left_semi")
+    return docs.filter("doc_id is null").unionByName(one.select(*(F.col(f"`{c}`") for c in names)))

@@ -101,21 +101,81 @@ def test_near_duplicates(docs, texts):
     assert got == want
 
 
-def test_near_duplicates_in_small_blocks(docs, texts, monkeypatch):
-    """Buckets cut in many blocks give the same components."""
-    monkeypatch.setattr(minhash, "BLOCK", 3)
-    want = brute.near_duplicates(texts)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == want
-
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """Texts on one template share bands but no link: what is written grows with their number, not with its square."""
+    rng = random.Random(9)
+    common = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    written = {}
+
+    def family(n):
+        rows = []
+        for i in range(n):
+            at = rng.randrange(200)
+            rows.append((i, " ".join([*common[:at], *(f"o{rng.randrange(10**9)}" for _ in range(30)), *common[at:]])))
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    whole = minhash.materialize
+    for n in (150, 600):
+        def counted(df, name, n=n):
+            out = whole(df, name)
+            written[n] = max(written.get(n, 0), out.count() if name not in ("shared", "held") else 0)
+            return out
+
+        monkeypatch.setattr(minhash, "materialize", counted)
+        assert {r.component_id for r in minhash.near_duplicates(family(n)).collect()} == set(range(n))
+    assert written[600] <= 5 * written[150]
+
+
+def test_near_duplicates_between_open_components(spark):
+    """Chains of texts, each near the next alone: buckets hold many classes that neither end is near to."""
+    rng = random.Random(12)
+    rows, words = [], [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    for i in range(90):
+        rows.append((1000 - i, " ".join(words)))
+        for _ in range(3):
+            words[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+    rows += [(2000 + i, t) for i, (_, t) in enumerate(rows[::7])]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == brute.near_duplicates(rows) and len({x[1] for x in got.values()}) < len(rows)
+
+
+def test_minhash_recall_near_the_threshold(spark):
+    """Pairs planted just above the threshold are all found."""
+    rng = random.Random(21)
+    rows, planted = [], 0
+    for i in range(400):
+        words = [f"u{rng.randrange(10**7)}" for _ in range(rng.choice([60, 140, 400]))]
+        rows.append((2 * i, " ".join(words)))
+        size = len(words) - 4
+        gone = int(size * 0.15)
+        rows.append((2 * i + 1, " ".join(words[: len(words) - gone])))
+        planted += 100 * (size - gone) >= 85 * size
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("not kept").count()
+    assert got == planted == 400
+
+
+def test_near_duplicates_rows_with_one_id(spark):
+    """Rows that share an id keep their own texts: each is compared, and keep_one drops only what lost to a smaller id or repeats."""
+    rng = random.Random(13)
+    one, two, three = (" ".join(f"x{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    near = one + " more"
+    rows = [(5, one, "a"), (5, two, "b"), (5, one, "a"), (9, near, "c"), (9, two, "d"), (7, three, "e"), (None, one, "f"), (3, "", "g"), (3, None, "h"), (3, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).filter("doc_id is not null").collect()) == [(3, 3)] * 3 + [(5, 5)] * 3 + [(7, 7), (9, 5), (9, 5)]
+    assert sorted(minhash.keep_one(docs).collect(), key=repr) == sorted(spark.createDataFrame([rows[k] for k in (0, 1, 5, 6, 7, 8)], docs.schema).collect(), key=repr)
+
+
+def test_minhash_bounds_are_exact():
+    """The bitmaps never say that two sets differ by more than they do."""
+    import numpy as np
 
-def test_minhash_band_shared_in_low_bytes_only(spark):
-    """Two classes whose first bands agree in the low bytes but have other keys meet in a later band: the pair isn't dropped there."""
-    keys = [list(range(minhash.BANDS)), [100, *range(1, minhash.BANDS)]]
-    low = spark.createDataFrame([(m, bytes(minhash.COORDINATES), k) for m, k in enumerate(keys)], "m long, low binary, bands array<bigint>")
-    buckets = spark.createDataFrame([(7, 2, 1, m, 50, m) for m in (0, 1)], "key long, size long, band int, m long, m_n long, c long")
-    assert [tuple(r) for r in minhash._open_pairs(buckets, low, 2).collect()] == [(0, 1)]
-    again = spark.createDataFrame([(8, 2, 2, m, 50, m) for m in (0, 1)], buckets.schema)
-    assert minhash._open_pairs(again, low, 2).count() == 0
+    rng = np.random.default_rng(6)
+    for size in (6, 50, 700, 4000):
+        a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: size * 9 // 10], rng.integers(0, 1 << 62, size // 8).astype(np.uint64)]))
+        apart = sum(int(x).bit_count() for x in (minhash.bitmap(a) ^ minhash.bitmap(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
 
 
 def test_components(spark):
