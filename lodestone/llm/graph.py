@@ -12,16 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of the edges (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star steps until no edge changes; each step is
-    a grouped minimum, combined before the shuffle, and a join that adaptive
-    execution can split, so a node with very many neighbours is no single task.
+    a grouped minimum, combined before the shuffle and written, and a join straight
+    on shuffled rows, which adaptive execution can split: a node with very many
+    neighbours is no single task.
     Self-loops and repeated edges are harmless; null ends are dropped.
     """
     now, state = _settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "low")
         large = both.join(low, "a").filter("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         before = state
         now, state = _settled(small)

@@ -43,7 +43,7 @@ def op9_source_mixing(spark, sf_dir):
 
 
 def op10_url_filter(spark, sf_dir):
-    return urlrules.judge(read(spark, sf_dir, "pages"), urlrules.LIST_RULES + urlrules.PATTERN_RULES)
+    return urlrules.judge(read(spark, sf_dir, "pages"), urlrules.RULES)
 
 
 def queries() -> dict:
@@ -51,4 +51,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_sharding": sharding.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_source_mixing": mixing.ORACLE_SQL, "op10_url_filter": urlrules.oracle_sql(urlrules.LIST_RULES + urlrules.PATTERN_RULES)}
+    return {"op4_sharding": sharding.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_source_mixing": mixing.ORACLE_SQL, "op10_url_filter": urlrules.oracle_sql(urlrules.RULES)}

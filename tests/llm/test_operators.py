@@ -274,13 +274,24 @@ def test_mixing_exponent(spark):
 
 
 def test_url_rules(spark):
-    urls = ["http://a.com/en/x", "https://EXAMPLE.com/en/7?x", "http://de.example.net/de/8", "http://x.net/de/8", "http://spam-farm.org/es/", "http://b.org/fr/track/ab.gif", "nothing", None, "x://", "http://casino9.io", "http://c.org?a=/es/", "http://n.com/en", "http://i.io/banner/x", "http://é.org/es/", "ftp://u:p@h.org:80/es/q"] * 2
-    rows = [(i, u, "") for i, u in enumerate(urls)]
+    urls = ["http://a.com/en/x", "https://EXAMPLE.com/en/7?x", "http://de.example.net/de/8", "http://x.net/de/8", "http://spam-farm.org/es/", "http://b.org/fr/track/ab.gif", "nothing", None, "x://", "http://casino-win.io", "http://m.casino-win.io", "http://xcasino-win.io", "http://c.org?a=/es/", "http://n.com/en", "http://i.io/banner/x", "http://i.io/xbanner/x", "http://i.io/ads/a/b.PHP", "http://i.io/ads", "http://é.org/es/", "ftp://u:p@h.org:80/es/q", "http://i.io/banner/x\n", ""] * 2
+    rows = [(i, u, "") for i, u in enumerate(urls)] + [(None, urls[0], None), (0, urls[0], ""), (0, urls[0], "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    rules = urlrules.LIST_RULES + urlrules.PATTERN_RULES
-    want = _duck(rows, urlrules.oracle_sql(rules), "pages", "page_id BIGINT, url VARCHAR, html VARCHAR")
-    assert _spark(urlrules.judge(pages, rules)) == want
-    assert _spark(urlrules.judge(pages, rules, inline=0)) == want
+    want = _duck(rows, urlrules.oracle_sql(urlrules.RULES), "pages", "page_id BIGINT, url VARCHAR, html VARCHAR")
+    assert _spark(urlrules.judge(pages, urlrules.RULES)) == want
+    clashing = pages.selectExpr("*", "1 as host", "2 as path", "3 as rule", "4 as _address", "5 as token", "6 as verdict")
+    assert _spark(urlrules.judge(clashing, urlrules.RULES)) == want
+    assert {r.verdict for r in urlrules.judge(pages, []).collect()} == {"allow"}
+    loose = [*urlrules.RULES, *urlrules.patterns("block", "fr*ck"), *urlrules.patterns("allow", "||{x,i}.^")]
+    assert _spark(urlrules.judge(pages, loose)) == _duck(rows, urlrules.oracle_sql(loose), "pages", "page_id BIGINT, url VARCHAR, html VARCHAR")
+
+
+def test_url_rules_have_tokens():
+    """No rule of the list runs on every page, and every token is in what the rule matches."""
+    assert len(urlrules.RULES) > 2000 and all(r.tokens for r in urlrules.RULES)
+    assert urlrules.Rule("block", "||a-b.").tokens == ("a", "b") and urlrules.Rule("block", "/ads/*.gif|").tokens == ("ads", "gif")
+    assert urlrules.Rule("block", "ads/x*y/z").tokens == () and urlrules.Rule("block", "/a^b*").tokens == ("a",)
+    assert [r.text for r in urlrules.patterns("block", "/{a,b}/{c,d}")] == ["/a/c", "/a/d", "/b/c", "/b/d"]
 
 
 def test_matroska_round_trip(docs, texts):
@@ -383,7 +394,7 @@ def test_awkward_rows(spark, awkward, labels):
 def test_empty_tables(spark, awkward, labels):
     for name, frame in _all_on(spark, awkward.limit(0), labels.limit(0)).items():
         assert frame.count() == 0, name
-    assert urlrules.judge(spark.createDataFrame([], "page_id long, url string"), urlrules.LIST_RULES).count() == 0
+    assert urlrules.judge(spark.createDataFrame([], "page_id long, url string"), urlrules.RULES).count() == 0
 
 
 def test_every_number_has_one_query():
