@@ -11,8 +11,8 @@ positives than in unlabelled texts, only those that are likelier take part, and
 L1 step brings weights that don't help to zero: evidence only adds, and a long
 text isn't scored by its length.
 
-Only the samples named by ``POSITIVES`` and ``UNLABELLED`` reach the driver, as
-hashed features; the class prior is counted over all labels of the training
+Only the samples bounded by ``POSITIVES``, ``UNLABELLED`` and ``SAMPLE_SLOTS`` reach
+the driver, as hashed features of whole texts; the class prior is counted over all labels of the training
 folds.  Scoring takes every whole text, with nonzero weights broadcast (at most
 one per feature slot).
 
@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm import words as w
-from lodestone.llm.sampling import bounded, fold
+from lodestone.llm.sampling import bounded, fold, taken
+from lodestone.llm.tables import materialize
 
 #: Labels of this fold of crc32(doc_id) are held out.
 FOLDS, HELD_OUT = 5, 0
 #: Most documents of either kind that the model is fitted on.
 POSITIVES, UNLABELLED = 2000, 8000
+#: Most distinct features of the documents of either kind together (4 bytes each on the driver).
+SAMPLE_SLOTS = 5_000_000
 #: Feature slots (a power of two), and the lengths in bytes of word beginnings.
 SLOT_BITS, BEGINNINGS = 20, (4, 5)
 #: A feature takes part if it is so much likelier in positives (log ratio), smoothed by this share of documents at least.
@@ -77,21 +80,27 @@ def _rows(lists: list[np.ndarray]) -> Rows:
     return Rows(np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64), np.cumsum([len(x) for x in lists], dtype=np.int64))
 
 
-def sampled_features(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """The distinct slots of each sampled document; the ids are few and broadcast."""
+def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots of each text, one after another, and where each text's start."""
+    doc, slot = features(data, offsets)
+    key = np.unique(doc << SLOT_BITS | slot)
+    return (key & (1 << SLOT_BITS) - 1).astype(np.uint32), np.searchsorted(key >> SLOT_BITS, np.arange(len(offsets)))
+
+
+def sampled_features(docs: DataFrame, ids: DataFrame, most: int) -> list[np.ndarray]:
+    """The distinct slots of each sampled document, in the order of a hash each that fits into what is left of ``SAMPLE_SLOTS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = w.text_bytes(batch["text"])
-            doc, slot = features(data, offsets)
-            key = np.unique(doc << SLOT_BITS | slot)
-            cut = np.searchsorted(key >> SLOT_BITS, np.arange(len(offsets)))
-            slots = (key & (1 << SLOT_BITS) - 1).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([slots[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "slots"])
+            for i, j in w.slices(offsets):
+                slots, cut = distinct(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                rows = [slots[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["_k"].slice(i, j - i), pa.array(np.diff(cut), pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "k", "n", "slots"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = chosen.mapInArrow(run, "doc_id long, slots binary").collect()
-    return [np.frombuffer(x["slots"], np.uint32) for x in sorted(rows, key=lambda x: (x["doc_id"], bytes(x["slots"])))]
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").withColumn("_k", F.xxhash64("doc_id", "text"))
+    made = materialize(chosen.mapInArrow(run, "doc_id long, k long, n long, slots binary"), "slots")
+    return [np.frombuffer(x["slots"], np.uint32) for x in taken(made, "n", SAMPLE_SLOTS, most)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -110,6 +119,20 @@ def ratios(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int) ->
     return np.log((shares[0] + smooth) / (shares[1] + smooth))
 
 
+def risk_gradient(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives, by the score of each positive and each unlabelled document, of what a step goes down.
+
+    The risk is prior * E+[l(s)] + N with N = Eu[l(-s)] - prior * E+[l(-s)] and l(s) = log(1 + exp(-s)).
+    Where the estimate N of the negatives' risk is below zero, a step goes down -N alone.
+    """
+    gp, gu = _sigmoid(positive), _sigmoid(unlabelled)
+    negatives = np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean()
+    by_positive, by_unlabelled = -prior * gp / len(gp), gu / len(gu)
+    if negatives < 0:
+        return -by_positive, -by_unlabelled
+    return by_positive + prior * (gp - 1) / len(gp), by_unlabelled
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """Weights of all slots and the bias, by Adam on the non-negative risk with logistic loss.
 
@@ -128,15 +151,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     weight, bias = np.full(len(used), 0.5), float(np.log(prior / (1 - prior))) - 1.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
-        gp, gu = _sigmoid(p.sums(weight * value) + bias), _sigmoid(u.sums(weight * value) + bias)
-        negative = -np.mean(np.log1p(-np.minimum(gu, 1 - 1e-12))) + prior * np.mean(np.log1p(-np.minimum(gp, 1 - 1e-12)))
-        # derivatives of the risks by each document's score
-        as_positive = prior * (gp - 1) / len(gp)
-        corrected_u, corrected_p = gu / len(gu), -prior * gp / len(gp)
-        if negative >= 0:
-            dp, du = as_positive + corrected_p, corrected_u
-        else:
-            dp, du = -corrected_p, -corrected_u
+        dp, du = risk_gradient(p.sums(weight * value) + bias, u.sums(weight * value) + bias, prior)
         g = np.append((p.spread(dp, len(used)) + u.spread(du, len(used))) * value, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
@@ -154,9 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     if not n or not toxic:
         return np.empty(0, np.int64), np.empty(0), -np.inf
     prior = min(max(toxic / n, 1e-4), 0.9)
-    positive = sampled_features(docs, bounded(known.filter("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")), POSITIVES, "positive"))
+    positive = sampled_features(docs, bounded(known.filter("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")), POSITIVES, "positive"), POSITIVES)
     rest = docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("doc_id").cast("long").alias("doc_id"))
-    weights, bias = train(positive, sampled_features(docs, bounded(rest, UNLABELLED, "unlabelled")), prior)
+    weights, bias = train(positive, sampled_features(docs, bounded(rest, UNLABELLED, "unlabelled"), UNLABELLED), prior)
     slots = np.flatnonzero(weights)
     return slots, weights[slots], bias
 

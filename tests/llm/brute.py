@@ -89,3 +89,75 @@ def substring_dedup(docs, window=20):
         kept = [x for i, x in enumerate(words) if i not in gone]
         out[ident] = (len(words), len(gone), sha(" ".join(kept)))
     return out
+
+
+def line_flags(line: bytes, head: bool, last: bool):
+    """A line's features, one by one."""
+    size = max(len(line), 1)
+    spaces, letter = b" \t\n\v\f\r", lambda c: 65 <= c <= 90 or 97 <= c <= 122
+    groups = [
+        lambda c: 65 <= c <= 90,
+        lambda c: 97 <= c <= 122,
+        lambda c: 48 <= c <= 57,
+        lambda c: c in spaces,
+        lambda c: c in b",.",
+        lambda c: c in b"!?",
+        lambda c: 33 <= c <= 127 and not letter(c) and not 48 <= c <= 57 and c not in b",.!?",
+        lambda c: c >= 128,
+    ]
+    counts = [sum(map(g, line)) for g in groups]
+    shares = [n / size for n in counts]
+    shares.append(counts[0] / max(counts[0] + counts[1], 1))
+    words = re.findall(rb"[^ \t\n\x0b\x0c\r]+", line)
+    folded = [x.lower() for x in words]
+    many = max(len(words), 1)
+    plain_end = lambda c: letter(c) or 48 <= c <= 57 or c >= 128 or c in b",."
+    shares += [
+        sum(a == b for a, b in zip(folded, folded[1:], strict=False)) / many,
+        1 - len(set(folded)) / many,
+        sum(not plain_end(x[-1]) for x in words) / many,
+        sum(len(x) == 1 for x in words) / many,
+        sum(len(x) <= 3 for x in words) / many,
+        sum(len(x) >= 9 for x in words) / many,
+    ]
+    mean = sum(map(len, words)) / many
+    out = [s > c for c in (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75) for s in shares]
+    return [*out, *(mean > c for c in (2, 3, 4, 5, 6, 8, 10, 14)), *(len(words) > c for c in (0, 3, 8, 16, 32, 64, 128, 256)), head, last]
+
+
+def chain_chances(unary, pairs):
+    """Chances of label 1 along one chain, by sums over prefixes and suffixes."""
+    import math
+
+    n, gain = len(unary), [[math.exp(pairs[x][y]) for y in (0, 1)] for x in (0, 1)]
+    ahead, back = [[1.0, math.exp(unary[0])]], [[1.0, 1.0]]
+    for u in unary[1:]:
+        p = ahead[-1]
+        new = [sum(p[x] * gain[x][y] for x in (0, 1)) * (math.exp(u) if y else 1.0) for y in (0, 1)]
+        ahead.append([v / sum(new) for v in new])
+    for u in unary[:0:-1]:
+        q = back[-1]
+        new = [sum(gain[x][y] * (math.exp(u) if y else 1.0) * q[y] for y in (0, 1)) for x in (0, 1)]
+        back.append([v / sum(new) for v in new])
+    back.reverse()
+    return [ahead[t][1] * back[t][1] / sum(ahead[t][y] * back[t][y] for y in (0, 1)) for t in range(n)]
+
+
+def quality_score(text, field):
+    """The score of one text by a fitted field."""
+    import math
+
+    lines = (text or "").encode().split(b"\n")
+    flags = [line_flags(x, k == 0, k == len(lines) - 1) for k, x in enumerate(lines)]
+    gives = [[sum(float(v) for f, v in zip(own, field.weights[:, k], strict=True) if f) for k in range(3)] for own in flags]
+    unary = [gives[t][0] + field.constant + (gives[t - 1][1] if t else 0.0) + (gives[t + 1][2] if t + 1 < len(lines) else 0.0) for t in range(len(lines))]
+    chances = chain_chances(unary, field.pairs)
+    lengths = [len(x) + 1 for x in lines]
+    q = min(max(sum(c * n for c, n in zip(chances, lengths, strict=True)) / sum(lengths), 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-(field.scale * math.log(q / (1 - q)) + field.shift)))
+
+
+def auc(scores, labels):
+    """The share of pairs of a 1 and a 0 in which the 1 scores higher; ties count half."""
+    ones, zeros = [s for s, y in zip(scores, labels, strict=True) if y], [s for s, y in zip(scores, labels, strict=True) if not y]
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))

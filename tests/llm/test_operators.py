@@ -313,18 +313,104 @@ def test_matroska_damaged(spark):
     assert matroska.parse(media[:-700])["status"] == "truncated" and matroska.parse(b"RIFF")["status"] == "invalid"
 
 
-def _held_out(scored, labels, column):
-    rows = scored.filter("held_out").join(labels.filter(f"{column} is not null"), "doc_id").select("predicted", column).collect()
-    return sum(r[0] == r[1] for r in rows) / len(rows), len(rows)
+@pytest.mark.parametrize(("operator", "column", "least_auc", "least_recall", "most_alarms"), [(quality, "quality", 0.98, 0.95, 0.1), (toxicity, "toxic", 0.93, 0.85, 0.03)])
+def test_held_out_accuracy(spark, operator, column, least_auc, least_recall, most_alarms):
+    """Both labels are told apart on the held-out fold: a constant scorer has AUC 0.5, and recall 0 or only false alarms."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    scored = operator.score(docs, labels).cache()
+    rows = scored.filter("held_out").join(labels.filter(f"{column} is not null"), "doc_id").select("score", "predicted", column).collect()
+    ones, zeros = [r for r in rows if r[2] == 1], [r for r in rows if r[2] == 0]
+    assert len(ones) > 50 and len(zeros) > 50
+    assert brute.auc([r[0] for r in rows], [r[2] for r in rows]) >= least_auc
+    assert sum(r[1] for r in ones) / len(ones) >= least_recall
+    assert sum(r[1] for r in zeros) / len(zeros) <= most_alarms
+    assert scored.filter("score < 0 or score > 1 or score is null").count() == 0 and scored.count() == docs.count()
+
+
+def test_quality_scores_are_those_of_plain_loops(spark):
+    """Every document's score against features, chain and weighting computed line by line."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{x}.parquet") for x in ("documents", "labels"))
+    field = quality.fit(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    extra = [(900_001, ""), (900_002, None), (900_003, "\n\n a!!! b\n"), (900_004, "é Ü\n" * 700)]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    whole = dict([tuple(r) for r in rows] + extra)
+    shared = quality.fit
+    try:
+        quality.fit = lambda *_: field
+        got = {r.doc_id: r.score for r in quality.score(frame, labels).collect()}
+    finally:
+        quality.fit = shared
+    assert len(got) == len(whole)
+    assert max(abs(got[k] - brute.quality_score(t, field)) for k, t in whole.items()) < 1e-3
+
+
+def test_quality_of_millions_of_lines():
+    """A text of 4 MB of newlines takes some tens of bytes a line."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from lodestone.llm import quality as q
+data, peak = np.full(4 << 20, 10, np.uint8), lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+before = peak()
+starts, ends, first = q.lines(data, np.array([0, len(data)]))
+scores = np.concatenate([x @ np.ones((q.WIDTH, 3), np.float32) for _, x in q.features(data, starts, ends, first)])
+good, _ = q.forward_backward(q.placed(scores, first), first, np.zeros((2, 2)))
+assert len(good) == (4 << 20) + 1 and np.isfinite(good).all()
+print((peak() - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 500
+
+
+def test_toxicity_scores_are_those_of_plain_loops(spark):
+    """Each score is the bias and the weights of the text's distinct features."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{x}.parquet") for x in ("documents", "labels"))
+    slots, weights, bias = toxicity.fit(docs, labels)
+    of = dict(zip(slots.tolist(), weights.tolist(), strict=True))
+    known = {}
+
+    def slots_of(word):
+        if word not in known:
+            raw = np.frombuffer(word.encode(), np.uint8)
+            known[word] = set(toxicity.features(raw, np.array([0, len(raw)]))[1].tolist())
+        return known[word]
+
+    for r in toxicity._scored(docs.select("doc_id", "text"), (slots, weights, bias)).collect():
+        own = set().union(*(slots_of(x) for x in brute.ALNUM.findall((r.text or "").translate(brute.ASCII_LOWER))))
+        want = 1 / (1 + np.exp(-(bias + sum(of.get(s, 0.0) for s in own))))
+        assert abs(r.score - want) < 1e-9
+
+
+@pytest.mark.parametrize("shift", [-1.0, 4.0])
+def test_toxicity_gradient_is_that_of_the_risk(shift):
+    """Against differences of the risk, summed in loops, both where the negatives' risk is positive and where it is not."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    positive, unlabelled, prior = rng.normal(size=7) + shift, rng.normal(size=11) - (shift > 0) * 6, 0.3
+    loss = lambda s: math.log(1 + math.exp(-s))
 
+    def goal(p, u):
+        n = sum(loss(-s) for s in u) / len(u) - prior * sum(loss(-s) for s in p) / len(p)
+        return -n if n < 0 else prior * sum(loss(s) for s in p) / len(p) + n
 
-def test_quality_and_toxicity_hold_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
-    for operator, column, least in ((quality, "quality", 0.95), (toxicity, "toxic", 0.85)):
-        scored = operator.score(docs, labels)
-        share, n = _held_out(scored, labels, column)
-        assert n > 50 and share >= least
-        assert scored.filter("score < 0 or score > 1 or score is null").count() == 0 and scored.count() == docs.count()
+    assert (sum(loss(-s) for s in unlabelled) / 11 - prior * sum(loss(-s) for s in positive) / 7 < 0) == (shift > 0)
+    dp, du = toxicity.risk_gradient(positive, unlabelled, prior)
+    for own, got, which in ((positive, dp, 0), (unlabelled, du, 1)):
+        for i in range(len(own)):
+            up, down = own.copy(), own.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            a, b = ((up, unlabelled), (down, unlabelled)) if which == 0 else ((positive, up), (positive, down))
+            assert abs((goal(*a) - goal(*b)) / 2e-5 - got[i]) < 1e-6
 
 
 def test_held_out_labels_are_never_read(spark):
@@ -336,11 +422,13 @@ def test_held_out_labels_are_never_read(spark):
         assert a == b
 
 
-def test_forward_backward_is_exact():
+@pytest.mark.parametrize("segment", [1, 2, 512])
+def test_forward_backward_is_exact(monkeypatch, segment):
     import itertools
 
     import numpy as np
 
+    monkeypatch.setattr(quality, "SEGMENT", segment)
     rng = np.random.default_rng(4)
     unary, pairs = rng.normal(size=5), rng.normal(size=(2, 2))
     first = np.array([0, 3, 5])
