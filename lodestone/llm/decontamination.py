@@ -8,8 +8,10 @@ a wavelet matrix, and all phrases of 10 words are searched backwards at once,
 each step two ranks.  Rows found are located by walking to sampled suffix
 positions, and the spans of a document are merged.
 
-Documents are neither shuffled nor split.  The phrases are broadcast in blocks of
-bounded size, however many there are, and each shard meets every block.
+Documents are neither shuffled nor split.  The texts of the benchmark are broadcast
+in blocks; more than ``BENCHMARK_BYTES`` of them are refused with an error.  Each
+shard meets every block, and a worker holds the windows of at most
+``BLOCKS_HELD`` blocks at a time.
 
 Edge cases: null text has no words; an item with fewer than 10 words is one
 phrase, one without words none; equal item_ids count once, a null item_id as the
@@ -25,12 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.llm import words as w
 
 WINDOW = 10
 #: Bytes of item texts that are broadcast at once, and bytes of text in a shard.
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+#: Most bytes of item texts and ids in all, and blocks whose windows a worker holds at once (about 20 bytes for each byte of text).
+BENCHMARK_BYTES, BLOCKS_HELD = 128 << 20, 2
 #: One suffix position in so many is stored.
 SAMPLE = 8
 
@@ -155,32 +160,48 @@ def phrases_of(items: list[tuple[str, str]]) -> Phrases | None:
     ids = ids + 2
     names = sorted({i for i, _ in items})
     place = {name: k for k, name in enumerate(names)}
-    rows, lengths, owner = [], [], []
-    for k, (name, _) in enumerate(items):
-        a, b = int(first[k]), int(first[k + 1])
-        for s in range(a, max(b - WINDOW, a) + 1) if b > a else ():
-            own = ids[s : min(b, s + WINDOW)]
-            row = np.zeros(WINDOW, np.int64)
-            row[WINDOW - len(own) :] = own
-            rows.append(row)
-            lengths.append(len(own))
-            owner.append(place[name])
-    symbols, inverse = np.unique(np.array(rows), axis=0, return_inverse=True)
-    per = np.zeros(len(symbols), np.int64)
-    per[inverse.ravel()] = lengths
-    return Phrases(vocabulary, symbols, per, np.unique(np.stack([inverse.ravel(), owner], 1), axis=0), names)
-
-
-def broadcast_phrases(benchmark: DataFrame) -> list:
-    """The phrases of all items, as broadcast blocks of at most BLOCK_BYTES of text (or one longer item)."""
+    owner = np.array([place[name] for name, _ in items])
+    size = np.diff(first)
+    at = np.flatnonzero(w.within(first, WINDOW))
+    short = np.flatnonzero((size > 0) & (size < WINDOW))
+    rows = np.zeros((len(at) + len(short), WINDOW), np.int64)
+    if len(at):
+        rows[: len(at)] = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[at]
+    for k, item in enumerate(short, len(at)):
+        rows[k, WINDOW - size[item] :] = ids[first[item] : first[item + 1]]
+    owners = owner[np.append(np.searchsorted(first, at, "right") - 1, short)]
+    symbols, inverse = np.unique(rows, axis=0, return_inverse=True)
+    return Phrases(vocabulary, symbols, (symbols > 0).sum(axis=1), np.unique(np.stack([inverse.ravel(), owners], 1), axis=0), names)
+
+
+def broadcast_items(benchmark: DataFrame) -> list:
+    """All (item_id, text) pairs, as broadcast blocks of at most BLOCK_BYTES of text (or one longer item); their sum is checked first."""
+    items = benchmark.selectExpr("coalesce(cast(item_id as string), '') as item", "coalesce(text, '') as text")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("item") + F.octet_length("text")), F.lit(0))).first()[0]
+    if total > BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {total} bytes; at most {BENCHMARK_BYTES} are broadcast: check its parts one by one")
     context, blocks, block, size = benchmark.sparkSession.sparkContext, [], [], 0
-    for row in benchmark.selectExpr("coalesce(cast(item_id as string), '') as item", "text").toLocalIterator():
-        if block and size + len(row["text"] or "") > BLOCK_BYTES:
-            blocks.append(context.broadcast(phrases_of(block)))
+    for row in items.toLocalIterator():
+        if block and size + len(row["text"]) > BLOCK_BYTES:
+            blocks.append(context.broadcast(block))
             block, size = [], 0
         block.append((row["item"], row["text"]))
-        size += len(row["text"] or "")
-    return [*blocks, context.broadcast(phrases_of(block))] if block else blocks
+        size += len(row["text"])
+    return [*blocks, context.broadcast(block)] if block else blocks
+
+
+_held: list[tuple[list, Phrases | None]] = []
+
+
+def _phrases(block) -> Phrases | None:
+    """The windows of a broadcast block, made once where few blocks are in use."""
+    items = block.value
+    for own, phrases in _held:
+        if own is items:
+            return phrases
+    del _held[: max(0, len(_held) - BLOCKS_HELD + 1)]
+    _held.append((items, phrases_of(items)))
+    return _held[-1][1]
 
 
 # --- scanning ----------------------------------------------------------------
@@ -203,7 +224,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, blocks: list) -> Shard:
     n, docs = len(starts), len(offsets) - 1
     hit, items = np.zeros(n, bool), [set() for _ in range(docs)]
     for block in blocks:
-        phrases = block.value
+        phrases = _phrases(block)
         if phrases is None or not n:
             continue
         at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
@@ -262,7 +283,7 @@ _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 str
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: words, hit words, items found and the spans to remove, as byte ranges of its UTF-8 text."""
-    blocks = broadcast_phrases(benchmark)
+    blocks = broadcast_items(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +316,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A document of which no word is left is dropped; one that had none stays.
     """
-    blocks, schema = broadcast_phrases(benchmark), docs.schema
+    blocks, schema = broadcast_items(benchmark), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

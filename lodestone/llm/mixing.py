@@ -110,7 +110,7 @@ def _budgets(totals: DataFrame, found: Mixture, budget: int | None) -> DataFrame
 def _spread(rows: DataFrame, buckets: int, seed: str) -> DataFrame:
     """A row for each epoch, with its place in that epoch's permutation and the hash range it lies in."""
     epoch = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1))) if "_epochs" in rows.columns else rows
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_tokens").cast("string")))
     return epoch.withColumn("_key", key).withColumn("_bucket", F.expr(f"cast(conv(substring(_key, 1, 8), 16, 10) as bigint) * {buckets}L div 4294967296L"))
 
 
@@ -177,7 +177,7 @@ WITH RECURSIVE sizes AS (
   SELECT sizes.*, total, budget, q / (SELECT sum(q) FROM plan) AS w, unnest(range(CAST(ceil(CAST(budget AS DOUBLE) / total) AS BIGINT))) AS epoch
   FROM sizes JOIN plan USING (src)
 ), placed AS (
-  SELECT *, epoch * total + sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY md5('{SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), n_tokens) - n_tokens AS head
+  SELECT *, epoch * total + sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY md5('{SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || n_tokens)) - n_tokens AS head
   FROM epochs
 ), blocks AS (
   SELECT *, CAST(head * (SELECT greatest(1, CAST(ceil(sum(budget) / {BLOCK_TOKENS}.0) AS BIGINT)) FROM plan) // budget AS BIGINT) AS block FROM placed WHERE head < budget

@@ -3,8 +3,9 @@
 A scan of each whole text gives candidates: the base kinds (assignments, access
 keys, long hex runs) and generic tokens of letters and digits.  The hash of each
 candidate's value is counted over the corpus by distinct repositories and
-distinct owners.  A value that many owners hold is a widely copied example; one
-that few hold, and that looks like a credential, is live.
+distinct owners.  A value that many owners hold, or that is spread over many
+repositories of few, is a widely copied example; one that few hold, and that
+looks like a credential, is live.
 
 Base spans are always reported.  The method adds generic tokens, but only live
 ones: without the counts a long identifier and a leaked key look alike.
@@ -12,8 +13,8 @@ ones: without the counts a long identifier and a leaked key look alike.
 Texts are scanned once and never shuffled.  Hashes are first reduced to distinct
 (hash, owner, repository), then to one row per (hash, owner), then per hash, each
 step combined before its shuffle, so a value in a third of all rows is no single
-task.  The counts are joined back on the hash by a join that adaptive execution
-can split.
+task.  The counts are written, and joined back on the hash by a join that adaptive
+execution can split.
 
 Edge cases: null text is empty; a null owner or repository counts as one of its
 own; rows with one id are scanned each for itself; an empty table gives no rows.
@@ -41,8 +42,8 @@ BASE = ("assign", "access", "hex")
 ASSIGN_LENGTH = 6
 #: A generic token holds three digits and two letters at least, in any places.
 GENERIC = r"^(?:[^0-9]*[0-9]){3}", r"^(?:[^A-Za-z]*[A-Za-z]){2}"
-#: A value that so many owners hold is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: A value that so many owners, or so many repositories of any owners, hold is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 25
 #: Marks of placeholders, in lower-cased values.
 PLACEHOLDER = "example|changeme|placeholder|xxxx|your_|dummy"
 _ROW = "_row"
@@ -95,7 +96,7 @@ def ownership(found: DataFrame) -> DataFrame:
     owners = held.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.first("value").alias("value"))
     counts = owners.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"), F.first("value").alias("value"))
     lower = F.lower("value")
-    live = (F.col("n_owners") < EXAMPLE_OWNERS) & ~lower.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split("value", ""))) > ASSIGN_LENGTH)
+    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_repositories") < EXAMPLE_REPOSITORIES) & ~lower.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split("value", ""))) > ASSIGN_LENGTH)
     return counts.select("hash", "n_repositories", "n_owners", live.alias("live"))
 
 
@@ -111,11 +112,11 @@ def report(docs: DataFrame, text: str = "text", owner: str = "source", repositor
     """Per document: counts and digest of base spans, all spans, and how many are live or widely copied examples."""
     scanned = scan(docs, text, owner, repository)
     found = materialize(candidates(scanned), "candidates")
-    judged = found.select(_ROW, "kind", "start", "end", "hash").join(ownership(found), "hash").filter((F.col("kind") != "generic") | F.col("live"))
+    judged = found.select(_ROW, "kind", "start", "end", "hash").join(materialize(ownership(found), "ownership"), "hash").filter((F.col("kind") != "generic") | F.col("live"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    span = F.struct("start", rank.alias("rank"), "end", "kind", "live")
+    span = F.struct("start", rank.alias("rank"), "end", "kind", "live", "n_repositories")
     spans = judged.groupBy(_ROW).agg(F.sort_array(F.collect_list(span)).alias("_spans"))
-    rows = scanned.select(_ROW, "doc_id").join(spans, _ROW, "left").withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,rank:bigint,end:bigint,kind:string,live:boolean>>")))
+    rows = scanned.select(_ROW, "doc_id").join(spans, _ROW, "left").withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,rank:bigint,end:bigint,kind:string,live:boolean,n_repositories:bigint>>")))
     count = lambda test: F.size(F.filter("_spans", test)).cast("long")
     return rows.select(
         "doc_id",
@@ -124,6 +125,7 @@ def report(docs: DataFrame, text: str = "text", owner: str = "source", repositor
         _listed(F.col("_spans")).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_example"),
+        F.coalesce(F.array_max(F.transform("_spans", lambda s: s["n_repositories"])), F.lit(0)).alias("most_repositories"),
     )
 
 
@@ -152,14 +154,15 @@ WITH docs AS (
   SELECT * FROM fit a WHERE kind <> 'generic'
      OR NOT EXISTS (SELECT 1 FROM fit b WHERE b.r = a.r AND b.kind <> 'generic' AND b.start < a.stop AND a.start < b.stop)
 ), held AS (
-  SELECT value, count(DISTINCT coalesce(owner, '-')) < {EXAMPLE_OWNERS} AND NOT regexp_matches(lower(value), '{PLACEHOLDER}')
+  SELECT value, count(DISTINCT (owner, doc_id)) AS n_repositories,
+         count(DISTINCT coalesce(owner, '-')) < {EXAMPLE_OWNERS} AND count(DISTINCT (owner, doc_id)) < {EXAMPLE_REPOSITORIES} AND NOT regexp_matches(lower(value), '{PLACEHOLDER}')
          AND list_unique(string_split(value, '')) > {ASSIGN_LENGTH} AS live
   FROM clear GROUP BY value
 ), kept AS (
-  SELECT clear.*, live FROM clear JOIN held USING (value) WHERE kind <> 'generic' OR live
+  SELECT clear.*, live, n_repositories FROM clear JOIN held USING (value) WHERE kind <> 'generic' OR live
 )
 SELECT docs.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
        sha256({_LIST.format(" FILTER (kind <> 'generic')")}) AS base_sha256, {_LIST.format("")} AS spans,
-       count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+       count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, coalesce(max(n_repositories), 0) AS most_repositories
 FROM docs LEFT JOIN kept USING (r) GROUP BY docs.r, docs.doc_id
 """

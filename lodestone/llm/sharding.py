@@ -20,12 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.tables import shuffle_width
+from lodestone.llm.tables import materialize, shuffle_width
 
 SHARDS, SEED = 16, "mixture-1"
 #: Rows that a bucket should hold at most, where the corpus is large.
 BUCKET_ROWS = 100_000
-_OWN = ("_src", "_key", "_u", "_bucket", "_rank", "_f", "_run", "_size", "_crc")
 
 
 def _unit(hex8: Column) -> Column:
@@ -33,7 +32,7 @@ def _unit(hex8: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, buckets: int, seed: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("_crc").cast("string")))
     src = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
     return docs.withColumns({"_key": key, "_src": src}).withColumns({"_u": _unit(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_src")), 1, 8)) / F.lit(float(1 << 32)), "_bucket": F.expr(f"cast(conv(substring(_key, 1, 8), 16, 10) as bigint) * {buckets}L div 4294967296L")})
 
@@ -41,7 +40,7 @@ def _keyed(docs: DataFrame, buckets: int, seed: str) -> DataFrame:
 def _fractions(docs: DataFrame, buckets: int, runs: int, seed: str, order: list[str]) -> DataFrame:
     """Adds _f, the fractional rank within the source, and _run, which range of fractions it lies in."""
     rows = _keyed(docs, buckets, seed)
-    counts = _keyed(docs.select("doc_id", "source"), buckets, seed).groupBy("_src", "_bucket").agg(F.count("*").alias("_n"))
+    counts = _keyed(docs.select("doc_id", "source", "_crc"), buckets, seed).groupBy("_src", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_src").orderBy("_bucket")
     starts = counts.select("_src", "_bucket", (F.sum("_n").over(before) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy("_src")).alias("_total"))
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_key", *order)))
@@ -53,19 +52,27 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, keep: li
     """Each row's shard and slot; needs doc_id, text, source.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard and the
-    columns named in ``keep``.  Shards' row counts differ by one at most; slots
-    of a shard run from 0 without gaps in order of fractional rank.
+    columns named in ``keep``, those that are named like one of these with an
+    underscore before.  Shards' row counts differ by one at most; slots of a
+    shard run from 0 without gaps in order of fractional rank.
     """
     spark = docs.sparkSession
-    keep = [c for c in (keep or []) if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *_OWN)]
+    named, taken = {}, {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    for k, c in enumerate(x for x in keep or [] if x != "doc_id"):
+        name = c
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        named[f"_kept{k}"] = (c, name)
     total = docs.count()
     buckets = runs = max(16 * shuffle_width(spark), -(-total // BUCKET_ROWS))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*dict.fromkeys(["doc_id", "source", *keep]), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
-    per_run = _fractions(docs.select("doc_id", "source"), buckets, runs, seed, []).groupBy("_run").agg(F.count("*").alias("_n"))
+    rows = docs.select("doc_id", "source", *(F.col(f"`{c}`").alias(k) for k, (c, _) in named.items()), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
+    ranked = materialize(_fractions(rows, buckets, runs, seed, ["_crc", "_size"]), "fractions")
+    per_run = ranked.groupBy("_run").agg(F.count("*").alias("_n"))
     starts = per_run.select("_run", (F.sum("_n").over(Window.orderBy("_run")) - F.col("_n")).alias("_start"))
     inside = Window.partitionBy("_run").orderBy("_f", "_src", "_key", "_crc", "_size")
-    placed = _fractions(rows, buckets, runs, seed, ["_crc", "_size"]).withColumn("_rank", F.row_number().over(inside))
+    placed = ranked.withColumn("_rank", F.row_number().over(inside))
     place = placed.join(starts, "_run").withColumn("_p", F.col("_start") + F.col("_rank") - 1)
     n = max(total, 1)
     shard = F.expr(f"_p * {shards}L div {n}L")
@@ -77,7 +84,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, keep: li
         F.col("_shard").cast("int").alias("shard"),
         F.expr(f"_p - (_shard * {n}L + {shards - 1}L) div {shards}L").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *keep,
+        *(F.col(k).alias(name) for k, (_, name) in named.items()),
     )
 
 
@@ -97,8 +104,8 @@ crc_table AS (
 ORACLE_SQL = f"""
 WITH {CRC_SQL}, keyed AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'null' ELSE 's:' || source END AS src,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k, strlen(coalesce(text, '')) + 1 AS size
-  FROM documents
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_crc32) AS k, strlen(coalesce(text, '')) + 1 AS size, text_crc32
+  FROM documents JOIN sums USING (doc_id)
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY k) AS r, count(*) OVER (PARTITION BY src) AS n,
          CAST(CAST('0x' || substr(md5('{SEED}:' || src), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
@@ -108,5 +115,5 @@ WITH {CRC_SQL}, keyed AS (
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p * {SHARDS} // total AS INTEGER) AS shard,
        CAST(p - ((p * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM placed JOIN sums USING (doc_id)
+FROM placed
 """

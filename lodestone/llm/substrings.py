@@ -26,8 +26,8 @@ being stored.
 Edge cases: null text has no words; fewer words than a window are never removed;
 equal words are words with equal 64-bit hashes, and extensions are equal if two
 such hashes are; rows that share an id are each judged against smaller ids and
-against themselves; a null id counts as the smallest; an empty table gives no
-rows.
+against themselves; rows without an id are documents of their own, below all ids
+and in the order of a hash of their text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -165,7 +165,9 @@ def _compared(docs: DataFrame, heads: DataFrame, window: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    """(doc_id, text); a row without an id goes by a number of its text instead, below all ids."""
+    own = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("text"), 2)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -220,6 +222,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     whole, single = repeated(docs, window)
     found = whole.select("doc_id", "extent", F.lit(None).cast("long").alias("digest")).unionByName(single.select("doc_id", F.lit(None).cast("long").alias("extent"), "digest"))
     lists = found.groupBy("doc_id").agg(F.collect_list("extent").alias("extents"), F.collect_list("digest").alias("digests")).withColumnRenamed("doc_id", "_d")
-    rows = _keyed(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "_d").withColumn("doc_id", F.when(F.col("_d") != -(1 << 63), F.col("_d")))
+    rows = _keyed(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "_d").withColumn("doc_id", F.when(F.col("_d") >= -(1 << 62), F.col("_d")))
     out = rows.join(lists, "_d", "left").select("doc_id", "text", "extents", "digests").mapInArrow(run, _REPORT)
     return out if with_text else out.drop("kept_text")

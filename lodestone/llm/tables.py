@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
-DEFAULT_SHARED_DIR = "/tmp/lodestone-shared"
+#: Used where the session names no folder and all runs on one machine, as in tests.
+LOCAL_DIR = "/tmp/lodestone-shared"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a default for local runs."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
+    """The folder all executors share: ``spark.checkpoint.dir``; only a local master does without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or LOCAL_DIR
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -247,6 +247,22 @@ def test_sql_of_native_operators(docs):
         assert _spark(run(frame)) == _duck(rows, sql)
 
 
+def test_sharding_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "a", i, "mine") for i in range(40)], "doc_id long, text string, source string, size long, shard string")
+    got = sharding.interleave(docs, keep=docs.columns)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "text", "source", "_size", "_shard"]
+    assert all(r._size == r.doc_id and r._shard == "mine" and r.text == f"t{r.doc_id}" for r in got.collect())
+
+
+def test_secrets_widely_copied_under_one_owner(spark):
+    """A token in many repositories of one owner is an example; the same text in few is live."""
+    rows = [(i, "key Ab3-9gh_Kk22wq-a0-zZ19x end", "en", "one", 0) for i in range(30)] + [(100 + i, "key Zb3-9gh_Kk22wq-a0-zZ19y end", "en", "one", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in secrets.report(docs).collect()}
+    assert all(got[i].spans == "" for i in range(30)) and all(got[100 + i].spans == "generic:4:27" and got[100 + i].most_repositories == 3 for i in range(3))
+    assert _spark(secrets.report(docs)) == _duck(rows, secrets.ORACLE_SQL)
+
+
 def test_mixing_meets_its_limits(spark):
     rows = [(i, "w " * (5 + i % 40), "en", "big" if i % 3 else f"s{i % 9}", 0) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -296,11 +312,82 @@ def test_url_rules_have_tokens():
 
 def test_matroska_round_trip(docs, texts):
     whole = dict(texts)
+    media = {r.doc_id: bytes(r.media) for r in matroska.to_media(docs).collect()}
     for r in matroska.digests(docs).collect():
         raw = (whole[r.doc_id] or "").encode()
         padded = raw + bytes((-len(raw) % 64) if raw else 64)
         assert r.n_bytes == len(raw) and r.payload_bytes == len(padded) and r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-64:])
-        assert "status=ok" in r.feature
+        assert r.media_bytes == len(media[r.doc_id]) and r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest()
+        frames = -(-len(padded) // matroska.FRAME)
+        assert "status=ok" in r.feature and f"packets={frames};" in r.feature and f"last={frames - 1}" in r.feature
+        cues = -(-frames // (matroska.LACED * matroska.BLOCKS))
+        assert f"cues={cues}/{cues}" in r.feature
+
+
+def _by_hand():
+    """A medium written byte by byte: two tracks, all lacings, block groups, a segment and a cluster of unknown size, cues; and its packets."""
+    head = bytes.fromhex("1A45DFA3 8B 4282 88") + b"matroska"
+    info = bytes.fromhex("1549A966 87 2AD7B1 83 0F4240")
+    one, two = bytes.fromhex("AE 8A D701 23E383 84 001E8480".replace("D701", "D78101").replace("8A", "8B")), bytes.fromhex("AE 83 D78102")
+    tracks = bytes.fromhex("1654AE6B") + bytes([0x80 | len(one + two)]) + one + two
+    block = lambda ident, track, ts, flags, body: bytes([ident]) + (0x4000 | len(body) + 4).to_bytes(2, "big") + bytes([0x80 | track]) + ts.to_bytes(2, "big", signed=True) + bytes([flags]) + body
+    xiph = b"\x02" + b"\xff\x2d" + b"\x05" + b"a" * 300 + b"b" * 5 + b"c" * 7
+    fixed = b"\x02" + b"xxxyyyzzz"
+    ebml = b"\x02" + b"\x43\x20" + b"\x5e\xd3" + b"d" * 800 + b"e" * 500 + b"f" * 9
+    group = block(0xA1, 2, -3, 0x00, b"plain") + bytes.fromhex("FB 81 FF")
+    key_group = block(0xA1, 2, 9, 0x00, b"key")
+    body = [
+        block(0xA3, 1, 5, 0x82, xiph),
+        block(0xA3, 1, 11, 0x84, fixed),
+        bytes([0xA0, 0x80 | len(group)]) + group,
+        bytes([0xA0, 0x80 | len(key_group)]) + key_group,
+    ]
+    first = bytes.fromhex("1F43B675 FF E7 82 03E8") + b"".join(body)
+    second_body = bytes.fromhex("E7 82 07D0") + block(0xA3, 1, 0, 0x06, ebml)
+    second = bytes.fromhex("1F43B675") + (0x4000 | len(second_body)).to_bytes(2, "big") + second_body
+    at = len(info) + len(tracks)
+    cue = lambda time, place: (lambda inner: bytes([0xBB, 0x80 | len(inner)]) + inner)(b"\xb3\x82" + time.to_bytes(2, "big") + bytes([0xB7, 0x80 | 7, 0xF7, 0x81, 1, 0xF1, 0x82]) + place.to_bytes(2, "big"))
+    points = cue(1000, at) + cue(2000, at + len(first)) + cue(2001, 7)
+    cues = bytes.fromhex("1C53BB6B") + bytes([0x80 | len(points)]) + points
+    want = [(1, 1005, "xiph", True, b"a" * 300), (1, 1007, "xiph", True, b"b" * 5), (1, 1009, "xiph", True, b"c" * 7), (1, 1011, "fixed", True, b"xxx"), (1, 1013, "fixed", True, b"yyy"), (1, 1015, "fixed", True, b"zzz"), (2, 997, "none", False, b"plain"), (2, 1009, "none", True, b"key"), (1, 2000, "ebml", False, b"d" * 800), (1, 2002, "ebml", False, b"e" * 500), (1, 2004, "ebml", False, b"f" * 9)]
+    return head + bytes.fromhex("18538067 01FFFFFFFFFFFFFF") + info + tracks + first + second + cues, want
+
+
+def test_matroska_by_another_writer():
+    media, want = _by_hand()
+    found = matroska.parse(media)
+    assert found["status"] == "ok" and found["tracks"] == 2 and found["blocks"] == 5
+    assert [(*p[:4], media[p[4] : p[4] + p[5]]) for p in found["packets"]] == want
+    assert "cues=2/3" in matroska.summary(found)
+
+
+def test_matroska_any_bytes():
+    """Whatever is cut, changed or put in: no exception, a status, and packets inside the medium."""
+    rng = random.Random(17)
+    media = [_by_hand()[0], matroska.mux(bytes(range(256)) * 30)]
+    seen = set()
+    for _ in range(3000):
+        data = bytearray(rng.choice(media))
+        for _ in range(rng.choice([0, 1, 1, 3])):
+            data[rng.randrange(4, len(data))] = rng.randrange(256)
+        data = bytes(data[: rng.choice([len(data), rng.randrange(5, len(data))])])
+        found = matroska.parse(data)
+        seen.add(found["status"])
+        assert all(p[5] >= 0 and 0 < p[4] and p[4] + p[5] <= len(data) for p in found["packets"])
+        matroska.summary(found)
+    assert seen == {"ok", "truncated", "malformed"}
+    late = matroska.element(matroska.EBML, b"") + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER_TIMESTAMP, b"\x01"))
+    lace = matroska.element(matroska.EBML, b"") + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81\0\0\x02\x01\xc8abc")))
+    uneven = matroska.element(matroska.EBML, b"") + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81\0\0\x04\x01abc")))
+    for data in (late, lace, uneven):
+        assert matroska.parse(data)["status"] == "malformed" and not matroska.parse(data)["packets"]
+
+
+def test_matroska_packets_keep_clashing_columns(spark):
+    media = spark.createDataFrame([(1, bytearray(matroska.mux(b"x" * 700)), "mine", 5)], "id int, media binary, track string, n int")
+    got = matroska.packets(media)
+    assert got.columns[:3] == ["id", "track", "n"] and "packet_ts" in got.columns
+    assert [(r.track, r.n, r.packet_n, r.packet_size) for r in got.collect()] == [("mine", 5, 0, 256), ("mine", 5, 1, 256), ("mine", 5, 2, 188)]
 
 
 def test_matroska_damaged(spark):
