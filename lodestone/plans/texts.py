@@ -57,9 +57,9 @@ def j10_json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@R.add("v4_route", "SELECT page_id, CASE WHEN e IN ('py', 'ts', 'php') THEN 'ast' WHEN e IN ('md', 'txt', 'json') THEN 'semantic' WHEN e IN ('html') THEN 'markup' WHEN e IN ('pdf') THEN 'document' ELSE 'skip' END AS route FROM (SELECT page_id, ['py', 'ts', 'php', 'md', 'txt', 'json', 'html', 'pdf', 'png'][1 + page_id % 9] AS e FROM pages)")
+@R.add("v4_route", "SELECT page_id, CASE WHEN e IN ('py', 'mts', 'cxx') THEN 'ast' WHEN e IN ('md', 'txt', 'markdown') THEN 'semantic' WHEN e IN ('html') THEN 'markup' WHEN e IN ('pdf') THEN 'document' ELSE 'skip' END AS route FROM (SELECT page_id, ['py', 'mts', 'cxx', 'md', 'markdown', 'json', 'html', 'pdf', 'png'][1 + page_id % 9] AS e FROM pages)")
 def v4_route(spark, sf_dir):
-    kinds = F.array(*map(F.lit, ["py", "ts", "php", "md", "txt", "json", "html", "pdf", "png"]))
+    kinds = F.array(*map(F.lit, ["py", "mts", "cxx", "md", "markdown", "json", "html", "pdf", "png"]))
     path = F.concat(F.lit("/a.b/file."), F.element_at(kinds, (1 + F.col("page_id") % 9).cast("int")))
     return table(spark, sf_dir, "pages").select("page_id", ch.route(path).alias("route"))
 

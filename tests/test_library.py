@@ -164,12 +164,18 @@ def test_code_chunk_scope():
     assert chunking.code_chunks("   \n\n", None) == []
 
 
-@pytest.mark.parametrize("language,line,want", [("typescript", "export default class Foo {", ("class_declaration", "Foo")), ("typescript", "  constructor(x) {", None), ("javascript", "  constructor(x) {", ("method_definition", "constructor")), ("go", "func (s *T) Run() {", ("function_declaration", "Run")), ("rust", "pub(crate) async fn go() {", ("function_item", "go")), ("php", "final class X {", ("class_declaration", "X")), ("java", "public static int add(int a) {", ("method_declaration", "add")), ("c", "static int add(int a)", ("function_definition", "add"))])
+@pytest.mark.parametrize("language,line,want", [("typescript", "export default class Foo {", ("class_declaration", "Foo")), ("typescript", "  constructor(x) {", None), ("javascript", "  constructor(x) {", ("method_definition", "constructor")), ("go", "func (s *T) Run() {", ("function_declaration", "Run")), ("rust", "pub(crate) async fn go() {", ("function_item", "go")), ("php", "final class X {", ("class_declaration", "X")), ("java", "public static int add(int a) {", ("method_declaration", "add")), ("c", "static int add(int a)", ("function_definition", "add")), ("cpp", "namespace app {", ("class_specifier", "app")), ("cpp", "std::vector<int> Box::sizes(int n) const {", None), ("cpp", "static inline int total(int a) {", ("function_definition", "total")), ("cpp", "  while (x) {", None)])
 def test_boundaries(language, line, want):
     rules = [(k, re.compile(p, re.ASCII), n) for k, p, n in chunking.BOUNDARIES[language]]
     assert chunking.boundary(line, rules) == want
 
 
+def test_cpp_chunks():
+    text = "class Box {\n public:\n" + "  int x;\n" * 112 + "  virtual int size(int n) {\n    return n;\n  }\n" + "  // pad\n" * 20 + "};\n}\nint main(int argc) {\n  return 0;\n}"
+    got = [(c["start_line"], c["end_line"], c["node_type"], c["class_name"], c["function_name"], c["symbol_path"]) for c in chunking.code_chunks(text, chunking.EXTENSIONS["hpp"])]
+    assert got == [(1, 114, "class_specifier", "Box", None, None), (115, 142, "function_definition", "Box", "size", "Box.size")]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_prose_chunks(seed):
     rng = random.Random(seed)
