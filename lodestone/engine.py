@@ -12,14 +12,15 @@ import json
 import time
 from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import context, graph, retrieval
+from lodestone.operators import context, graph, retrieval, wordindex
 from lodestone.operators.retrieval import ALPHA, GAP, RECENCY_WEIGHT, RRF_K, Filters
+from lodestone.operators.wordindex import WordIndex
 
 # Results kept, and for how many seconds; most rows of a page.
 CACHE_ROWS, CACHE_SECONDS, MOST = 128, 60.0, 50
@@ -27,24 +28,35 @@ CACHE_ROWS, CACHE_SECONDS, MOST = 128, 60.0, 50
 
 @dataclass
 class Envelope:
-    """A page of results; ``total`` and ``has_more`` come with its rows."""
+    """A page of results. ``found`` is the whole ranked result, as many rows as there are candidates at most; it is collected once, when first asked for."""
 
-    rows: DataFrame
+    found: DataFrame
     mode: str
     alpha: float
     warnings: list[str] = field(default_factory=list)
+    limit: int = MOST
+    offset: int = 0
 
     @cached_property
+    def _all(self) -> list:
+        return sorted(self.found.collect(), key=lambda r: r["rank"])
+
+    @property
+    def rows(self) -> DataFrame:
+        """The page as a DataFrame."""
+        return retrieval.page(self.found, self.limit, self.offset)
+
+    @property
     def page(self) -> list:
-        return self.rows.collect()
+        return self._all[self.offset : self.offset + self.limit]
 
     @property
     def total(self) -> int:
-        return self.page[0]["total"] if self.page else 0
+        return len(self._all)
 
     @property
     def has_more(self) -> bool:
-        return bool(self.page and self.page[0]["has_more"])
+        return self.total > self.offset + self.limit
 
 
 class ResultCache:
@@ -93,42 +105,74 @@ class Engine:
     queue: DataFrame | None = None
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
+    words: WordIndex | None = None
     embed: Callable[[str], list[float]] | None = None
     now_ns: Callable[[], int] = time.time_ns
     cache: ResultCache = field(default_factory=ResultCache)
+    #: Names the state of the tables: results held under another one are not given again.
+    version: str = ""
+    #: Whether the chunks' words can be searched; if not, terms stand in for them.
+    searchable: bool = True
+
+    def _state(self) -> list:
+        return [self.version, self.searchable, *(x.semanticHash() if x is not None else None for x in (self.chunks, self.vectors, self.queue))]
 
     def search(self, query: str, alpha: float = ALPHA, limit: int = 10, offset: int = 0, filters: Filters = Filters(), k: int = RRF_K, weight: float = RECENCY_WEIGHT, gap: float = GAP, fresh: bool = False) -> Envelope:
         """Both legs fused, or what there is of them; alpha 1 is semantic, 0 keyword search."""
         if not query.strip():
             raise ValueError("an empty query")
-        limit = max(1, min(limit, MOST))
-        asked = self.cache.key(query=query, alpha=alpha, limit=limit, offset=offset, filters=filters, k=k, weight=weight, gap=gap)
+        limit, offset = max(1, min(limit, MOST)), max(0, offset)
+        asked = self.cache.key(state=self._state(), query=query, alpha=alpha, limit=limit, offset=offset, filters=filters, k=k, weight=weight, gap=gap)
         if not fresh and (held := self.cache.get(asked)):
             return held
-        out = self._search(query, alpha, limit, offset, filters, k, weight, gap)
+        found, mode, alpha, warnings = self._search(query, alpha, max(retrieval.CANDIDATES, offset + limit), filters, k, weight, gap)
+        out = Envelope(found, mode, alpha, warnings, limit, offset)
         self.cache.put(asked, out)
         return out
 
-    def _search(self, query, alpha, limit, offset, filters, k, weight, gap) -> Envelope:
+    def _vector(self, query: str, alpha: float, warnings: list[str]) -> list[float] | None:
+        """The query's vector; None, with a warning, where there is none."""
+        if alpha <= 0:
+            return None
+        try:
+            vector = self.embed(query) if self.embed and self.vectors is not None else None
+        except Exception as error:
+            warnings.append(f"embedding failed: {error}")
+            vector = None
+        if vector is None:
+            warnings.append("no vectors: keywords only")
+        return vector
+
+    def _leg(self, warnings: list[str]) -> Callable | None:
+        """How the keyword leg is searched: stored words, all texts (None), or terms where words can't be searched."""
+        if self.words is not None:
+            return lambda rows, query, k: wordindex.top_k(self.words, rows, query, k)
+        if self.searchable:
+            return None
+        warnings.append("no word index: terms stand in for it")
+        source = self.queue if self.queue is not None else self.chunks
+        return lambda rows, query, k: retrieval.like_top_k(source.join(rows.select("chunk_id"), "chunk_id", "left_semi"), query, k)
+
+    def _search(self, query, alpha, candidates, filters, k, weight, gap) -> tuple[DataFrame, str, float, list[str]]:
         warnings: list[str] = []
         if self.chunks is None:
             if self.queue is None:
                 raise ValueError("neither an index nor a queue")
             found = retrieval.like_score(retrieval.scoped(self.queue, filters), query).withColumn("score", F.col("score").cast("double"))
-            best = retrieval.gap_cut(found.orderBy(F.desc("score"), "chunk_id").limit(retrieval.CANDIDATES), gap)
-            return Envelope(retrieval.page(best, limit, offset), "terms_only", 0.0, ["no index: the queue was searched by terms"])
-        vector = None
-        if alpha > 0:
-            try:
-                vector = self.embed(query) if self.embed and self.vectors is not None else None
-            except Exception as error:
-                warnings.append(f"embedding failed: {error}")
-            if vector is None:
-                warnings.append("no vectors: keywords only")
-                alpha = 0.0
+            best = retrieval.gap_cut(found.orderBy(F.desc("score"), "chunk_id").limit(candidates), gap)
+            return best, "terms_only", 0.0, ["no index: the queue was searched by terms"]
+        if retrieval.scoped(self.chunks, filters).isEmpty():
+            other = filters.version is not None and not retrieval.scoped(self.chunks, replace(filters, version=None)).isEmpty()
+            if other:
+                warnings.append("schema version mismatch: only rows of other versions fit")
+            none = self.chunks.select(F.lit(0).cast("long").alias("rank"), "chunk_id", "file_path", F.lit(0.0).alias("score")).limit(0)
+            return none, "keyword_only" if other else "hybrid", alpha, warnings
+        vector = self._vector(query, alpha, warnings)
+        if vector is None:
+            alpha = 0.0
         vectors = self.vectors if vector is not None else self.chunks.select("chunk_id", F.array().cast("array<float>").alias("vector")).limit(0)
-        found = retrieval.hybrid(self.chunks, vectors, query, vector or [0.0], filters, self.now_ns(), alpha, k, weight, gap)
-        return Envelope(retrieval.page(found, limit, offset), mode_of(alpha, vector is not None, True), alpha, warnings)
+        found = retrieval.hybrid(self.chunks, vectors, query, vector or [0.0], filters, self.now_ns(), alpha, k, weight, gap, candidates, self._leg(warnings))
+        return found, mode_of(alpha, vector is not None, True), alpha, warnings
 
     def semantic(self, query: str, **options) -> Envelope:
         return self.search(query, alpha=1.0, **options)
@@ -157,8 +201,8 @@ class Engine:
         return retrieval.similar(self.chunks, self.vectors, chunk_id, limit)
 
     def explain(self, query: str, chunk_id: str, alpha: float = ALPHA) -> DataFrame:
-        """Rank and parts of one chunk's score; no row if it isn't a candidate."""
-        found = retrieval.hybrid(self.chunks, self.vectors, query, self.embed(query), Filters(), self.now_ns(), alpha, gap=0.0)
+        """Rank and parts of one chunk's score; no row if it isn't a candidate. Without vectors, of the keyword leg alone."""
+        found, _, _, _ = self._search(query, alpha, retrieval.CANDIDATES, Filters(), RRF_K, RECENCY_WEIGHT, 0.0)
         return found.filter(F.col("chunk_id") == chunk_id)
 
     def callers(self, name: str, depth: int = 1) -> DataFrame:

@@ -20,11 +20,18 @@ def placed(chunks: DataFrame) -> DataFrame:
 
 
 def neighbors(chunks: DataFrame, targets: DataFrame, before: int, after: int) -> DataFrame:
-    """For each target (chunk_id): the chunks of its file from ``before`` places before to ``after`` places after, and the hop."""
-    rows = placed(chunks)
-    at = rows.join(targets.select("chunk_id").distinct(), "chunk_id", "left_semi").select("file_path", F.col("chunk_id").alias("target"), F.col("rn").alias("_at"))
+    """For each target (chunk_id): the chunks of its file from ``before`` places before to ``after`` places after, and the hop.
+
+    Places are counted in the targets' files alone and without the texts, which are joined to what was found.
+    """
+    wanted = targets.select("chunk_id").distinct()
+    keys = chunks.select("chunk_id", "file_path", "start_line")
+    files = keys.join(wanted, "chunk_id", "left_semi").select("file_path").distinct()
+    rows = placed(keys.join(files, "file_path", "left_semi"))
+    at = rows.join(wanted, "chunk_id", "left_semi").select("file_path", F.col("chunk_id").alias("target"), F.col("rn").alias("_at"))
     spread = at.withColumn("rn", F.explode(F.sequence(F.col("_at") - before, F.col("_at") + after)))
-    return rows.join(spread, ["file_path", "rn"]).withColumn("hop", (F.col("rn") - F.col("_at")).cast("long")).drop("_at")
+    near = rows.join(spread, ["file_path", "rn"]).select("chunk_id", "rn", "target", (F.col("rn") - F.col("_at")).cast("long").alias("hop"))
+    return chunks.join(near, "chunk_id")
 
 
 def pack(chunks: DataFrame, hits: DataFrame, max_files: int, max_chars: int, hops: int, keep: str = "middle") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.operators.scratch import written
 
@@ -120,5 +119,7 @@ def delete_file(nodes: DataFrame, edges: DataFrame, file_path: str) -> tuple[Dat
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the last in the given order."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)))).filter("_k = 1").drop("_k")
+    """One row per key: the last in the given order, on equal ones the greatest in all columns; combined before the shuffle."""
+    named = [*order, *(c for c in rows.columns if c not in order)]
+    best = rows.groupBy(*key).agg(F.max(F.struct(*named)).alias("_best"))
+    return best.select(*(F.col(f"_best.{c}").alias(c) for c in rows.columns))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # How often a file is parsed again, the day in nanoseconds under which a file is fresh.
 MAX_RETRIES, FRESH_NS = 3, 86_400_000_000_000
@@ -24,9 +23,13 @@ def changes(scanned: DataFrame, stored: DataFrame, force: bool = False) -> DataF
     return rows.select("file_path", state.alias("state"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of both, of a key in both the new one; of a key twice in ``new``, any one. Doing it again changes nothing."""
-    fresh = new.dropDuplicates(key)
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """The rows of both, of a key in both the new one. Doing it again changes nothing.
+
+    Of a key several times in ``new`` the row greatest in the columns ``order``, then in all columns, is taken.
+    """
+    named = [*(order or []), *(c for c in new.columns if c not in (order or []))]
+    fresh = new.groupBy(*key).agg(F.max(F.struct(*named)).alias("_new")).select(*(F.col(f"_new.{c}").alias(c) for c in new.columns))
     return old.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
 
 
@@ -75,5 +78,7 @@ def progress(queue: DataFrame, elapsed: float) -> DataFrame:
 
 
 def current(rows: DataFrame, key: list[str], version: str) -> DataFrame:
-    """Of each key the row with the greatest version."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(version)))).filter("_k = 1").drop("_k")
+    """Of each key the row with the greatest version, on equal ones the greatest in all columns; combined before the shuffle."""
+    named = [version, *(c for c in rows.columns if c != version)]
+    best = rows.groupBy(*key).agg(F.max(F.struct(*named)).alias("_best"))
+    return best.select(*(F.col(f"_best.{c}").alias(c) for c in rows.columns))

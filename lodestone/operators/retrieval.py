@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -180,21 +181,30 @@ def gap_cut(rows: DataFrame, threshold: float = GAP) -> DataFrame:
     return marked.withColumn("_cuts", F.sum("_cut").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))).filter("_cuts = 0").drop("_cut", "_cuts")
 
 
+def like_top_k(rows: DataFrame, query: str, k: int = CANDIDATES) -> DataFrame:
+    """The k best rows (chunk_id, score) by terms."""
+    return like_score(rows, query).select("chunk_id", F.col("score").cast("double").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
 def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Rows offset + 1 to offset + limit of a ranked result, with its total and whether more follow."""
     total = F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.withColumn("total", total).withColumn("has_more", F.col("total") > offset + limit).filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], filters: Filters, now_ns: int, alpha: float = ALPHA, k: int = RRF_K, weight: float = RECENCY_WEIGHT, gap: float = GAP) -> DataFrame:
-    """Ranked results of both legs: rank, chunk_id, score and its parts. alpha 1 skips the keyword leg, 0 the vector leg."""
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], filters: Filters, now_ns: int, alpha: float = ALPHA, k: int = RRF_K, weight: float = RECENCY_WEIGHT, gap: float = GAP, candidates: int = CANDIDATES, leg: Callable[[DataFrame, str, int], DataFrame] | None = None) -> DataFrame:
+    """Ranked results of both legs: rank, chunk_id, score and its parts. alpha 1 skips the keyword leg, 0 the vector leg.
+
+    Each leg gives its best ``candidates``: a page that ends beyond them needs more.  ``leg`` stands in for the
+    scan of all texts, such as a search in a stored word index.
+    """
     rows = scoped(chunks, filters)
-    near = vector_top_k(rows.join(vectors, "chunk_id").select("chunk_id", "vector"), vector)
-    words = keyword_top_k(rows, query)
+    near = vector_top_k(rows.join(vectors, "chunk_id").select("chunk_id", "vector"), vector, candidates)
+    words = (leg or keyword_top_k)(rows, query, candidates)
     a = ranked(near if alpha > 0 else near.filter(F.lit(False)), "distance", "chunk_id")
     b = ranked(words if alpha < 1 else words.filter(F.lit(False)), F.desc("score"), "chunk_id")
     fused = fuse(a, b, alpha, k).withColumn("fused", F.round("score", 9))
-    full = rows.select("chunk_id", "file_path", "text", "mtime_ns").join(F.broadcast(fused), "chunk_id")  # two legs of 50 rows at most
+    full = rows.select("chunk_id", "file_path", "text", "mtime_ns").join(F.broadcast(fused), "chunk_id")  # two legs of as many rows as there are candidates
     best = recent(boosted(full, t.identifiers(query)), now_ns, weight).withColumn("score", F.round("score", 9))
     return gap_cut(best, gap).select("rank", "chunk_id", "file_path", "vector_rank", "keyword_rank", "fused", "boost", "score")
 

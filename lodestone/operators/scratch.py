@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
-DEFAULT_SHARED_DIR = "/tmp/lodestone-shared"
+#: Used where the session names no folder and all runs on one machine, as in tests.
+LOCAL_DIR = "/tmp/lodestone-shared"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in ``spark.checkpoint.dir``, read back; whoever owns the folder clears it."""
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; only a local master does without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{folder or LOCAL_DIR}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as Parquet in the shared folder, in a folder for each value of ``by``, read back; whoever owns the folder clears it."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or DEFAULT_SHARED_DIR}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = place(spark, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as t
 from lodestone.operators import context as c
 from lodestone.operators import retrieval as r
+from lodestone.operators import wordindex
+from lodestone.operators.scratch import place
 from lodestone.plans.base import Registry, table
 from lodestone.plans.inputs import CHUNKS_SQL, LINES_SQL, NOW_NS, QUERY_VECTOR, VECTORS_SQL, chunks, turns, vectors
 
@@ -95,6 +97,13 @@ def o2_keyword_top_k(spark, sf_dir):
     return r.keyword_top_k(r.scoped(chunks(spark, sf_dir), r.Filters()), QUERY).select("chunk_id", "score")
 
 
+@R.add("o2_indexed_top_k", f"WITH {CHUNKS_SQL}, {_SCOPED}, {_BM25} SELECT chunk_id, score FROM top_words")
+def o2_indexed_top_k(spark, sf_dir):
+    """The same from a stored word index: only postings of the query's words are read."""
+    index = wordindex.write(chunks(spark, sf_dir), place(spark, "words"))
+    return wordindex.top_k(index, r.scoped(chunks(spark, sf_dir), r.Filters()), QUERY, r.CANDIDATES)
+
+
 _FUSED = f"""
 a AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS vector_rank FROM near),
 b AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS keyword_rank FROM top_words),
@@ -146,6 +155,17 @@ def search_hybrid_page(spark, sf_dir):
     return r.page(hybrid(spark, sf_dir, gap=0.0), limit=15, offset=10)
 
 
+def _far_sql() -> str:
+    return _hybrid_sql(0.0).replace("LIMIT 50", "LIMIT 75")
+
+
+@R.add("search_hybrid_far_page", f"SELECT * FROM ({_far_sql()}) WHERE rank > 60 AND rank <= 75")
+def search_hybrid_far_page(spark, sf_dir):
+    """A page from the 61st result on: the legs give as many candidates as it takes."""
+    found = r.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), QUERY, QUERY_VECTOR, r.Filters(), NOW_NS, gap=0.0, candidates=75)
+    return r.page(found, limit=15, offset=60).drop("total", "has_more")
+
+
 @R.add("search_semantic", f"WITH {_LEGS} SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM near")
 def search_semantic(spark, sf_dir):
     return r.hybrid(chunks(spark, sf_dir).drop("mtime_ns").withColumn("mtime_ns", F.lit(None).cast("long")), vectors(spark, sf_dir), "", QUERY_VECTOR, r.Filters(), NOW_NS, alpha=1.0, gap=0.0).select("chunk_id", "rank")

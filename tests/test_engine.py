@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,59 @@ def test_cache_ages_and_forgets():
     assert cache.get(keys[1]) is None and cache.get(keys[0]) == "a"
     now[0] = 11.0
     assert cache.get(keys[0]) is None
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    rows = [(f"k{i:03d}", "/f.py", i, "alpha " * (1 + i % 7) + f"w{i}", "", "") for i in range(120)]
+    frame = spark.createDataFrame(rows, "chunk_id string, file_path string, start_line int, text string, function_name string, class_name string")
+    return frame.withColumns({"project_path": F.lit("/p"), "language": F.lit("py"), "mtime_ns": F.lit(None).cast("long"), "schema_version": F.lit("1.0"), "tags": F.array(F.lit("t"))}).cache()
+
+
+def test_pages_beyond_the_candidates(many):
+    engine, seen = Engine(chunks=many), []
+    for offset in range(0, 130, 40):
+        out = engine.keyword("alpha", limit=40, offset=offset, gap=0.0)
+        seen += [r["chunk_id"] for r in out.page]
+        assert [r["chunk_id"] for r in out.rows.orderBy("rank").collect()] == [r["chunk_id"] for r in out.page]
+    assert len(seen) == len(set(seen)) == 120
+    past = engine.keyword("alpha", limit=10, offset=500, gap=0.0)
+    assert past.page == [] and past.total == 120 and not past.has_more
+
+
+def test_stored_words_give_the_same(many, tmp_path):
+    from lodestone.operators import wordindex
+
+    index = wordindex.write(many, str(tmp_path / "words"))
+    a, b = (Engine(chunks=many, words=x).keyword("alpha w7 w90 nowhere", gap=0.0).page for x in (None, index))
+    assert [(r["chunk_id"], r["keyword_rank"], r["score"]) for r in a] == [(r["chunk_id"], r["keyword_rank"], r["score"]) for r in b]
+    plan = wordindex.bm25(index, many, ["alpha"])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+def test_terms_stand_in_for_words(tables, many):
+    out = Engine(chunks=many, searchable=False).keyword("w17")
+    assert [r["chunk_id"] for r in out.page] == ["k017"] and "terms" in out.warnings[0]
+    both = Engine(chunks=tables[0], vectors=tables[1], embed=lambda q: [0.0, 1.0, 0.0], searchable=False).search("database", gap=0.0)
+    assert both.page[0]["chunk_id"] == "c2" and both.mode == "hybrid"
+
+
+def test_an_empty_index_and_other_versions(many):
+    old = many.withColumn("schema_version", F.lit("0.9"))
+    out = Engine(chunks=old).search("alpha")
+    assert out.page == [] and out.total == 0 and out.mode == "keyword_only" and "version" in out.warnings[0]
+    empty = Engine(chunks=many.limit(0)).search("alpha")
+    assert empty.page == [] and empty.mode == "hybrid" and not empty.warnings
+
+
+def test_explain_without_an_embedder(many):
+    assert Engine(chunks=many).explain("w5", "k005").first()["rank"] == 1
+
+
+def test_cache_forgets_after_an_upsert(many):
+    engine = Engine(chunks=many)
+    assert engine.keyword("w3", gap=0.0).total == 1
+    engine.chunks = many.filter("chunk_id <> 'k003'")
+    assert engine.keyword("w3", gap=0.0).total == 0
+    engine.version = "2"
+    assert engine.keyword("w4", gap=0.0).total == 1
