@@ -59,6 +59,71 @@ def outlines(pages: DataFrame, key: str = "page_id", html: str = "html", max_dep
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, node_id int, parent_id long, depth int, tag string, element_id string, class string, text string")
 
 
+class _Span(HTMLParser):
+    """Where the first element that fits starts and ends in the source, with and without its tags."""
+
+    def __init__(self, source: str, fits):
+        super().__init__(convert_charrefs=False)
+        self.source, self.fits = source, fits
+        self.lines = [0]
+        for line in source.split("\n"):
+            self.lines.append(self.lines[-1] + len(line) + 1)
+        self.tag, self.depth, self.span = None, 0, None
+        self.feed(source)
+        self.close()
+        if self.tag and self.span is None:
+            self.span = (self.outer, self.inner, len(source), len(source))
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        if self.span is not None:
+            return
+        if self.tag is None and self.fits(tag, dict(attrs)):
+            self.outer, self.inner = self._at(), self._at() + len(self.get_starttag_text())
+            if tag in VOID:
+                self.span = (self.outer, self.inner, self.inner, self.inner)
+            else:
+                self.tag, self.depth = tag, 1
+        elif tag == self.tag:
+            self.depth += 1
+
+    def handle_endtag(self, tag):
+        if self.span is None and tag == self.tag:
+            self.depth -= 1
+            if not self.depth:
+                at = self._at()
+                self.span = (self.outer, self.inner, at, self.source.index(">", at) + 1 if ">" in self.source[at:] else len(self.source))
+
+
+def excerpt(html: str | None, selector: str, outer: bool = True, max_chars: int = 0) -> str | None:
+    """The source of the first element that the selector (tag, #id or .class) names, with or without its own tags, cut to max_chars (0: whole); null if there is none."""
+    if selector[:1] == "#":
+        fits = lambda tag, own: own.get("id") == selector[1:]
+    elif selector[:1] == ".":
+        fits = lambda tag, own: selector[1:] in (own.get("class") or "").split()
+    else:
+        fits = lambda tag, own: tag == selector.lower()
+    span = _Span(html or "", fits).span
+    if span is None:
+        return None
+    text = html[span[0] : span[3]] if outer else html[span[1] : span[2]]
+    return text[:max_chars] if max_chars else text
+
+
+def excerpts(pages: DataFrame, selector: str, outer: bool = True, max_chars: int = 0, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, excerpt) of each page."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "excerpt": [excerpt(h, selector, outer, max_chars) for h in batch[html]]})
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, excerpt string")
+
+
 def pruned(nodes: DataFrame, max_depth: int, drop: tuple[str, ...] = ("script", "style")) -> DataFrame:
     """A tree's rows down to a depth, without the named elements."""
     return nodes.filter(nodes["depth"] <= max_depth).filter(~nodes["tag"].isin(*drop))

@@ -88,6 +88,13 @@ def reference_edges(fields: DataFrame) -> DataFrame:
     return rows.select("bundle", "field", "type", "target_type", F.explode_outer("target_bundles").alias("target_bundle"))
 
 
+def field_usage(fields: DataFrame, bundle: str | None = None) -> DataFrame:
+    """(field, type, bundles, n): in which bundles each field is used; of one bundle, its fields alone, each with all its bundles."""
+    used = fields.groupBy("field", "type").agg(F.array_sort(F.collect_set("bundle")).alias("bundles"))
+    used = used.withColumn("n", F.size("bundles").cast("long"))
+    return used.filter(F.array_contains("bundles", bundle)) if bundle is not None else used
+
+
 # What an enrichment reply calls its parts, and how many tags of which length count.
 MAX_TAGS, TAG_LENGTH = 10, 60
 

@@ -96,6 +96,26 @@ def v12_reference_edges(spark, sf_dir):
     return c.reference_edges(fields)
 
 
+_USAGE = f"SELECT 'f' || p_partkey % 40 AS field, {_KINDS.replace('p_partkey', '(p_partkey % 40)')} AS type, list_sort(list(DISTINCT p_brand)) AS bundles, count(DISTINCT p_brand) AS n FROM part GROUP BY ALL"
+
+
+def _fields(spark, sf_dir):
+    k = F.col("p_partkey") % 40
+    kinds = F.array(*map(F.lit, ["entity_reference", "image", "string", "file", "integer", "entity_reference_revisions"]))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("bundle"), F.concat(F.lit("f"), k.cast("string")).alias("field"), F.element_at(kinds, (1 + k % 6).cast("int")).alias("type"))
+
+
+@R.add("v13_field_usage", _USAGE)
+def v13_field_usage(spark, sf_dir):
+    """Every field and the brands, as bundles, that use it."""
+    return c.field_usage(_fields(spark, sf_dir))
+
+
+@R.add("v13_field_usage_of_bundle", f"SELECT * FROM ({_USAGE}) WHERE list_contains(bundles, (SELECT min(p_brand) FROM part))")
+def v13_field_usage_of_bundle(spark, sf_dir):
+    return c.field_usage(_fields(spark, sf_dir), table(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0])
+
+
 @R.add("v11_enrichment", "SELECT part.p_partkey, p_name AS summary, CASE WHEN p_size % 2 = 0 THEN [lower(p_brand), lower(p_type)] ELSE [lower(p_type)] END AS tags FROM part")
 def v11_enrichment(spark, sf_dir):
     tags = F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit(" , "), "p_type")).otherwise(F.concat("p_type", F.lit("\n,")))

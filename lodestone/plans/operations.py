@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import incremental as inc
-from lodestone.operators import ops, snapshots
+from lodestone.operators import ops, runs, snapshots
+from lodestone.functions import dates
 from lodestone.plans.base import Registry, table
 
 R = Registry()
 NOW = 1_706_659_200
 
 _LOG_SQL = "log AS (SELECT event_id AS wid, event_type AS type, user_id AS uid, event_id % 8 AS severity, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, '<b>@type</b> by %user: ' || props AS message, event_type, value FROM events)"
-_QUEUE_SQL = "queue AS (SELECT event_type || '_' || user_id % 4 AS name, CAST(floor(epoch(ts)) AS BIGINT) AS created, CASE WHEN event_id % 5 = 0 THEN CAST(floor(epoch(ts)) AS BIGINT) + 60 ELSE 0 END AS expire FROM events WHERE event_type <> 'view')"
+_QUEUE_SQL = "queue AS (SELECT event_type || '_' || user_id % 4 AS name, CAST(floor(epoch(ts)) AS BIGINT) AS created, CASE WHEN event_id % 5 = 0 THEN CAST(floor(epoch(ts)) AS BIGINT) + 60 ELSE 0 END AS expire FROM events)"
 _CACHE_SQL = f"cache AS (SELECT event_type AS bin, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(epoch(ts)) AS BIGINT) + event_id * 1000 END AS expire FROM events)"
 _MODULES_SQL = "modules AS (SELECT p_name || p_partkey AS module, CAST(p_size AS BIGINT) AS installed, [CAST(p_partkey % 60 AS BIGINT), CAST(p_partkey % 45 AS BIGINT), CAST(p_partkey % 30 AS BIGINT)] AS versions FROM part)"
 
@@ -24,7 +25,7 @@ def log(spark, sf_dir):
 
 def queue(spark, sf_dir):
     created = F.unix_timestamp("ts")
-    return table(spark, sf_dir, "events").filter("event_type <> 'view'").select(F.concat("event_type", F.lit("_"), (F.col("user_id") % 4).cast("string")).alias("name"), created.alias("created"), F.when(F.col("event_id") % 5 == 0, created + 60).otherwise(0).alias("expire"))
+    return table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("_"), (F.col("user_id") % 4).cast("string")).alias("name"), created.alias("created"), F.when(F.col("event_id") % 5 == 0, created + 60).otherwise(0).alias("expire"))
 
 
 def cache(spark, sf_dir):
@@ -261,3 +262,59 @@ def d13_queue_errors(spark, sf_dir):
 @R.add("a3_filtered_counts", f"WITH {_QUEUE2_SQL} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (priority = 3) AS urgent FROM chunk_queue")
 def a3_filtered_counts(spark, sf_dir):
     return _chunk_queue(spark, sf_dir).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("priority") == 3).alias("urgent"))
+
+
+# --- runs and repairs --------------------------------------------------------
+
+_RUNS_SQL = "runs AS (SELECT 'r' || event_id AS run_id, CASE WHEN event_id % 3 = 0 THEN 'completed' ELSE 'running' END AS status, CAST(floor(epoch(ts)) AS BIGINT) AS started_at, CAST(floor(epoch(ts)) AS BIGINT) + event_id % 900 AS updated_at FROM events)"
+_RUNS_NOW = 1_704_900_000
+
+
+def _runs(spark, sf_dir):
+    i, ts = F.col("event_id"), F.unix_timestamp("ts")
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("r"), i.cast("string")).alias("run_id"), F.when(i % 3 == 0, "completed").otherwise("running").alias("status"), ts.alias("started_at"), (ts + i % 900).alias("updated_at"))
+
+
+@R.add("i7_lock_holders", f"WITH {_RUNS_SQL} SELECT run_id, updated_at FROM runs WHERE status = 'running' AND {_RUNS_NOW} - updated_at < 600")
+def i7_lock_holders(spark, sf_dir):
+    """Events as runs: those that still hold the index."""
+    return runs.holders(_runs(spark, sf_dir), _RUNS_NOW).select("run_id", "updated_at")
+
+
+@R.add("d13_stuck_runs", f"WITH {_RUNS_SQL} SELECT run_id, {_RUNS_NOW} - updated_at AS silent FROM runs WHERE status = 'running' AND {_RUNS_NOW} - updated_at >= 600")
+def d13_stuck_runs(spark, sf_dir):
+    return runs.stuck(_runs(spark, sf_dir), _RUNS_NOW).select("run_id", "silent")
+
+
+@R.add("d13_fingerprints", f"WITH {_FILES_SQL} SELECT count(*) AS files, count(*) FILTER (s.file_path IS NOT NULL AND o.hash IS DISTINCT FROM s.hash) AS changed, count(*) FILTER (s.file_path IS NULL) AS gone FROM stored o LEFT JOIN scanned s ON s.file_path = o.file_path")
+def d13_fingerprints(spark, sf_dir):
+    scanned, stored = _files(spark, sf_dir)
+    return runs.fingerprints(stored, scanned)
+
+
+@R.add("d14_repended", f"WITH {_QUEUE2_SQL} SELECT chunk_id, CASE WHEN status = 'embedded' AND chunk_id % 10 <> 0 THEN 'pending' ELSE status END AS status FROM chunk_queue")
+def d14_repended(spark, sf_dir):
+    """Every embedded chunk without a vector is pending again; here those have one whose id ends in 0."""
+    rows = _chunk_queue(spark, sf_dir)
+    missing = rows.filter("status = 'embedded'").join(rows.filter("chunk_id % 10 = 0").select("chunk_id"), "chunk_id", "left_anti")
+    return runs.repended(rows, missing).select("chunk_id", "status")
+
+
+@R.add("d14_retried", f"WITH {_QUEUE2_SQL} SELECT chunk_id, CASE WHEN status = 'error' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'error' THEN 0 ELSE retry_count END AS retry_count FROM chunk_queue")
+def d14_retried(spark, sf_dir):
+    return runs.retried(_chunk_queue(spark, sf_dir)).select("chunk_id", "status", "retry_count")
+
+
+@R.add("d14_without_stale", f"WITH {_FILES_SQL} SELECT file_path, status FROM stored WHERE file_path IN (SELECT file_path FROM scanned)")
+def d14_without_stale(spark, sf_dir):
+    scanned, stored = _files(spark, sf_dir)
+    stale = stored.select("file_path").join(scanned.select("file_path"), "file_path", "left_anti")
+    return runs.without_files(stored, stale).select("file_path", "status")
+
+
+@R.add("t_since", f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN {NOW} - event_id % 30 * 86400 WHEN 1 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN 2 THEN event_id WHEN 3 THEN {NOW} - 3600 * (event_id % 7) END AS at FROM events")
+def t_since(spark, sf_dir):
+    """Relative, ISO and plain times of the log, and text that is none."""
+    i = F.col("event_id")
+    text = F.when(i % 5 == 0, F.concat(F.lit("-"), (i % 30).cast("string"), F.lit(" days"))).when(i % 5 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i % 5 == 2, i.cast("string")).when(i % 5 == 3, F.concat((i % 7).cast("string"), F.lit(" hours ago"))).otherwise("some day")
+    return table(spark, sf_dir, "events").select("event_id", dates.epoch(text, NOW).alias("at"))

@@ -9,6 +9,7 @@ from lodestone.functions import text as t
 from lodestone.operators import chunking as ch
 from lodestone.plans.base import Registry, table
 from lodestone.plans.inputs import CHUNKS_SQL, chunks
+from lodestone.sources import files
 
 R = Registry()
 
@@ -133,3 +134,49 @@ def html_pruned(spark, sf_dir):
 def a16_dom_nodes(spark, sf_dir):
     """Elements of each page and its greatest depth; the outline is built by a parser, so no SQL."""
     return h.outlines(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+
+
+# --- files and PHP -----------------------------------------------------------
+
+_KEPT_FILES = "WITH f AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'src/a' || p_partkey || '.php' WHEN 1 THEN '.git/x' || p_partkey WHEN 2 THEN 'node_modules/m/i' || p_partkey || '.js' WHEN 3 THEN 'img/p' || p_partkey || '.png' WHEN 4 THEN 'lib/x' || p_partkey || '.min.js' WHEN 5 THEN 'build/o' || p_partkey || '.py' ELSE 'doc/d' || p_partkey || '.md' END AS file_path, p_size * 20000 AS size FROM part)"
+
+
+def _paths(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = lambda a, b="": F.concat(F.lit(a), k.cast("string"), F.lit(b))
+    cases = [name("src/a", ".php"), name(".git/x"), name("node_modules/m/i", ".js"), name("img/p", ".png"), name("lib/x", ".min.js"), name("build/o", ".py"), name("doc/d", ".md")]
+    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*cases), (1 + k % 7).cast("int")).alias("file_path"), (F.col("p_size") * 20000).alias("size"))
+
+
+@R.add("s4_kept_files", f"{_KEPT_FILES} SELECT file_path FROM f WHERE p_partkey % 7 IN (0, 6) AND size <= 512 * 1024")
+def s4_kept_files(spark, sf_dir):
+    """Paths after size limit, built-in rules and an ignore file that leaves out build/."""
+    rows = _paths(spark, sf_dir)
+    return rows.filter(files.kept(F.col("file_path"), F.col("size"), rules=files.ignore_rules("# out\nbuild/\n"))).select("file_path")
+
+
+@R.add("s16_listing", f"{_KEPT_FILES} SELECT file_path FROM f WHERE p_partkey % 7 IN (0, 2, 4)")
+def s16_listing(spark, sf_dir):
+    return files.listing(_paths(spark, sf_dir), include=("*.php", "*.js")).select("file_path")
+
+
+def _php(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("<?php\nfinal class C"), k, F.lit(" {\n  public static function run"), k, F.lit("() {}\n}\ninterface I"), k, F.lit(" {}\nfunction m"), k, F.lit("_form_alter(&$x) {}\nfunction other() {}"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), F.concat(F.lit("modules/m"), k, F.lit(".module")).alias("file_path"))
+
+
+@R.add("v7_php_symbols", "SELECT p_partkey, unnest([2, 3, 5, 6, 7]::BIGINT[]) AS line, unnest(['class', 'function', 'interface', 'function', 'function']) AS kind, unnest(['C' || p_partkey, 'run' || p_partkey, 'I' || p_partkey, 'm' || p_partkey || '_form_alter', 'other']) AS name FROM part")
+def v7_php_symbols(spark, sf_dir):
+    return ch.php_symbols(_php(spark, sf_dir), "p_partkey")
+
+
+@R.add("v8_hooks", "SELECT p_partkey, 6::BIGINT AS line, 'm' || p_partkey AS module, 'form_alter' AS hook FROM part")
+def v8_hooks(spark, sf_dir):
+    return ch.hooks(_php(spark, sf_dir), "p_partkey")
+
+
+@R.add("html_excerpt", "SELECT page_id, substr(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), 1, 40) AS excerpt FROM pages")
+def html_excerpt(spark, sf_dir):
+    """The first characters of each page's title."""
+    return h.excerpts(table(spark, sf_dir, "pages"), "title", outer=False, max_chars=40)
