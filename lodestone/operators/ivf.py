@@ -9,16 +9,21 @@ visited too, so the result is exact; only a search with ``probes`` is approximat
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lodestone.operators.retrieval import vector_top_k
+from lodestone.operators.scratch import written
 
-#: Rows that cells are fitted on at most; cells at most.
-SAMPLE, CELLS = 20_000, 256
+#: Rows that cells are fitted on at most; cells at most (their number grows as the root of the rows').
+SAMPLE, CELLS = 20_000, 2048
 #: Cells that a search visits to bound the k-th distance.
 FIRST = 8
 
@@ -29,18 +34,43 @@ def _unit(rows: DataFrame) -> DataFrame:
 
 
 def build(vectors: DataFrame, cells: int | None = None) -> tuple[DataFrame, list[list[float]]]:
-    """(rows with their ``cell`` and ``cell_distance`` from its centre, centres): every row is in a cell; centres come from a sample bounded by SAMPLE."""
+    """(rows with their ``cell`` and ``cell_distance`` from its centre, centres): every row is in a cell, -1 if it has no vector of the common length.
+
+    Centres come from a sample bounded by SAMPLE, in the order of a hash; rows are placed by a product of matrices a batch.
+    """
     total = vectors.count()
     k = cells or min(CELLS, max(1, int(math.sqrt(total))))
-    unit = _unit(vectors)
     share = min(1.0, 1.5 * SAMPLE / max(total, 1))
-    sample = unit.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(SAMPLE)
+    near = vectors.filter(F.col("vector").isNotNull() & (F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    sample = written(_unit(near.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE)).select("_u"), "sample")
     model = KMeans(k=k, seed=7, maxIter=10).fit(sample.select(array_to_vector("_u").alias("features")))
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    table = F.array(*[F.array(*map(F.lit, c)) for c in centres])
-    near = F.transform(table, lambda c, i: F.struct(F.aggregate(F.zip_with(F.col("_u"), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("i")))
-    placed = unit.withColumn("_near", F.array_min(near))
-    return placed.withColumns({"cell": F.col("_near.i"), "cell_distance": F.sqrt("_near.d")}).drop("_u", "_near"), centres
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array(centres))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        own = (table * table).sum(axis=1)
+        for batch in batches:
+            column = batch["vector"]
+            fit = np.flatnonzero(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=-1) == table.shape[1])
+            rows = column.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, table.shape[1])
+            rows = np.nan_to_num(rows)
+            norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+            rows = rows / np.where(norm > 0, norm, 1.0)
+            apart = np.maximum((rows * rows).sum(axis=1)[:, None] - 2 * rows @ table.T + own, 0.0)
+            cell, distance = np.full(len(batch), -1, np.int32), np.zeros(len(batch))
+            cell[fit] = apart.argmin(axis=1)
+            distance[fit] = np.sqrt(apart.min(axis=1, initial=np.inf))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(distance)], names=[*batch.schema.names, "cell", "cell_distance"])
+
+    schema = StructType([*vectors.schema.fields, StructField("cell", IntegerType()), StructField("cell_distance", DoubleType())])
+    return vectors.mapInArrow(place, schema), centres
+
+
+def write(vectors: DataFrame, name: str = "ivf") -> tuple[DataFrame, list[list[float]]]:
+    """The index in the shared folder, a folder for each cell: a search opens those of the cells it visits."""
+    rows, centres = build(vectors)
+    return written(rows.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(8))), name, by="cell"), centres
 
 
 def radii(indexed: DataFrame) -> dict[int, float]:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestone.operators import ivf
-from lodestone.operators.scratch import written
+from lodestone.operators.scratch import place
 from lodestone.plans.base import Registry, table
-from lodestone.plans.inputs import QUERY_VECTOR, vectors
+from lodestone.plans.inputs import QUERY_VECTOR, VECTORS_SQL, vectors
 from lodestone.streaming import drain
 
 R = Registry()
@@ -20,24 +18,22 @@ def event_windows(spark, sf_dir):
     return drain.windowed(table(spark, sf_dir, "events"))
 
 
-def _scratch(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-shared"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @R.add("i4_drained_queue", "SELECT event_id AS chunk_id, event_type || ':' || props AS raw_text, 8 AS dim FROM events WHERE event_type <> 'view'")
 def i4_drained_queue(spark, sf_dir):
     """The events as a streaming queue of chunks, drained to the end and read back."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     queue = stream.select(F.col("event_id").alias("chunk_id"), F.concat_ws(":", "event_type", "props").alias("raw_text"), F.when(F.col("event_type") == "view", "embedded").otherwise("pending").alias("status"))
-    path = _scratch(spark, "drained")
-    drain.drain(queue, path, _scratch(spark, "progress"), drain.hash_embedder).awaitTermination()
+    path = place(spark, "drained")
+    drain.drain(queue, path, place(spark, "progress"), drain.hash_embedder).awaitTermination()
     return drain.latest(spark, path).select("chunk_id", "raw_text", F.size("vector").alias("dim"))
 
 
-@R.add("k12_ivf_top_k")
+_Q = ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR)
+
+
+@R.add("k12_ivf_top_k", f"WITH {VECTORS_SQL} SELECT chunk_id, round(1 - list_cosine_similarity(CAST(vector AS DOUBLE[]), [{_Q}]), 6) AS distance FROM vectors ORDER BY distance, chunk_id LIMIT 20")
 def k12_ivf_top_k(spark, sf_dir):
-    """The index is written and searched exactly; tests measure recall against brute force."""
-    rows, centres = ivf.build(vectors(spark, sf_dir))
-    return ivf.top_k(written(rows.sortWithinPartitions("cell"), "ivf"), centres, QUERY_VECTOR, 20).select("chunk_id", "distance")
+    """The index is written by cells and searched: cells that can't hold one of the nearest rows are not opened, so the result is exact."""
+    rows, centres = ivf.write(vectors(spark, sf_dir))
+    return ivf.top_k(rows, centres, QUERY_VECTOR, 20).select("chunk_id", "distance")
