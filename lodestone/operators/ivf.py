@@ -42,7 +42,7 @@ def build(vectors: DataFrame, cells: int | None = None) -> tuple[DataFrame, list
     k = cells or min(CELLS, max(1, int(math.sqrt(total))))
     share = min(1.0, 1.5 * SAMPLE / max(total, 1))
     near = vectors.filter(F.col("vector").isNotNull() & (F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    sample = written(_unit(near.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE)).select("_u"), "sample")
+    sample = written(_unit(near.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE)).select("_u").repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "sample")
     model = KMeans(k=k, seed=7, maxIter=10).fit(sample.select(array_to_vector("_u").alias("features")))
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
     shared = vectors.sparkSession.sparkContext.broadcast(np.array(centres))
