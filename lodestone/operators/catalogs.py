@@ -78,6 +78,32 @@ def entries(rows: DataFrame, key: str, mapping: str, skip: tuple[str, ...] = ("_
     return rows.select(key, F.explode(mapping).alias("name", "value")).filter(~F.col("name").isin(*skip))
 
 
+def _definitions(files: DataFrame, data: Column) -> DataFrame:
+    """(file_path, name, _d): the entries of a JSON object that are objects themselves, as JSON."""
+    found = files.select("file_path", F.from_json(data, "map<string,string>").alias("_m")).filter("_m is not null")
+    return found.select("file_path", F.explode("_m").alias("name", "_d")).filter(F.col("_d").startswith("{"))
+
+
+def services(files: DataFrame) -> DataFrame:
+    """(service_id, class, tags, file) of the services that parsed files (file_path, data) define.
+
+    ``_defaults`` and entries that are no mappings are left out; a class that isn't
+    said is empty, and tags without a name don't count.
+    """
+    rows = _definitions(files, F.get_json_object("data", "$.services")).filter("name <> '_defaults'")
+    names = F.transform(F.from_json(F.get_json_object("_d", "$.tags"), "array<string>"), lambda x: F.get_json_object(x, "$.name"))
+    tags = F.coalesce(F.filter(names, lambda x: x != ""), F.array().cast("array<string>"))
+    return rows.select(F.col("name").alias("service_id"), F.coalesce(F.get_json_object("_d", "$.class"), F.lit("")).alias("class"), tags.alias("tags"), F.col("file_path").alias("file"))
+
+
+def routes(files: DataFrame) -> DataFrame:
+    """(route_name, path, controller, file) of the routes that parsed files (file_path, data) define; the controller is the form where there is none."""
+    said = lambda at: F.nullif(F.get_json_object("_d", at), F.lit(""))
+    handler = F.coalesce(said("$.defaults._controller"), said("$.defaults._form"), F.lit(""))
+    rows = _definitions(files, F.col("data"))
+    return rows.select(F.col("name").alias("route_name"), F.coalesce(said("$.path"), F.lit("")).alias("path"), handler.alias("controller"), F.col("file_path").alias("file"))
+
+
 # The kinds of field that refer to something, and what they refer to unless they say.
 REFERENCES, DEFAULT_TARGET = ("entity_reference", "entity_reference_revisions", "image", "file"), "node"
 

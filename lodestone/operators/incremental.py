@@ -57,6 +57,13 @@ def mark(queue: DataFrame, done: DataFrame, status: str) -> DataFrame:
     return out.drop("_hit")
 
 
+def outdated(queue: DataFrame, states: DataFrame) -> DataFrame:
+    """The queue with the chunks of changed files (file_path, state) stale; ``requeue`` makes those that come again pending."""
+    changed = states.filter("state = 'pending_parse'").select("file_path").distinct().withColumn("_hit", F.lit(True))
+    hit = queue.join(changed, "file_path", "left")
+    return hit.withColumn("status", F.when(F.col("_hit"), "stale").otherwise(F.col("status"))).select(*queue.columns)
+
+
 def retryable(files: DataFrame) -> DataFrame:
     return files.filter(F.col("status").isin("pending_parse", "error") & (F.col("retry_count") < MAX_RETRIES))
 

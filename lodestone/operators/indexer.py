@@ -22,6 +22,7 @@ from lodestone.operators.tables import Tables
 FILES = "file_path string, size long, mtime_ns long, hash string, status string, retry_count long"
 QUEUE = "chunk_id string, file_path string, start_line int, end_line int, raw_text string, status string, priority int, created_at long, retry_count int"
 VECTORS = "chunk_id string, vector array<float>"
+STATS = "run_id string, pending long, embedded long, errors long, files long, updated_at long"
 
 
 class Locked(RuntimeError):
@@ -109,8 +110,23 @@ class Indexer:
             self.tables.write("queue", incremental.mark(queue, batch, state).select(*queue.columns))
             if self._status(run) == "running":
                 self._log(run, "running", started)
+        self._keep_stats(run)
         return run
 
+    def _keep_stats(self, run: str) -> None:
+        """What the index holds at the end of a run, or where it was paused."""
+        of = lambda status: F.count_if(F.col("status") == status)
+        row = self.tables.read("queue", QUEUE).agg(F.lit(run).alias("run_id"), of("pending").alias("pending"), of("embedded").alias("embedded"), of("error").alias("errors"), F.count_distinct("file_path").alias("files"), F.lit(int(self.clock())).cast("long").alias("updated_at"))
+        self.tables.write("stats", incremental.upsert(self.stats(), row, ["run_id"]))
+
+    def stats(self) -> DataFrame:
+        """A row for each run that came to its end or was paused."""
+        return self.tables.read("stats", STATS)
+
+    def health(self) -> list[tuple[str, bool, str]]:
+        """(table, healthy, message) of the index's tables and folder."""
+        return self.tables.probe(["files", "queue", "vectors", "runs"])
+
     def progress(self, elapsed: float) -> DataFrame:
         return incremental.progress(self.tables.read("queue", QUEUE), elapsed)
 

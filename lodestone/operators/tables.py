@@ -33,6 +33,26 @@ class Tables:
         """A new version; it may be made from the one before, which stays until ``vacuum``."""
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v={self.version(name) + 1}")
 
+    def probe(self, names: list[str]) -> list[tuple[str, bool, str]]:
+        """(table, healthy, message): whether each has a whole version whose schema can be read, then whether the folder can be written."""
+        out = []
+        for name in names:
+            try:
+                n = self.version(name)
+                if n:
+                    self.spark.read.parquet(f"{self.root}/{name}/v={n}")
+                out.append((name, n > 0, f"version {n}" if n else "not built"))
+            except Exception as problem:  # whatever a broken table raises is its state
+                out.append((name, False, str(problem).split("\n")[0]))
+        try:
+            files, at = self._files(f"{self.root}/_probe")
+            files.create(at, True).close()
+            files.delete(at, False)
+            out.append(("folder", True, "writable"))
+        except Exception as problem:
+            out.append(("folder", False, str(problem).split("\n")[0]))
+        return out
+
     def vacuum(self, name: str, keep: int = 2) -> None:
         """Removes versions older than the last ``keep``."""
         last = self.version(name)

@@ -84,6 +84,22 @@ def v9_map_entries(spark, sf_dir):
     return c.entries(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file"), mapping.alias("m")), "file", "m")
 
 
+def _yaml(spark, sf_dir, text):
+    """Nations as parsed YAML files: {0}, {1} and {2} stand for the key, the region and the name."""
+    data = F.format_string(text.replace("{0}", "%1$d").replace("{1}", "%2$d").replace("{2}", "%3$s"), "n_nationkey", "n_regionkey", "n_name")
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("file_path"), data.alias("data"))
+
+
+@R.add("v9_services", "SELECT unnest(['a.' || n_nationkey, 'bare']) AS service_id, unnest(['C' || n_regionkey, '']) AS class, unnest([[n_name, 'late'], []]) AS tags, 'f' || n_nationkey AS file FROM nation")
+def v9_services(spark, sf_dir):
+    return c.services(_yaml(spark, sf_dir, '{"services": {"_defaults": {"class": "D"}, "alias": "@other", "a.{0}": {"class": "C{1}", "tags": [{"name": "{2}"}, "plain", {"priority": 1}, {"name": "late", "priority": 2}]}, "bare": {}}}'))
+
+
+@R.add("v9_routes", "SELECT unnest(['r.' || n_nationkey, 'form', 'none']) AS route_name, unnest(['/n/{id}/' || n_nationkey, '/form', '']) AS path, unnest(['C' || n_regionkey || '::page', 'F' || n_name, '']) AS controller, 'f' || n_nationkey AS file FROM nation")
+def v9_routes(spark, sf_dir):
+    return c.routes(_yaml(spark, sf_dir, '{"r.{0}": {"path": "/n/{id}/{0}", "defaults": {"_controller": "C{1}::page", "_form": "unused"}}, "form": {"path": "/form", "defaults": {"_form": "F{2}"}}, "none": {}, "text": "x"}'))
+
+
 _KINDS = "['entity_reference', 'image', 'string', 'file', 'integer', 'entity_reference_revisions'][1 + p_partkey % 6]"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import codegraph
 from lodestone.operators import graph as g
 from lodestone.plans.base import Registry, table
 from lodestone.plans.inputs import GRAPH_SQL, graph
@@ -81,3 +82,35 @@ def n8_symbol_to_chunk(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("symbol"), (F.col("turn").cast("long") * 10).alias("start"))
     sites = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), (F.col("turn").cast("long") * 7).alias("line")).distinct()
     return g.enclosing(rows.withColumn("end", F.col("start") + 9), sites, slack=0)
+
+
+# Suppliers as TypeScript files: a class with a method for each part, then a function.
+_TS_SQL = """items AS (SELECT l_suppkey AS s, l_partkey AS p, min(l_linenumber) AS l FROM lineitem GROUP BY ALL),
+methods AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CAST(p AS VARCHAR)) AS i FROM items), sizes AS (SELECT s, count(*) AS n FROM items GROUP BY s)"""
+_TS_ID = "sha256('demo|/src/s' || s || '.ts|' || {0})"
+
+
+def _typescript(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_linenumber").alias("l"))
+    method = F.concat(F.lit("  part_"), F.col("l_partkey").cast("string"), F.lit("(x) {\n    return this.call_"), F.col("l").cast("string"), F.lit("(x);\n  }"))
+    body, k = items.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(method)).alias("m")), F.col("l_suppkey").cast("string")
+    text = F.concat(F.lit("import { base } from './lib';\nclass Supplier"), k, F.lit(" extends Base {\n"), F.array_join("m", "\n"), F.lit("\n}\n\nfunction main() {\n  run();\n}\n"))
+    return body.select(F.lit("demo").alias("project_path"), F.concat(F.lit("/src/s"), k, F.lit(".ts")).alias("file_path"), text.alias("text"))
+
+
+@R.add("v5_graph_nodes", f"""WITH {_TS_SQL}, found AS (
+  SELECT s, 'file' AS symbol_path, 's' || s || '.ts' AS symbol_name, 'file' AS symbol_type, 1 AS start_line, 8 + 3 * n AS end_line FROM sizes
+  UNION ALL SELECT s, 'Supplier' || s, 'Supplier' || s, 'class', 2, 3 + 3 * n FROM sizes
+  UNION ALL SELECT s, 'main', 'main', 'function', 5 + 3 * n, 7 + 3 * n FROM sizes
+  UNION ALL SELECT s, 'Supplier' || s || '.part_' || p, 'part_' || p, 'method', 3 * i, 3 * i + 2 FROM methods
+) SELECT {_TS_ID.format("symbol_path")} AS node_id, symbol_name, symbol_path, symbol_type, '/src/s' || s || '.ts' AS file_path, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM found""")
+def v5_graph_nodes(spark, sf_dir):
+    return codegraph.code_graph(_typescript(spark, sf_dir))[0]
+
+
+@R.add("v5_graph_edges", f"""WITH {_TS_SQL}, found AS (
+  SELECT s, 'file' AS symbol_path, './lib' AS target, 'imports' AS kind FROM sizes UNION ALL SELECT s, 'main', 'run', 'calls' FROM sizes
+  UNION ALL SELECT s, 'Supplier' || s || '.part_' || p, 'call_' || l, 'calls' FROM methods
+) SELECT {_TS_ID.format("symbol_path")} AS source_node_id, target AS target_node_name, NULL::VARCHAR AS target_node_id, kind AS relationship_type FROM found""")
+def v5_graph_edges(spark, sf_dir):
+    return codegraph.code_graph(_typescript(spark, sf_dir))[1]

@@ -185,6 +185,14 @@ def i1_file_changes(spark, sf_dir):
     return inc.changes(*_files(spark, sf_dir))
 
 
+@R.add("i2_outdated_chunks", f"""WITH {_FILES_SQL} SELECT doc_id AS chunk_id, CASE WHEN s.file_path IS NOT NULL AND o.file_path IS NOT NULL AND NOT (coalesce((s.size = o.size AND s.mtime_ns = o.mtime_ns) OR s.hash = o.hash, false) AND o.status IN ('parsed', 'up_to_date')) THEN 'stale' ELSE 'embedded' END AS status
+FROM documents d LEFT JOIN scanned s ON s.file_path = d.source || '/' || doc_id LEFT JOIN stored o ON o.file_path = d.source || '/' || doc_id""")
+def i2_outdated_chunks(spark, sf_dir):
+    """Documents as embedded chunks of a file each; those of changed files are stale."""
+    queue = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.lit("embedded").alias("status"))
+    return inc.outdated(queue, inc.changes(*_files(spark, sf_dir))).select("chunk_id", "status")
+
+
 @R.add("q9_retryable_files", f"WITH {_FILES_SQL} SELECT file_path, status, retry_count FROM stored WHERE status IN ('pending_parse', 'error') AND retry_count < 3")
 def q9_retryable_files(spark, sf_dir):
     return inc.retryable(_files(spark, sf_dir)[1]).select("file_path", "status", "retry_count")

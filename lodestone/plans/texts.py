@@ -171,6 +171,20 @@ def v7_php_symbols(spark, sf_dir):
     return ch.php_symbols(_php(spark, sf_dir), "p_partkey")
 
 
+_KINDS = r"""SELECT p_partkey, unnest([2, 4, 8, 9, 10, 13, 16, 16]::BIGINT[]) AS line, unnest(['event_subscriber', 'form', 'plugin', 'controller', 'drush_command', 'hook', 'hook', 'preprocess']) AS kind,
+  unnest(['Sub' || p_partkey, 'Edit', 'Block', 'Page', 'Run', 'm' || p_partkey || '_cron', 'm_preprocess_node', 'm_preprocess_node']) AS name,
+  unnest(['class Sub' || p_partkey || ' extends Base' || chr(10) || '  implements EventSubscriberInterface', 'class Edit extends' || chr(10) || chr(10) || '  FormBase', '#[Block(', 'class Page extends ControllerBase', 'class Run extends DrushCommands', 'function m' || p_partkey || '_cron(', 'function m_preprocess_node(', 'function m_preprocess_node(']) AS content FROM part"""
+
+
+@R.add("v7_php_kinds", _KINDS)
+def v7_php_kinds(spark, sf_dir):
+    """What the declarations of a PHP file are for, some of them over several lines."""
+    k = F.col("p_partkey").cast("string")
+    head = F.concat(F.lit("<?php\nclass Sub"), k, F.lit(" extends Base\n  implements EventSubscriberInterface {}\nclass Edit extends\n\n  FormBase {}\n@Not(\n#[Block(id: 1)]\nclass Page extends ControllerBase {}\n"))
+    tail = F.concat(F.lit("class Run extends DrushCommands {\n}\n\nfunction m"), k, F.lit("_cron() {}\n  function indented() {}\n\nfunction m_preprocess_node(&$v) {}\n"))
+    return ch.php_kinds(table(spark, sf_dir, "part").select("p_partkey", F.concat(head, tail).alias("text"), F.concat(F.lit("modules/m"), k, F.lit(".module")).alias("file_path")), "p_partkey")
+
+
 @R.add("v8_hooks", "SELECT p_partkey, 6::BIGINT AS line, 'm' || p_partkey AS module, 'form_alter' AS hook FROM part")
 def v8_hooks(spark, sf_dir):
     return ch.hooks(_php(spark, sf_dir), "p_partkey")

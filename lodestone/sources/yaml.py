@@ -6,13 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import yaml
 from pyspark.sql import DataFrame
 
-try:
-    import yaml
-except ImportError:  # no parser here: nothing parses
-    yaml = None
-
 
 def parsed(files: DataFrame) -> DataFrame:
     """(file_path, data) of files (file_path, text): their content as JSON; files that don't parse or are empty are left out."""
@@ -22,7 +18,7 @@ def parsed(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(batch["file_path"], batch["text"], strict=True):
                 try:
-                    found = yaml.safe_load(text) if yaml else None
+                    found = yaml.safe_load(text)
                 except yaml.YAMLError:
                     found = None
                 if found:

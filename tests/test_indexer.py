@@ -39,6 +39,8 @@ def test_files_come_change_and_go(spark, tmp_path):
     assert seen == ["b.md"] and _state(index) == ({("a.py", "embedded"), ("b.md", "embedded")}, True)
     assert index.runs().filter("status = 'completed'").count() == 2
     assert index.progress(10.0).first()["percent"] == 100.0
+    assert sorted((r.pending, r.embedded, r.errors, r.files) for r in index.stats().collect()) == [(0, 2, 0, 2), (0, 3, 0, 3)]
+    assert all(healthy for _, healthy, _ in index.health())
     assert index.delete() and not index.delete() and index.tables.version("queue") == 0
 
 
@@ -80,6 +82,17 @@ def test_a_failed_batch_is_an_error_and_can_be_repaired(spark, tmp_path):
     assert [r.status for r in runs.repended(embedded, missing).collect()] == ["pending"]
 
 
+def test_probe(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "t"))
+    tables.write("x", spark.range(1))
+    tables.write("bad", spark.range(1))
+    for part in (tmp_path / "t" / "bad" / "v=1").glob("part-*"):
+        part.write_bytes(b"no parquet")
+    assert [(name, healthy) for name, healthy, _ in tables.probe(["x", "y", "bad"])] == [("x", True), ("y", False), ("bad", False), ("folder", True)]
+    (tmp_path / "file").write_text("")
+    assert tables.probe([])[0][1] and not Tables(spark, str(tmp_path / "file" / "t")).probe([])[0][1]
+
+
 def test_half_written_versions_are_not_seen(spark, tmp_path):
     tables = Tables(spark, str(tmp_path / "t"))
     assert tables.read("x", "a long").count() == 0
