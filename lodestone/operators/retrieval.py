@@ -12,11 +12,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as t
+from lodestone.operators.scratch import written
 
 # Fusion weight and offset, boosts, recency and gap.
 ALPHA, RRF_K, CANDIDATES = 0.65, 60, 50
@@ -102,29 +103,30 @@ def _length() -> Column:
     return F.regexp_count(_lower(), F.lit("[a-z0-9_.]+"))
 
 
-def corpus_stats(rows: DataFrame, words: list[str]) -> tuple[int, float, dict[str, int]]:
-    """Number of rows, their mean length in words, and in how many each of the words occurs: one row, whatever the corpus."""
-    held = rows.select(_length().alias("_n"), _hits(words).alias("_h"))
-    n, mean, *df = held.agg(F.count("*"), F.avg("_n"), *(F.count_if(F.array_contains("_h", w)).alias(f"_{i}") for i, w in enumerate(words))).first()
-    return n, mean or 0.0, dict(zip(words, df, strict=True))
-
-
 def bm25(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Adds ``score``; rows without any of the words are left out."""
+    """(chunk_id, score) of the rows that hold any of the words.
+
+    One pass over the texts: the rows' number and their words are observed on the
+    way, and of the rows that hold a word, id, length and counts are written.
+    """
     if not words:
-        return rows.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    n, mean, df = corpus_stats(rows, words)
-    held = rows.withColumns({"_h": _hits(words), "_n": _length() / F.lit(mean or 1.0)}).filter(F.size("_h") > 0)
-    score = F.lit(0.0)
-    for w in words:
-        idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-        tf = F.size(F.array_remove(F.col("_h"), w))
-        tf = (F.size("_h") - tf).cast("double")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + F.lit(K1) * (1 - B + B * F.col("_n")))
-    return held.withColumn("score", F.round(score, 6)).drop("_h", "_n")
+        return rows.select("chunk_id", F.lit(0.0).alias("score")).filter(F.lit(False))
+    seen = Observation()
+    texts = rows.select("chunk_id", _length().alias("_n"), _hits(words).alias("_h")).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("words"))
+    counts = F.array(*(F.size("_h") - F.size(F.array_remove("_h", w)) for w in words))
+    held = written(texts.filter(F.size("_h") > 0).select("chunk_id", "_n", counts.alias("_tf")), "held")
+    n, total = seen.get["rows"], seen.get["words"] or 0
+    df = held.agg(*(F.count_if(F.col("_tf")[i] > 0).alias(f"_{i}") for i in range(len(words)))).first()
+    score, relative = F.lit(0.0), F.col("_n") / F.lit(total / n if total else 1.0)
+    for i in range(len(words)):
+        idf = math.log(1 + (n - df[i] + 0.5) / (df[i] + 0.5))
+        tf = F.col("_tf")[i].cast("double")
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + F.lit(K1) * (1 - B + B * relative))
+    return held.select("chunk_id", F.round(score, 6).alias("score"))
 
 
 def keyword_top_k(rows: DataFrame, query: str, k: int = CANDIDATES) -> DataFrame:
+    """The k best rows (chunk_id, score) by their words."""
     return bm25(rows, t.keywords(query)).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine, ResultCache, mode_of
+from lodestone.operators import retrieval
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +138,12 @@ def test_cache_forgets_after_an_upsert(many):
     assert engine.keyword("w3", gap=0.0).total == 0
     engine.version = "2"
     assert engine.keyword("w4", gap=0.0).total == 1
+
+
+def test_bm25_of_nothing(spark):
+    """No rows, no rows once a join has run, no row with a word, no text, no words: no scores."""
+    rows = spark.createDataFrame([("1", "alpha beta"), ("2", None), ("3", "")], "chunk_id string, text string")
+    other = spark.createDataFrame([("9",)], "chunk_id string")
+    for some, words in ((rows.limit(0), ["alpha"]), (rows.filter(F.lit(False)), ["alpha"]), (rows.join(other, "chunk_id"), ["alpha"]), (rows, ["gamma"]), (rows.filter("chunk_id > 1"), ["alpha"]), (rows, [])):
+        assert retrieval.bm25(some, words).collect() == []
+    assert [r.chunk_id for r in retrieval.bm25(rows, ["alpha", "gamma"]).collect()] == ["1"]
