@@ -1,8 +1,8 @@
-"""The queries op1_ to op10_ and the SQL of those that SQL can express."""
+"""The queries op1_ to op13_ and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, matroska, minhash, mixing, quality, secrets, sharding, substrings, toxicity, urlrules
+from lodestone.llm import codebooks, decontamination, lexical, matroska, minhash, mixing, personal, quality, secrets, sharding, substrings, toxicity, urlrules
 from lodestone.llm.tables import read
 
 
@@ -46,9 +46,21 @@ def op10_url_filter(spark, sf_dir):
     return urlrules.judge(read(spark, sf_dir, "pages"), urlrules.RULES)
 
 
+def op11_personal_data(spark, sf_dir):
+    return personal.report(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return codebooks.report(read(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {"op4_sharding": sharding.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_source_mixing": mixing.ORACLE_SQL, "op10_url_filter": urlrules.oracle_sql(urlrules.RULES)}
+    return {"op4_sharding": sharding.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_source_mixing": mixing.ORACLE_SQL, "op10_url_filter": urlrules.oracle_sql(urlrules.RULES), "op12_vector_codes": codebooks.ORACLE_SQL, "op13_ranked_search": lexical.ORACLE_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -161,3 +162,72 @@ def auc(scores, labels):
     """The share of pairs of a 1 and a 0 in which the 1 scores higher; ties count half."""
     ones, zeros = [s for s, y in zip(scores, labels, strict=True) if y], [s for s, y in zip(scores, labels, strict=True) if not y]
     return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
+PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        total += sum(map(int, str(int(c) * (1 + k % 2))))
+    return total % 10 == 0
+
+
+def personal_spans(text):
+    """(start, place of the kind, end) of the base spans."""
+    out = []
+    for k, (kind, pattern) in enumerate(PERSONAL.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            if (
+                kind == "email"
+                or (kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")))
+                or (kind == "card" and 14 <= len(digits) <= 19 and luhn(digits))
+                or (kind == "phone" and 10 <= len(digits) <= 15)
+            ):
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """(codes and errors of rows (id, vector), codebooks), by plain loops."""
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    width = len(ints[0][1]) // parts
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[cut(v, p) for _, v in sorted(ints)[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    near = lambda v, p: min(range(len(books[p])), key=lambda e: (far(cut(v, p), books[p][e]), e))
+    for _ in range(rounds):
+        held = {}
+        for _, v in ints:
+            for p in range(parts):
+                held.setdefault((p, near(v, p)), []).append(cut(v, p))
+        for (p, e), own in held.items():
+            books[p][e] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+    codes = [[near(v, p) for p in range(parts)] for _, v in ints]
+    return [(i, "".join(f"{e:02x}" for e in c), sum(far(cut(v, p), books[p][e]) for p, e in enumerate(c))) for (i, v), c in zip(ints, codes, strict=True)], books
+
+
+def ranked(docs, items, k=20):
+    """(item, rank, doc_id, score) of the items (id, text) over the documents (id, text)."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    terms = lambda t: term.findall((t or "").translate(ASCII_LOWER))
+    bags = [(i, terms(t)) for i, t in docs]
+    bags = [(i, b) for i, b in bags if b]
+    n, total, holding, out = len(bags), sum(len(b) for _, b in bags), {}, []
+    for _, b in bags:
+        for t in set(b):
+            holding[t] = holding.get(t, 0) + 1
+    for item, text in items:
+        scores = []
+        for i, b in bags:
+            m = 100 - 25 + 25 * len(b) * n // total
+            score = 0
+            for t in terms(text):
+                if tf := b.count(t):
+                    score += math.floor(1000 * math.log((2 * n + 2) / (2 * holding[t] + 1))) * (1_000_000_000 * tf // (1000 * tf + 12 * m))
+            if score > 0:
+                scores.append((-score, i))
+        out += [(item, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k])]
+    return out
