@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import words as w
+from lodestone.llm.tables import plain
 
 WINDOW = 10
 #: Bytes of item texts that are broadcast at once, and bytes of text in a shard.
@@ -312,11 +313,11 @@ def clean_text(raw: bytes, blocks: list) -> bytes:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, with the spans of test phrases cut from ``text``; ``n_chars`` follows where present.
+    """The documents, all columns of any names, with the spans of test phrases cut from ``text``; ``n_chars`` follows where present.
 
     A document of which no word is left is dropped; one that had none stays.
     """
-    blocks, schema = broadcast_items(benchmark), docs.schema
+    blocks, rows = broadcast_items(benchmark), plain(docs, ("doc_id", "text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,4 +338,4 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         part = part.set_column(k, part.schema.field(k), pa.array(counts, part.schema.field(k).type))
                 yield part if keep.all() else part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

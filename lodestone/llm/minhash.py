@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import words as w
 from lodestone.llm.graph import components
-from lodestone.llm.tables import materialize
+from lodestone.llm.tables import column, materialize
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
@@ -159,15 +159,20 @@ def _fits(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that sizes and bitmaps don't rule out.
+def _bounded(left: list[str], right: list[str], na: str, nb: str) -> Column:
+    """Whether two sets' bitmaps allow a link.
 
     A link needs a union of at most 100/85 of the common part, so the sets may differ by 15/185 of both sizes together.
     """
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(left, right, strict=True)))
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col(na) + F.col(nb))
+
+
+def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and bitmaps don't rule out."""
     left = facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), *(F.col(p).alias(f"a{p}") for p in _BITS))
     right = facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), *(F.col(p).alias(f"b{p}") for p in _BITS))
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in _BITS))
-    bound = (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb"))
+    bound = _bounded([f"a{p}" for p in _BITS], [f"b{p}" for p in _BITS], "na", "nb")
     return pairs.join(right, "b").join(left, "a").filter(_fits("na", "nb") & bound).select("a", "b")
 
 
@@ -209,22 +214,27 @@ def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _prefixes(open_: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written rows (token, node, c, n, pos) for the shingles, held by several components, that a link of the class could start with."""
+    """Written rows (token, node, c, n, pos, bitmap) for the shingles, held by several components, that a link of the class could start with."""
     tokens = open_.join(facts.select("node", F.col("n_shingles").alias("n")), "node").join(sets, "node").select("node", "c", "n", F.explode("hashes").alias("token"))
     held = materialize(tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("token", "df"), "held")
     own = materialize(tokens.join(held, "token").select("node", "c", "n", "token", "df"), "shared")
     ranked = own.groupBy("node").agg(F.any_value("c").alias("c"), F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
     placed = ranked.select("node", "c", "n", F.size("own").alias("m"), F.posexplode("own").alias("k", "x")).select(F.col("x.token").alias("token"), "node", "c", "n", (F.col("n") - F.col("m") + F.col("k")).alias("pos"))
-    return materialize(placed.filter(100 * (F.col("n") - F.col("pos")) >= PERCENT * F.col("n")), "prefixes")
+    early = placed.filter(100 * (F.col("n") - F.col("pos")) >= PERCENT * F.col("n"))
+    return materialize(early.join(facts.select("node", *_BITS), "node"), "prefixes")
 
 
 def _joined_on_prefixes(prefixes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a shingle early enough in both sets."""
-    one = prefixes.select("token", *(F.col(x).alias(f"{x}a") for x in ("node", "c", "n", "pos")))
-    two = prefixes.select("token", *(F.col(x).alias(f"{x}b") for x in ("node", "c", "n", "pos")))
+    """Distinct pairs (a, b) of different components that share a shingle early enough in both sets and that their bitmaps don't rule out.
+
+    Places and bitmaps are conditions of the join: a pair that they rule out is never written.
+    """
+    one = prefixes.select("token", *(F.col(x).alias(f"{x}a") for x in ("node", "c", "n", "pos", *_BITS)))
+    two = prefixes.select("token", *(F.col(x).alias(f"{x}b") for x in ("node", "c", "n", "pos", *_BITS)))
     left = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
     enough = (100 + PERCENT) * left >= PERCENT * (F.col("na") + F.col("nb"))
-    found = one.join(two, "token").filter((F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & enough)
+    near = _bounded([f"{p}a" for p in _BITS], [f"{p}b" for p in _BITS], "na", "nb")
+    found = one.join(two, "token").filter((F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & enough & near)
     return found.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
@@ -276,4 +286,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay = first.unionByName(placed.filter("group is null").select("doc_id", "th")).distinct().select(F.col("doc_id").alias("_lodestone_id"), F.col("th").alias("_lodestone_th"))
     keyed = docs.filter("doc_id is not null").withColumns({"_lodestone_id": F.col("doc_id").cast("long"), "_lodestone_th": F.xxhash64("text")})
     one = keyed.dropDuplicates(["_lodestone_id", "_lodestone_th"]).join(stay, ["_lodestone_id", "_lodestone_th"], "left_semi")
-    return docs.filter("doc_id is null").unionByName(one.select(*(F.col(f"`{c}`") for c in names)))
+    return docs.filter("doc_id is null").unionByName(one.select(*map(column, names)))

@@ -18,8 +18,9 @@ only the rows of a bucket are sorted together.  The driver gets sums over
 sources, never a row per source.
 
 Edge cases: a document counts its words and one end mark, so none is free; a
-null source is one of its own; null text has no words; rows with equal ids are
-ordered by size and hash; one source gets exponent 0; an empty table gives no rows.
+null source is one of its own; null text has no words; rows with equal ids, or
+without one, are spread and ordered by size and text; rows equal in id and text lie in
+one bucket of their epoch; one source gets exponent 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.tables import materialize, shuffle_width
+from lodestone.llm.tables import materialize, plain, shuffle_width
 
 #: Of the greatest entropy; and how often a source is read at most.
 TARGET_ENTROPY, MAX_REPETITION = 0.9, 4.0
@@ -41,7 +42,7 @@ BLOCK_TOKENS = 1 << 18
 #: The exponent is a multiple of one over this; each job takes six steps of bisection.
 GRID, STEPS = 1 << 18, 6
 _WORD = r"[^\x20\x09-\x0D]+"
-_OWN = ("_src", "_tokens", "_hash", "_epoch", "_key", "_bucket", "_before", "_at", "_budget", "_total", "_epochs", "_weight")
+_NAMES = ("doc_id", "source", "n_tokens", "epoch", "block", "position", "weight")
 
 
 def tokens(text: Column) -> Column:
@@ -49,6 +50,11 @@ def tokens(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)) + 1).cast("long")
 
 
+def _checksum(text: Column) -> Column:
+    """Tells the texts of rows apart that have one id, or none."""
+    return F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 16)
+
+
 @dataclass(frozen=True)
 class Mixture:
     exponent: float
@@ -110,50 +116,58 @@ def _budgets(totals: DataFrame, found: Mixture, budget: int | None) -> DataFrame
 def _spread(rows: DataFrame, buckets: int, seed: str) -> DataFrame:
     """A row for each epoch, with its place in that epoch's permutation and the hash range it lies in."""
     epoch = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1))) if "_epochs" in rows.columns else rows
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_tokens").cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_tokens").cast("string"), F.col("_hash")))
     return epoch.withColumn("_key", key).withColumn("_bucket", F.expr(f"cast(conv(substring(_key, 1, 8), 16, 10) as bigint) * {buckets}L div 4294967296L"))
 
 
 def sequence(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: int | None = None, seed: str = SEED, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """The mixed sequence: doc_id, source, n_tokens, epoch, block, position in the block and weight; needs doc_id, text, source.
 
-    The columns named in ``keep`` come along, one copy for each time a row is read.
+    The columns named in ``keep`` come along, one copy for each time a row is read;
+    those named like one of these (but doc_id and source themselves) get an
+    underscore before.
     """
     spark = docs.sparkSession
-    keep = [c for c in keep if c not in ("doc_id", "source", "n_tokens", "epoch", "block", "position", "weight", *_OWN)]
-    base = docs.select("doc_id", "source", *keep, _source(docs).alias("_src"), tokens(F.col("text")).alias("_tokens"), F.xxhash64("text").alias("_hash"))
+    named, taken = {}, set(_NAMES)
+    for k, c in enumerate(x for x in keep if x not in ("doc_id", "source")):
+        name = c
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        named[f"_kept{k}"] = (c, name)
+    rows = plain(docs, ("doc_id", "source", "text"))
+    place = dict(zip(docs.columns, rows.columns, strict=True))
+    base = rows.select("doc_id", "source", *(F.col(place[c]).alias(x) for x, (c, _) in named.items()), _source(rows).alias("_src"), tokens(F.col("text")).alias("_tokens"), _checksum(F.col("text")).alias("_hash"))
     sizes = materialize(base.select("doc_id", "source", "_src", "_tokens", "_hash"), "sizes")
     totals = materialize(sizes.groupBy("_src").agg(F.sum("_tokens").alias("_total"), F.count("*").alias("_rows")), "totals")
     found = bisect_exponent(totals, target_entropy, max_repetition)
     plan = materialize(_budgets(totals, found, budget).filter("_budget > 0"), "budgets")
-    whole, rows = plan.agg(F.sum("_budget"), F.sum(F.col("_rows") * F.col("_epochs"))).first()
-    buckets = max(16 * shuffle_width(spark), -(-(rows or 0) // 100_000))
+    whole, reads = plan.agg(F.sum("_budget"), F.sum(F.col("_rows") * F.col("_epochs"))).first()
+    buckets = max(16 * shuffle_width(spark), -(-(reads or 0) // 100_000))
     blocks = max(1, -(-(whole or 0) // BLOCK_TOKENS))
     share = plan.select("_src", "_total", "_budget", "_epochs", "_weight")
     sums = _spread(sizes.join(share, "_src"), buckets, seed).groupBy("_src", "_epoch", "_bucket").agg(F.sum("_tokens").alias("_n"))
     starts = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy("_src").orderBy("_epoch", "_bucket")) - F.col("_n")).drop("_n")
     inside = Window.partitionBy("_src", "_epoch", "_bucket").orderBy("_key", "_tokens", "_hash")
-    read = _spread((base if keep else sizes).join(share, "_src"), buckets, seed)
+    read = _spread((base if named else sizes).join(share, "_src"), buckets, seed)
     placed = read.withColumn("_at", F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_tokens")).join(starts, ["_src", "_epoch", "_bucket"])
     used = placed.withColumn("_at", F.col("_at") + F.col("_before")).filter("_at < _budget")
     block = used.withColumn("block", F.expr(f"cast(_at * {blocks}L div _budget as long)"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("block"), F.col("block").cast("string"), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     position = F.row_number().over(Window.partitionBy("block").orderBy("_order", "_epoch", "_tokens", "_hash")) - 1
-    return block.withColumn("_order", order).select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), "block", position.cast("long").alias("position"), F.round("_weight", 6).alias("weight"), *keep)
+    return block.withColumn("_order", order).select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), "block", position.cast("long").alias("position"), F.round("_weight", 6).alias("weight"), *(F.col(x).alias(name) for x, (_, name) in named.items()))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents, their own columns, as often as the sequence reads them."""
-    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    copies = docs.select(*docs.columns, *(F.col(c).alias(x) for c, x in named.items() if c not in ("doc_id", "source")))
-    out = sequence(copies.select("doc_id", "source", "text", *(x for c, x in named.items() if c not in ("doc_id", "source"))), keep=[x for c, x in named.items() if c not in ("doc_id", "source")], **options)
-    return out.select(*(F.col(c) if c in ("doc_id", "source") else F.col(x).alias(c) for c, x in named.items()))
+    """The documents, their own columns of any names, as often as the sequence reads them."""
+    rows = plain(docs, ("doc_id", "source", "text"))
+    return sequence(rows, keep=rows.columns, **options).select(*rows.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = rf"""
 WITH RECURSIVE sizes AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE 's:' || source END AS src,
-         len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) + 1 AS n_tokens FROM documents
+         len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) + 1 AS n_tokens, substr(md5(coalesce(text, '')), 1, 16) AS hash FROM documents
 ), totals AS (
   SELECT src, sum(n_tokens) AS total FROM sizes GROUP BY src
 ), lists AS (
@@ -177,13 +191,13 @@ WITH RECURSIVE sizes AS (
   SELECT sizes.*, total, budget, q / (SELECT sum(q) FROM plan) AS w, unnest(range(CAST(ceil(CAST(budget AS DOUBLE) / total) AS BIGINT))) AS epoch
   FROM sizes JOIN plan USING (src)
 ), placed AS (
-  SELECT *, epoch * total + sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY md5('{SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || n_tokens)) - n_tokens AS head
+  SELECT *, epoch * total + sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY md5('{SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || n_tokens || ':' || hash)) - n_tokens AS head
   FROM epochs
 ), blocks AS (
   SELECT *, CAST(head * (SELECT greatest(1, CAST(ceil(sum(budget) / {BLOCK_TOKENS}.0) AS BIGINT)) FROM plan) // budget AS BIGINT) AS block FROM placed WHERE head < budget
 )
 SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch, block,
-       row_number() OVER (PARTITION BY block ORDER BY md5('{SEED}:block:' || block || ':' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), epoch, n_tokens) - 1 AS position,
+       row_number() OVER (PARTITION BY block ORDER BY md5('{SEED}:block:' || block || ':' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), epoch, n_tokens, hash) - 1 AS position,
        round(w, 6) AS weight
 FROM blocks
 """

@@ -11,7 +11,8 @@ only the rows of a bucket are sorted together.
 
 Edge cases: a null source is a stratum of its own; a null text has size 1 and
 the checksum of no bytes; rows with equal ids are ordered by checksum and size;
-rows equal in all three are interchangeable; no rows give no rows.
+rows equal in all three are interchangeable and
+lie in one bucket of their source; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.tables import materialize, shuffle_width
+from lodestone.llm.tables import column, materialize, shuffle_width
 
 SHARDS, SEED = 16, "mixture-1"
 #: Rows that a bucket should hold at most, where the corpus is large.
@@ -67,7 +68,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, keep: li
     total = docs.count()
     buckets = runs = max(16 * shuffle_width(spark), -(-total // BUCKET_ROWS))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "source", *(F.col(f"`{c}`").alias(k) for k, (c, _) in named.items()), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
+    rows = docs.select("doc_id", "source", *(column(c).alias(k) for k, (c, _) in named.items()), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
     ranked = materialize(_fractions(rows, buckets, runs, seed, ["_crc", "_size"]), "fractions")
     per_run = ranked.groupBy("_run").agg(F.count("*").alias("_n"))
     starts = per_run.select("_run", (F.sum("_n").over(Window.orderBy("_run")) - F.col("_n")).alias("_start"))

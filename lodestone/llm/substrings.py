@@ -160,7 +160,7 @@ def _compared(docs: DataFrame, heads: DataFrame, window: int) -> DataFrame:
                 at = at[_once(found.doc[at], found.digest[at])]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(found.doc[at] + i)), pa.array(found.seed[found.anchor[at]]), pa.array(found.digest[at])], names=["doc_id", "seed", "digest"])
 
-    listed = heads.groupBy("doc_id").agg(F.collect_list("extent").alias("extents"))
+    listed = heads.groupBy("doc_id").agg(F.collect_set("extent").alias("extents"))
     return docs.join(listed, "doc_id").select("doc_id", "text", "extents").mapInArrow(run, "doc_id long, seed long, digest long")
 
 
@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 
     whole, single = repeated(docs, window)
     found = whole.select("doc_id", "extent", F.lit(None).cast("long").alias("digest")).unionByName(single.select("doc_id", F.lit(None).cast("long").alias("extent"), "digest"))
-    lists = found.groupBy("doc_id").agg(F.collect_list("extent").alias("extents"), F.collect_list("digest").alias("digests")).withColumnRenamed("doc_id", "_d")
+    lists = found.groupBy("doc_id").agg(F.collect_set("extent").alias("extents"), F.collect_set("digest").alias("digests")).withColumnRenamed("doc_id", "_d")
     rows = _keyed(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "_d").withColumn("doc_id", F.when(F.col("_d") >= -(1 << 62), F.col("_d")))
     out = rows.join(lists, "_d", "left").select("doc_id", "text", "extents", "digests").mapInArrow(run, _REPORT)
     return out if with_text else out.drop("kept_text")

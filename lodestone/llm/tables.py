@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used where the session names no folder and all runs on one machine, as in tests.
 LOCAL_DIR = "/tmp/lodestone-shared"
@@ -34,5 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever its characters."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def plain(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """df with the columns not in ``keep`` renamed by their place, so that no name, whatever its characters or case, meets another.
+
+    ``toDF`` with the first names undoes it.
+    """
+    return df.toDF(*(c if c in keep else f"_x{i}" for i, c in enumerate(df.columns)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

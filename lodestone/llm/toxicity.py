@@ -12,8 +12,8 @@ L1 step brings weights that don't help to zero: evidence only adds, and a long
 text isn't scored by its length.
 
 Only the samples bounded by ``POSITIVES``, ``UNLABELLED`` and ``SAMPLE_SLOTS`` reach
-the driver, as hashed features of whole texts; the class prior is counted over all labels of the training
-folds.  Scoring takes every whole text, with nonzero weights broadcast (at most
+the driver, as hashed features of whole texts; the class prior is the toxic share of all labels of the training
+folds, the one number for which labels of clean rows are used.  Scoring takes every whole text, with nonzero weights broadcast (at most
 one per feature slot).
 
 Edge cases: null or empty text has no words and scores as the bias alone; an id
@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm import words as w
 from lodestone.llm.sampling import bounded, fold, taken
-from lodestone.llm.tables import materialize
+from lodestone.llm.tables import materialize, plain
 
 #: Labels of this fold of crc32(doc_id) are held out.
 FOLDS, HELD_OUT = 5, 0
@@ -181,8 +181,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return _scored(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "score") -> DataFrame:
-    """The rows of docs and their score, in a column of that name."""
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """The rows of docs and their score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -198,14 +198,12 @@ def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name:
                 key = np.unique(doc[live] << SLOT_BITS | slot[live])
                 total = np.bincount(key >> SLOT_BITS, dense[key & (1 << SLOT_BITS) - 1], j - i) + bias
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(total))], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(total))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, without those predicted toxic."""
-    name = "score"
-    while name in map(str.lower, docs.columns):
-        name = f"_{name}"
-    return _scored(docs, fit(docs, labels), name).filter(F.col(name) < 0.5).select(*docs.columns)
+    """The documents, all columns, without those predicted toxic; columns may have any names besides doc_id and text."""
+    rows = plain(docs, ("doc_id", "text"))
+    return _scored(rows, fit(rows, labels)).filter("score < 0.5").drop("score").toDF(*docs.columns)
