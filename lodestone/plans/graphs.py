@@ -13,21 +13,21 @@ R = Registry()
 
 
 @R.add("g1_callers", f"""WITH RECURSIVE {GRAPH_SQL}, joined AS (SELECT edges.*, symbol_name, symbol_path AS source_path, file_path FROM edges JOIN nodes ON node_id = source_node_id),
-reach(name, depth) AS (SELECT 'BRAZIL', 0 UNION SELECT symbol_name, depth + 1 FROM reach JOIN joined ON target_node_name = name WHERE depth < 2),
+reach(name, depth) AS (SELECT 'fn_20', 0 UNION SELECT symbol_name, depth + 1 FROM reach JOIN joined ON target_node_name = name WHERE depth < 2),
 least AS (SELECT name, min(depth) AS depth FROM reach GROUP BY name)
 SELECT CAST(depth + 1 AS INTEGER) AS depth, source_path, file_path, target_node_name, relationship_type FROM least JOIN joined ON target_node_name = name""")
 def g1_callers(spark, sf_dir):
-    return g.callers(*graph(spark, sf_dir), "BRAZIL", depth=3)
+    return g.callers(*graph(spark, sf_dir), "fn_20", depth=3)
 
 
 @R.add("g2_callees", f"""WITH RECURSIVE {GRAPH_SQL}, reach(id, depth) AS (
-  SELECT node_id, 0 FROM (SELECT node_id FROM nodes WHERE symbol_path = 'Nation.CANADA' OR symbol_name = 'Nation.CANADA' ORDER BY node_id LIMIT 1)
+  SELECT node_id, 0 FROM (SELECT node_id FROM nodes WHERE symbol_path = 'pkg1.fn_25' OR symbol_name = 'pkg1.fn_25' ORDER BY node_id LIMIT 1)
   UNION SELECT target_node_id, depth + 1 FROM reach JOIN edges ON source_node_id = id WHERE depth < 2 AND target_node_id IS NOT NULL
 ), least AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)
 SELECT CAST(depth + 1 AS INTEGER) AS depth, s.symbol_path AS source, coalesce(t.symbol_path, target_node_name) AS target, coalesce(t.symbol_type, 'unresolved') AS target_type, coalesce(t.file_path, 'external') AS target_file, relationship_type
 FROM least JOIN edges ON source_node_id = id JOIN nodes s ON s.node_id = id LEFT JOIN nodes t ON t.node_id = target_node_id""")
 def g2_callees(spark, sf_dir):
-    return g.callees(*graph(spark, sf_dir), "Nation.CANADA", depth=3)
+    return g.callees(*graph(spark, sf_dir), "pkg1.fn_25", depth=3)
 
 
 @R.add("g3_imports", f"WITH {GRAPH_SQL} SELECT file_path AS source_file, target_node_name AS imported FROM edges JOIN nodes ON node_id = source_node_id WHERE relationship_type = 'imports'")
@@ -36,11 +36,11 @@ def g3_imports(spark, sf_dir):
 
 
 @R.add("g4_trace_path", f"""WITH RECURSIVE {GRAPH_SQL}, walk(id, path, n) AS (
-  SELECT node_id, [symbol_path], 0 FROM nodes WHERE symbol_name = 'ALGERIA'
-  UNION ALL SELECT node_id, list_append(path, symbol_path), n + 1 FROM walk JOIN edges ON source_node_id = id AND relationship_type = 'calls' JOIN nodes ON node_id = target_node_id WHERE n < 8 AND NOT list_contains(path, symbol_path)
-) SELECT path FROM walk JOIN nodes ON node_id = id WHERE symbol_name = 'CHINA' ORDER BY n, path LIMIT 1""")
+  SELECT node_id, [symbol_path], 0 FROM nodes WHERE symbol_name = 'fn_1'
+  UNION ALL SELECT id, min(path), n + 1 FROM (SELECT node_id AS id, list_append(path, symbol_path) AS path, n FROM walk JOIN edges ON source_node_id = id AND relationship_type = 'calls' JOIN nodes ON node_id = target_node_id WHERE n < 12) GROUP BY id, n
+) SELECT path FROM walk JOIN nodes ON node_id = id WHERE symbol_name = 'fn_150' ORDER BY n, path LIMIT 1""")
 def g4_trace_path(spark, sf_dir):
-    return g.trace_path(*graph(spark, sf_dir), "ALGERIA", "CHINA")
+    return g.trace_path(*graph(spark, sf_dir), "fn_1", "fn_150")
 
 
 @R.add("n6_resolve_edges", f"WITH {GRAPH_SQL}, named AS (SELECT symbol_name, min(node_id) AS id, count(*) > 1 AS many FROM nodes GROUP BY symbol_name) SELECT source_node_id, target_node_name, id AS target_node_id, relationship_type, coalesce(many, false) AS ambiguous FROM edges LEFT JOIN named ON symbol_name = target_node_name")
@@ -49,10 +49,10 @@ def n6_resolve_edges(spark, sf_dir):
     return g.resolve(edges.withColumn("target_node_id", F.lit(None).cast("string")), nodes)
 
 
-@R.add("k5_delete_file", f"WITH {GRAPH_SQL}, gone AS (SELECT node_id FROM nodes WHERE file_path = 'nation/2.py') SELECT source_node_id, target_node_name, CASE WHEN target_node_id IN (SELECT node_id FROM gone) THEN NULL ELSE target_node_id END AS target_node_id, relationship_type FROM edges WHERE source_node_id NOT IN (SELECT node_id FROM gone)")
+@R.add("k5_delete_file", f"WITH {GRAPH_SQL}, gone AS (SELECT node_id FROM nodes WHERE file_path = 'pkg/2.py') SELECT source_node_id, target_node_name, CASE WHEN target_node_id IN (SELECT node_id FROM gone) THEN NULL ELSE target_node_id END AS target_node_id, relationship_type FROM edges WHERE source_node_id NOT IN (SELECT node_id FROM gone)")
 def k5_delete_file(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    return g.delete_file(nodes, edges, "nation/2.py")[1]
+    return g.delete_file(nodes, edges, "pkg/2.py")[1]
 
 
 _SPANS = "spans AS (SELECT o_orderkey % 50 || '' AS file_path, 'o' || o_orderkey AS symbol, o_custkey AS start, o_custkey + o_orderkey % 40 AS stop FROM orders), sites AS (SELECT DISTINCT l_orderkey % 50 || '' AS file_path, l_suppkey * 7 AS line FROM lineitem)"

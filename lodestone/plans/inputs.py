@@ -65,23 +65,26 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRAPH_SQL = """
 nodes AS (
-  SELECT 'n' || n_nationkey AS node_id, n_name AS symbol_name, 'Nation.' || n_name AS symbol_path, 'function' AS symbol_type, 'nation/' || n_regionkey || '.py' AS file_path, CAST(n_nationkey AS BIGINT) AS start_line FROM nation
-  UNION ALL SELECT 'r' || r_regionkey, r_name, 'Region.' || r_name, 'class', 'region.py', CAST(r_regionkey AS BIGINT) FROM region
+  SELECT 'd' || doc_id AS node_id, 'fn_' || CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END AS symbol_name, 'pkg' || doc_id // 20 || '.fn_' || doc_id AS symbol_path,
+         'function' AS symbol_type, 'pkg/' || doc_id // 20 || '.py' AS file_path, doc_id % 20 * 10 + 1 AS start_line FROM documents
+), hops AS (
+  SELECT DISTINCT doc_id AS a, unnest([doc_id // 2, doc_id * 2 + n_chars % 2, doc_id + 1 + n_chars % 5]) AS b FROM documents
 ), edges AS (
-  SELECT 'n' || n_nationkey AS source_node_id, r_name AS target_node_name, 'r' || r_regionkey AS target_node_id, 'imports' AS relationship_type FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT 'n' || a.n_nationkey, b.n_name, 'n' || b.n_nationkey, 'calls' FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 3 + 1) % 25 OR b.n_nationkey = (a.n_nationkey * 5 + 2) % 25
-  UNION ALL SELECT 'n' || n_nationkey, 'External' || n_nationkey % 4, NULL, 'calls' FROM nation WHERE n_regionkey <> 1
+  SELECT 'd' || a AS source_node_id, 'fn_' || b AS target_node_name, 'd' || doc_id AS target_node_id, 'calls' AS relationship_type FROM hops LEFT JOIN documents ON doc_id = b
+  UNION ALL SELECT 'd' || doc_id, 'lib_' || lang, NULL, 'imports' FROM documents WHERE doc_id % 4 = 0
+  UNION ALL SELECT 'd' || doc_id, 'External' || n_chars % 4, NULL, 'calls' FROM documents WHERE n_chars % 3 = 0
 )"""
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """nations and regions as the nodes and edges of a code graph, some edges unresolved."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    nodes = nation.select(key("n", "n_nationkey").alias("node_id"), F.col("n_name").alias("symbol_name"), F.concat(F.lit("Nation."), "n_name").alias("symbol_path"), F.lit("function").alias("symbol_type"), F.concat(F.lit("nation/"), F.col("n_regionkey").cast("string"), F.lit(".py")).alias("file_path"), F.col("n_nationkey").cast("long").alias("start_line"))
-    nodes = nodes.unionByName(region.select(key("r", "r_regionkey").alias("node_id"), F.col("r_name").alias("symbol_name"), F.concat(F.lit("Region."), "r_name").alias("symbol_path"), F.lit("class").alias("symbol_type"), F.lit("region.py").alias("file_path"), F.col("r_regionkey").cast("long").alias("start_line")))
-    imports = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(key("n", "n_nationkey").alias("source_node_id"), F.col("r_name").alias("target_node_name"), key("r", "r_regionkey").alias("target_node_id"), F.lit("imports").alias("relationship_type"))
-    hops = nation.select(F.col("n_nationkey").alias("a"), F.explode(F.array_distinct(F.array((F.col("n_nationkey") * 3 + 1) % 25, (F.col("n_nationkey") * 5 + 2) % 25))).alias("b"))
-    calls = hops.join(nation, F.col("b") == F.col("n_nationkey")).select(key("n", "a").alias("source_node_id"), F.col("n_name").alias("target_node_name"), key("n", "b").alias("target_node_id"), F.lit("calls").alias("relationship_type"))
-    unknown = nation.filter("n_regionkey <> 1").select(key("n", "n_nationkey").alias("source_node_id"), F.concat(F.lit("External"), (F.col("n_nationkey") % 4).cast("string")).alias("target_node_name"), F.lit(None).cast("string").alias("target_node_id"), F.lit("calls").alias("relationship_type"))
-    return nodes, imports.unionByName(calls).unionByName(unknown)
+    """documents as the functions of a code graph: each calls a few others, some that aren't there, and a third of them call one of four external names."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    i, text = F.col("doc_id"), lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    package = F.expr("doc_id div 20")
+    nodes = docs.select(text("d", i).alias("node_id"), text("fn_", F.when(i % 10 == 9, i - 1).otherwise(i)).alias("symbol_name"), F.concat(text("pkg", package), text(".fn_", i)).alias("symbol_path"), F.lit("function").alias("symbol_type"), F.concat(text("pkg/", package), F.lit(".py")).alias("file_path"), (i % 20 * 10 + 1).alias("start_line"))
+    hops = docs.select(i.alias("a"), F.explode(F.array_distinct(F.array(F.expr("doc_id div 2"), i * 2 + F.col("n_chars") % 2, i + 1 + F.col("n_chars") % 5))).alias("b"))
+    calls = hops.join(docs.select(i.alias("c")), F.col("b") == F.col("c"), "left").select(text("d", F.col("a")).alias("source_node_id"), text("fn_", F.col("b")).alias("target_node_name"), text("d", F.col("c")).alias("target_node_id"), F.lit("calls").alias("relationship_type"))
+    nowhere = lambda name, kind: (text("d", i).alias("source_node_id"), name.alias("target_node_name"), F.lit(None).cast("string").alias("target_node_id"), F.lit(kind).alias("relationship_type"))
+    imports = docs.filter(i % 4 == 0).select(*nowhere(F.concat(F.lit("lib_"), "lang"), "imports"))
+    unknown = docs.filter(F.col("n_chars") % 3 == 0).select(*nowhere(text("External", F.col("n_chars") % 4), "calls"))
+    return nodes, calls.unionByName(imports).unionByName(unknown)
