@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The extensions that are read, words before a bracket that call nothing.
+from lodestone.operators import chunking, graph
+from lodestone.operators.codelexer import code_of
+
+# The extensions that are read, those whose files may hold elements, words before a bracket that call nothing.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts")
+WITH_ELEMENTS = ("tsx", "js", "jsx")
 NOT_CALLED = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "import", "new", "constructor", "do", "else", "in", "of", "void", "delete", "yield", "throw", "case", "with")
 
 GRAPH = "nodes array<struct<path: string, name: string, kind: string, start_line: int, end_line: int>>, edges array<struct<path: string, target: string, relation: string>>"
 
-_OPAQUE = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.DOTALL)
-_VISIBLE = re.compile(r"[^\n]")
 _NAME = r"([A-Za-z_$][\w$]*)"
 _CLASS = re.compile(rf"\bclass\s+{_NAME}")
 _BEFORE = re.compile(rf"(?P<function>\bfunction\s*\*?\s*)?(?<![\w$]){_NAME}\s*(?:<[^<>(){{}};]*>\s*)?(?=\()")
@@ -51,16 +53,17 @@ def _imported(text: str, code: str) -> list[str]:
     return [after[0][1:-1] for m, after in pairs if _FROM.fullmatch(text, m.end(), after.start())]
 
 
-def graph_of(text: str | None) -> tuple[list[dict], list[dict]]:
+def graph_of(text: str | None, jsx: bool = False) -> tuple[list[dict], list[dict]]:
     """Nodes and edges of one file.
 
-    Comments, strings and templates are blanked first, so nothing in them counts.
+    Comments, strings, regular expressions and the text of templates and elements are
+    blanked first, so nothing in them counts but the expressions that they hold.
     A scope reaches to the bracket that closes its body.  Arrow functions and calls
     of ``require`` make neither nodes nor imports; constructors, ``super`` and ``new``
     are no calls.  Of equal paths the last stays.  A null text has none of either.
     """
     text = text or ""
-    code = _OPAQUE.sub(lambda m: _VISIBLE.sub(" ", m[0]), text)
+    code = code_of(text, jsx)
     closed = _closings(code)
     starts = [0, *(m.end() for m in re.finditer("\n", code))]
     line = lambda at: bisect_right(starts, at)
@@ -111,8 +114,8 @@ def graph_of(text: str | None) -> tuple[list[dict], list[dict]]:
     return list(nodes.values()), list(edges.values())
 
 
-def _graphs(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([graph_of(text) for text in texts], columns=["nodes", "edges"])
+def _graphs(texts: pd.Series, extensions: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([graph_of(text, e in WITH_ELEMENTS) for text, e in zip(texts, extensions, strict=True)], columns=["nodes", "edges"])
 
 
 def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +125,7 @@ def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     A file is a row of its own and needs no other: nothing is shuffled.
     """
     extension = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
-    rows = files.filter(extension.isin(*EXTENSIONS)).select("project_path", "file_path", F.pandas_udf(_graphs, GRAPH)("text").alias("_g"))
+    rows = files.filter(extension.isin(*EXTENSIONS)).select("project_path", "file_path", F.pandas_udf(_graphs, GRAPH)("text", extension).alias("_g"))
     ident = lambda path: F.sha2(F.concat_ws("|", "project_path", "file_path", path), 256)
     own = F.regexp_extract("file_path", r"([^/]*)$", 1)
     n = rows.select("project_path", "file_path", F.explode("_g.nodes").alias("n")).select("project_path", "file_path", "n.*")
@@ -130,3 +133,25 @@ def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = rows.select("project_path", "file_path", F.explode("_g.edges").alias("e")).select("project_path", "file_path", "e.*")
     edges = e.select(ident("path").alias("source_node_id"), F.col("target").alias("target_node_name"), F.lit(None).cast("string").alias("target_node_id"), F.col("relation").alias("relationship_type"))
     return nodes, edges
+
+
+def line_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of files in other languages, by their lines: symbols, the calls near below them, and what is imported."""
+    extension = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
+    rows = files.filter((chunking.route(F.col("file_path")) == "ast") & ~extension.isin(*EXTENSIONS)).select("file_path", "text", "project_path")
+    found = chunking.symbols(rows, "file_path")
+    path = F.concat_ws(".", F.nullif("scope", F.lit("")), "name")
+    length = F.when(F.col("kind") == "class", chunking.CLASS_LINES).otherwise(chunking.FUNCTION_LINES)
+    named = found.select("file_path", path.alias("symbol_path"), F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_type"), F.col("line").alias("start_line"), (F.col("line") + length).alias("end_line"))
+    named = named.groupBy("file_path", "symbol_path").agg(F.max_by(F.struct("symbol_name", "symbol_type", "start_line", "end_line"), "start_line").alias("s")).select("file_path", "symbol_path", "s.*")
+    projects = rows.select("file_path", "project_path")
+    ident = lambda p: F.sha2(F.concat_ws("|", "project_path", "file_path", p), 256)
+    nodes = named.join(projects, "file_path").select(ident("symbol_path").alias("node_id"), "symbol_name", "symbol_path", "symbol_type", "file_path", "start_line", "end_line")
+    sites = chunking.calls(rows, "file_path")
+    spans = named.select("file_path", F.col("symbol_path").alias("symbol"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    inside = graph.enclosing(spans, sites.select("file_path", "line").distinct()).filter("symbol is not null")
+    calls = sites.join(inside, ["file_path", "line"]).select("file_path", F.col("symbol").alias("p"), "target", F.lit("calls").alias("relation"))
+    imports = chunking.imports(rows, "file_path").select("file_path", F.lit("file").alias("p"), "target", F.lit("imports").alias("relation"))
+    own = imports.select("file_path").distinct().join(projects, "file_path").select(ident(F.lit("file")).alias("node_id"), F.regexp_extract("file_path", r"([^/]*)$", 1).alias("symbol_name"), F.lit("file").alias("symbol_path"), F.lit("file").alias("symbol_type"), "file_path", F.lit(1).cast("long").alias("start_line"), F.lit(1).cast("long").alias("end_line"))
+    edges = calls.unionByName(imports).distinct().join(projects, "file_path").select(ident("p").alias("source_node_id"), F.col("target").alias("target_node_name"), F.lit(None).cast("string").alias("target_node_id"), F.col("relation").alias("relationship_type"))
+    return nodes.unionByName(own), edges

@@ -23,11 +23,14 @@ def changes(scanned: DataFrame, stored: DataFrame, force: bool = False) -> DataF
     return rows.select("file_path", state.alias("state"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None, distinct: bool = False) -> DataFrame:
     """The rows of both, of a key in both the new one. Doing it again changes nothing.
 
-    Of a key several times in ``new`` the row greatest in the columns ``order``, then in all columns, is taken.
+    Of a key several times in ``new`` the row greatest in the columns ``order``, then in all columns, is taken;
+    where the caller knows that there is none (``distinct``), rows aren't compared or shuffled for it.
     """
+    if distinct:
+        return old.join(new.select(*key), key, "left_anti").unionByName(new)
     named = [*(order or []), *(c for c in new.columns if c not in (order or []))]
     fresh = new.groupBy(*key).agg(F.max(F.struct(*named)).alias("_new")).select(*(F.col(f"_new.{c}").alias(c) for c in new.columns))
     return old.join(fresh.select(*key), key, "left_anti").unionByName(fresh)

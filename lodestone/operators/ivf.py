@@ -45,7 +45,12 @@ def build(vectors: DataFrame, cells: int | None = None) -> tuple[DataFrame, list
     sample = written(_unit(near.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE)).select("_u").repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "sample")
     model = KMeans(k=k, seed=7, maxIter=10).fit(sample.select(array_to_vector("_u").alias("features")))
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    shared = vectors.sparkSession.sparkContext.broadcast(np.array(centres))
+    return placed(vectors, np.array(centres)), centres
+
+
+def placed(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The rows with the nearest cell of their vector and the distance from its centre, by a product of matrices a batch."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -64,7 +69,7 @@ def build(vectors: DataFrame, cells: int | None = None) -> tuple[DataFrame, list
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(distance)], names=[*batch.schema.names, "cell", "cell_distance"])
 
     schema = StructType([*vectors.schema.fields, StructField("cell", IntegerType()), StructField("cell_distance", DoubleType())])
-    return vectors.mapInArrow(place, schema), centres
+    return vectors.mapInArrow(place, schema)
 
 
 def write(vectors: DataFrame, name: str = "ivf") -> tuple[DataFrame, list[list[float]]]:

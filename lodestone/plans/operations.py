@@ -204,7 +204,7 @@ def k1_upsert(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     old = docs.select(F.col("doc_id").alias("chunk_id"), "text", F.lit(1).alias("version"))
     new = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("new: "), "text").alias("text"), F.lit(2).alias("version"))
-    return inc.upsert(old, new, ["chunk_id"])
+    return inc.upsert(old, new, ["chunk_id"], distinct=True)
 
 
 _QUEUE2_SQL = "chunk_queue AS (SELECT o_orderkey AS chunk_id, o_orderpriority AS raw_text, CASE WHEN o_orderstatus = 'F' THEN 'embedded' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'error' END AS status, 1 + o_orderkey % 3 AS priority, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS created_at, o_orderkey % 4 AS retry_count FROM orders)"

@@ -156,6 +156,15 @@ def test_code_chunks(seed):
         assert (c["node_type"] == "code_block") == (first is None)
 
 
+def test_every_character_of_code_is_in_a_chunk():
+    rng = random.Random(7)
+    text = "\n".join("x" * rng.choice([0, 10, 199, 200, 3999, 4000, 4001, 9000]) for _ in range(150))
+    chunks = chunking.code_chunks(text, "python")
+    assert all(len(c["raw_text"]) <= chunking.MAX_CHARS for c in chunks)
+    assert "".join(c["raw_text"] for c in chunks).replace("\n", "") == text.replace("\n", "")
+    assert all(a["end_line"] <= b["start_line"] or a["end_line"] == b["end_line"] for a, b in zip(chunks, chunks[1:]))
+
+
 def test_code_chunk_scope():
     text = "class A:\n    def one(self):\n        pass\n" + "    x = 1\n" * 130 + "    def two(self):\n        pass\n"
     first, second = chunking.code_chunks(text, "python")
