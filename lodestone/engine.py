@@ -18,7 +18,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import context, graph, retrieval, wordindex
+from lodestone.operators import context, graph, retrieval
 from lodestone.operators.retrieval import ALPHA, GAP, RECENCY_WEIGHT, RRF_K, Filters
 from lodestone.operators.wordindex import WordIndex
 
@@ -146,7 +146,7 @@ class Engine:
     def _leg(self, warnings: list[str]) -> Callable | None:
         """How the keyword leg is searched: stored words, all texts (None), or terms where words can't be searched."""
         if self.words is not None:
-            return lambda rows, query, k: wordindex.top_k(self.words, rows, query, k)
+            return lambda rows, query, k: self.words.top_k(query, k, rows)
         if self.searchable:
             return None
         warnings.append("no word index: terms stand in for it")
@@ -197,7 +197,19 @@ class Engine:
         rows = self.chunks if self.chunks is not None else self.queue
         return context.view(rows.filter(F.col("chunk_id") == chunk_id), fields or rows.columns, max_chars)
 
-    def similar(self, chunk_id: str, limit: int = 10) -> DataFrame:
+    def similar(self, chunk_id: str | None = None, limit: int = 10, file_path: str | None = None, function_name: str | None = None) -> DataFrame:
+        """The chunks nearest to one: that of the id, or the first of a file, or of a function (in a file or anywhere)."""
+        if chunk_id is None:
+            if file_path is None and function_name is None:
+                raise ValueError("a chunk, a file or a function is needed")
+            rows = self.chunks
+            if file_path is not None:
+                rows = rows.filter((F.col("file_path") == file_path) | F.col("file_path").endswith(f"/{file_path}"))
+            if function_name is not None:
+                rows = rows.filter(F.col("function_name") == function_name)
+            order = ["file_path", *(c for c in ("start_line",) if c in rows.columns), "chunk_id"]
+            seed = rows.join(self.vectors.select("chunk_id"), "chunk_id", "left_semi").orderBy(*order).select("chunk_id").first()
+            chunk_id = seed["chunk_id"] if seed else ""
         return retrieval.similar(self.chunks, self.vectors, chunk_id, limit)
 
     def explain(self, query: str, chunk_id: str, alpha: float = ALPHA) -> DataFrame:

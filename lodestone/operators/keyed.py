@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
 from lodestone.operators.folder import Commits, Folder
 from lodestone.operators.incremental import current
@@ -46,7 +46,7 @@ class Keyed:
 
     def _stored(self, layers: list[tuple[int, str]]) -> DataFrame:
         """The rows of some layers, with the number of the layer (_v), whether they are gone (_gone), and their bucket."""
-        schema = StructType([*self.schema.fields]).add("_gone", "boolean").add("_v", "long").add("_bucket", "int")
+        schema = StructType([*self.schema.fields]).add("_gone", BooleanType()).add("_v", LongType()).add("_bucket", IntegerType())
         if not layers:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", self.path).parquet(*(f"{self.path}/_v={v}/_bucket={b}" for v, b in layers))

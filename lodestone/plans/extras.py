@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import ivf
+from lodestone.operators import ivf, pq
 from lodestone.operators.scratch import place
 from lodestone.plans.base import Registry, table
 from lodestone.plans.inputs import QUERY_VECTOR, VECTORS_SQL, vectors
@@ -37,3 +37,26 @@ def k12_ivf_top_k(spark, sf_dir):
     """The index is written by cells and searched: cells that can't hold one of the nearest rows are not opened, so the result is exact."""
     rows, centres = ivf.write(vectors(spark, sf_dir))
     return ivf.top_k(rows, centres, QUERY_VECTOR, 20).select("chunk_id", "distance")
+
+
+@R.add("k12_pq_neighbors")
+def k12_pq_neighbors(spark, sf_dir):
+    """The ten nearest rows of each whose id is divisible by 50, from codes: whole vectors are read of 200 candidates a query. Tests measure the recall."""
+    rows = vectors(spark, sf_dir)
+    index = pq.VectorIndex(spark, place(spark, "vectors"))
+    index.build(rows)
+    asked = rows.filter("cast(chunk_id as long) % 50 = 0").orderBy(F.col("chunk_id").cast("long")).select("chunk_id", "vector")
+    found = None
+    block: list = []
+
+    def answered(block):
+        names = spark.createDataFrame([(q, r["chunk_id"]) for q, r in enumerate(block)], "q int, query_id string")
+        return index.top_k([list(r["vector"]) for r in block], 10).join(F.broadcast(names), "q").select("query_id", "rank", "chunk_id", "distance")
+
+    for row in asked.toLocalIterator():
+        block.append(row)
+        if len(block) == 50 * pq.BLOCK:
+            found, block = answered(block) if found is None else found.unionByName(answered(block)), []
+    if block:
+        found = answered(block) if found is None else found.unionByName(answered(block))
+    return found if found is not None else spark.createDataFrame([], "query_id string, rank int, chunk_id string, distance double")

@@ -108,8 +108,8 @@ def test_stored_words_give_the_same(many, tmp_path):
     index = wordindex.write(many, str(tmp_path / "words"))
     a, b = (Engine(chunks=many, words=x).keyword("alpha w7 w90 nowhere", gap=0.0).page for x in (None, index))
     assert [(r["chunk_id"], r["keyword_rank"], r["score"]) for r in a] == [(r["chunk_id"], r["keyword_rank"], r["score"]) for r in b]
-    plan = wordindex.bm25(index, many, ["alpha"])._jdf.queryExecution().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    plan = index.bm25(["alpha"])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "/docs" not in plan
 
 
 def test_terms_stand_in_for_words(tables, many):

@@ -1,13 +1,17 @@
-"""The indexing flow: changes, pause and resume, interruption, lock, repairs, versions of tables."""
+"""The indexing flow: changes, symbols, words, pause and resume, interruption, lease, failures, repairs, keyed tables."""
 
 from __future__ import annotations
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import dates, html
-from lodestone.operators import health, indexer, runs
-from lodestone.operators.indexer import Indexer, Locked
+from lodestone.operators import chunking, folder, keyed, runs
+from lodestone.operators.folder import Conflict, Folder, Lease, Locked, Lost
+from lodestone.operators.indexer import Indexer
+from lodestone.operators.keyed import Keyed
 from lodestone.operators.tables import Tables
 from lodestone.streaming.drain import hash_embedder
 
@@ -19,7 +23,7 @@ def _files(spark, texts):
 
 
 def _state(index):
-    queue, vectors = index.tables.read("queue", indexer.QUEUE), index.tables.read("vectors", indexer.VECTORS)
+    queue, vectors = index.queue.read(), index.vectors.read()
     return {(r.file_path, r.status) for r in queue.collect()}, {r.chunk_id for r in vectors.collect()} == {r.chunk_id for r in queue.filter("status = 'embedded'").collect()}
 
 
@@ -30,56 +34,192 @@ def test_files_come_change_and_go(spark, tmp_path):
         seen.extend(r.file_path for r in batch.select("file_path").collect())
         return hash_embedder(batch)
 
-    index = Indexer(Tables(spark, str(tmp_path / "index")), embed, clock=lambda: 1000.0)
+    index = Indexer(spark, str(tmp_path / "index"), embed, clock=lambda: 1000.0)
     index.start(_files(spark, {"a.py": "def a():\n  pass", "b.md": "words", "c.md": "more"}))
     assert _state(index) == ({("a.py", "embedded"), ("b.md", "embedded"), ("c.md", "embedded")}, True)
     assert sorted(seen) == ["a.py", "b.md", "c.md"]
     del seen[:]
     index.start(_files(spark, {"a.py": "def a():\n  pass", "b.md": "other words"}))
     assert seen == ["b.md"] and _state(index) == ({("a.py", "embedded"), ("b.md", "embedded")}, True)
-    assert index.runs().filter("status = 'completed'").count() == 2
+    assert index.runs.read().filter("status = 'completed'").count() == 2
     assert index.progress(10.0).first()["percent"] == 100.0
-    assert sorted((r.pending, r.embedded, r.errors, r.files) for r in index.stats().collect()) == [(0, 2, 0, 2), (0, 3, 0, 3)]
+    assert sorted((r.pending, r.embedded, r.errors, r.files) for r in index.stats.read().collect()) == [(0, 2, 0, 2), (0, 3, 0, 3)]
     assert all(healthy for _, healthy, _ in index.health())
-    assert index.delete() and not index.delete() and index.tables.version("queue") == 0
+    assert index.words.counts()[0] == 2 and [r.chunk_id for r in index.words.top_k("more", 5).collect()] == []
+    index.vacuum()
+    assert _state(index)[1] and index.status().first()["embedded"] == 2
+    assert index.delete() and not index.delete() and index.queue.version() == 0
+
+
+APP = "import { b } from './lib';\nexport class Shop {\n  total() { return `${price(1)}`; }\n}\nfunction main() { price(2); }\n"
+
 
+def test_an_index_can_be_searched(spark, tmp_path):
+    texts = {"src/app.ts": APP, "src/lib.ts": "export function price(x) { return tax(x); }\n", "tool.py": "class T:\n    def run(self):\n        price(3)\n", "page.html": "<p>an <b>orange</b> boat</p><script>no()</script>", "data.json": '{"orange": 1}', "logo.png": "orange"}
+    index = Indexer(spark, str(tmp_path / "index"), hash_embedder, clock=lambda: 1000.0, project="demo")
+    index.start(_files(spark, texts))
+    engine = index.engine(lambda q: [0.1] * 8)
+    rows = {r.file_path: r for r in engine.chunks.collect()}
+    assert set(rows) == set(texts) - {"data.json", "logo.png"}
+    assert rows["page.html"]["text"] == "an orange boat" and rows["page.html"]["language"] == "html" and rows["src/app.ts"]["language"] == "typescript"
+    assert rows["tool.py"]["class_name"] == "T" and rows["tool.py"]["project_path"] == "demo" and rows["tool.py"]["schema_version"] == "1.0"
+    assert [r["file_path"] for r in engine.keyword("orange").page] == ["page.html"]
+    assert {r["file_path"] for r in engine.search("price", gap=0.0).page} >= {"src/app.ts", "src/lib.ts"}
+    assert {r.source_path for r in engine.callers("price").collect()} == {"Shop.total", "main", "T.run"}
+    assert [list(r.path) for r in engine.path("main", "tax").collect()] == [["main", "price", "tax"]]
+    assert {r.file_path for r in engine.context_pack("orange", neighbors=False).collect()} == {"page.html"}
+    assert engine.similar(file_path="lib.ts", limit=2).count() == 2
+    held = {r.symbol_path: r.chunk_id for r in index.nodes.read().collect()}
+    assert held["main"] == rows["src/app.ts"]["chunk_id"] and held["price"] == rows["src/lib.ts"]["chunk_id"]
+    # the definition goes: its calls are unresolved; it comes elsewhere: they are resolved again
+    del texts["src/lib.ts"]
+    index.start(_files(spark, texts))
+    edges = {r.target_node_name: r.target_node_id for r in index.edges.read().filter("relationship_type = 'calls'").collect()}
+    assert edges == {"price": None}
+    index.start(_files(spark, texts | {"new.js": "function price() {}"}))
+    target = index.nodes.read().filter("symbol_path = 'price'").first()
+    assert target.file_path == "new.js" and {r.target_node_id for r in index.edges.read().filter("target_node_name = 'price'").collect()} == {target.node_id}
+    assert {r.check: r["count"] for r in index.doctor().collect()} == dict.fromkeys(["missing_vectors", "extra_vectors", "other_versions", "queue_errors", "parse_errors"], 0)
 
-def test_pause_resume_and_lock(spark, tmp_path):
+
+def test_pause_resume_and_lease(spark, tmp_path):
     now, taken = [1000.0], []
 
     def embed(batch):
         taken.append(batch.count())
         if len(taken) == 1:
-            run = index.runs().filter("status = 'running'").first()["run_id"]
-            index.pause(run)
+            index.pause(index.lease.holder())
         return hash_embedder(batch)
 
-    index = Indexer(Tables(spark, str(tmp_path / "index")), embed, batch=2, clock=lambda: now[0])
+    index = Indexer(spark, str(tmp_path / "index"), embed, batch=2, clock=lambda: now[0])
     run = index.start(_files(spark, {f"f{i}.md": f"text {i}" for i in range(5)}))
-    assert taken == [2] and index.runs().first()["status"] == "paused"
+    assert taken == [2] and index.runs.read().first()["status"] == "paused"
     index.resume(run)
-    assert taken == [2, 2, 1] and index.runs().first()["status"] == "completed" and _state(index)[1]
-    index._log("other", "running", 1000)
+    assert taken == [2, 2, 1] and index.runs.read().first()["status"] == "completed" and _state(index)[1]
+    other = Lease(Folder(spark, str(tmp_path / "index")), index.clock)
+    other.take("other")
     with pytest.raises(Locked):
         index.start(_files(spark, {"z.md": "z"}))
-    assert [r.run_id for r in runs.stuck(index.runs(), 1700).collect()] == ["other"]
-    now[0] = 1700.0
+    now[0] = 1700.0  # silent for longer than a lease lasts
     index.start(_files(spark, {"z.md": "z"}))
     assert _state(index) == ({("z.md", "embedded")}, True)
+    with pytest.raises(Lost):
+        other.beat()
+
+
+def test_a_run_without_its_lease_writes_nothing(spark, tmp_path):
+    now = [1000.0]
+
+    def slow(batch):
+        now[0] += 700
+        thief.lease.take("thief")
+        return hash_embedder(batch)
+
+    index = Indexer(spark, str(tmp_path / "index"), slow, clock=lambda: now[0])
+    thief = Indexer(spark, str(tmp_path / "index"), hash_embedder, clock=lambda: now[0])
+    with pytest.raises(Lost):
+        index.start(_files(spark, {"a.md": "x"}))
+    assert _state(index) == ({("a.md", "pending")}, True) and thief.lease.holder() == "thief"
+    thief._let_go()
+    thief.resume("again")
+    assert _state(index) == ({("a.md", "embedded")}, True)
+
+
+def test_of_many_takers_one_holds(spark, tmp_path):
+    won, barrier = [], threading.Barrier(8)
+
+    def take(k):
+        lease = Lease(Folder(spark, str(tmp_path)))
+        barrier.wait()
+        try:
+            lease.take(f"run {k}")
+            won.append(k)
+        except Locked:
+            pass
 
+    threads = [threading.Thread(target=take, args=(k,)) for k in range(8)]
+    [x.start() for x in threads]
+    [x.join() for x in threads]
+    assert len(won) == 1 and Lease(Folder(spark, str(tmp_path))).holder() == f"run {won[0]}"
 
-def test_a_failed_batch_is_an_error_and_can_be_repaired(spark, tmp_path):
+
+def test_three_failed_batches_end_a_run(spark, tmp_path):
     def down(batch):
         raise OSError("no server")
 
-    index = Indexer(Tables(spark, str(tmp_path / "index")), down)
-    index.start(_files(spark, {"a.md": "x"}))
-    queue = index.tables.read("queue", indexer.QUEUE)
-    assert [(r.status, r.retry_count) for r in queue.collect()] == [("error", 1)]
-    assert [(r.status, r.retry_count) for r in runs.retried(queue).collect()] == [("pending", 0)]
-    embedded = queue.withColumn("status", F.lit("embedded"))
-    missing = health.missing_vectors(embedded, index.tables.read("vectors", indexer.VECTORS))
-    assert [r.status for r in runs.repended(embedded, missing).collect()] == ["pending"]
+    index = Indexer(spark, str(tmp_path / "index"), down, batch=1)
+    index.start(_files(spark, {f"{i}.md": f"x {i}" for i in range(5)}))
+    last = index.runs.read().first()
+    assert (last.status, last.message) == ("error", "no server")
+    assert sorted(r.status for r in index.queue.read().collect()) == ["error"] * 3 + ["pending"] * 2
+    assert {r.check: r["count"] for r in index.doctor(fix=True).collect()}["queue_errors"] == 3
+    assert {(r.status, r.retry_count) for r in index.queue.read().collect()} == {("pending", 0)}
+    queue = index.queue.read().withColumn("status", F.lit("error"))
+    assert {r.status for r in runs.retried(queue).collect()} == {"pending"}
+
+
+def test_an_embedder_that_leaves_rows_out(spark, tmp_path):
+    index = Indexer(spark, str(tmp_path / "index"), lambda batch: hash_embedder(batch.filter("file_path = 'a.md'")))
+    index.start(_files(spark, {"a.md": "x", "b.md": "y"}))
+    assert _state(index) == ({("a.md", "embedded"), ("b.md", "error")}, True)
+
+
+def test_files_that_cannot_be_chunked(spark, tmp_path):
+    def chunker(files):
+        good = chunking.chunk_files(files.filter("file_path <> 'bad.md'"))
+        return good.unionByName(files.filter("file_path = 'bad.md'").select("file_path", F.lit("broken").alias("error")), allowMissingColumns=True)
+
+    index = Indexer(spark, str(tmp_path / "index"), hash_embedder, chunker=chunker)
+    for n in (1, 2, 3, 3):
+        index.start(_files(spark, {"bad.md": "x", "good.md": "y"}))
+        assert {(r.file_path, r.status, r.retry_count, r.message) for r in index.files.read().collect()} == {("bad.md", "parse_error", n, "broken"), ("good.md", "parsed", 0, None)}
+    index.start(_files(spark, {"bad.md": "other", "good.md": "y"}))
+    assert {r.retry_count for r in index.files.read().filter("file_path = 'bad.md'").collect()} == {1}
+    assert {r.check: r["count"] for r in index.doctor().collect()}["parse_errors"] == 1
+
+
+def test_keyed_table(spark, tmp_path, monkeypatch):
+    """Random batches against a dict; layers are merged, buckets doubled, what isn't read removed."""
+    import random
+
+    monkeypatch.setattr(keyed, "LAYERS", 3)
+    monkeypatch.setattr(keyed, "BUCKET_BYTES", 4000)
+    rng, want = random.Random(1), {}
+    table = Keyed(spark, str(tmp_path / "t"), "k long, v string, n int", ["k"], buckets=2)
+    assert table.read().count() == 0 and table.at(1).count() == 0
+    for step in range(9):
+        put = {rng.randrange(200): f"{step}" * rng.randrange(60) for _ in range(rng.choice([1, 40]))}
+        gone = rng.sample(range(200), 15)
+        table.change(spark.createDataFrame(list(put.items()), "k long, v string"), spark.createDataFrame([(k,) for k in gone], "k long"))
+        want = {k: v for k, v in want.items() if k not in gone} | put
+        assert {r.k: r.v for r in table.read().collect()} == want
+    assert all(len(v) <= 4 for v in table.commits.last()[1]["layers"].values()) and table.commits.last()[1]["buckets"] > 2
+    some = next(iter(want))
+    assert [r.v for r in table.at(some).collect()] == [want[some]]
+    assert table.vacuum() and {r.k: r.v for r in table.read().collect()} == want
+    assert not Folder(spark, str(tmp_path / "t")).exists("_v=1")
+
+
+def test_bytes_written_grow_with_the_batch(spark, tmp_path):
+    table = Keyed(spark, str(tmp_path / "t"), "k long, v string", ["k"], buckets=8)
+    row = F.sha2(F.col("id").cast("string"), 512).alias("v")
+    table.change(spark.range(200_000).select(F.col("id").alias("k"), row))
+    first = table.commits.last()[1]["written"]
+    table.change(spark.range(2_000).select((F.col("id") * 50).alias("k"), row))
+    assert table.commits.last()[1]["written"] < first / 40 and table.read().count() == 200_000
+
+
+def test_of_two_writers_the_second_fails(spark, tmp_path):
+    a, b = (Keyed(spark, str(tmp_path / "t"), "k long", ["k"]) for _ in range(2))
+    a.change(spark.range(1).withColumnRenamed("id", "k"))
+    late = b.commits.last()
+    a.change(spark.range(2).withColumnRenamed("id", "k"))
+    b.commits.last = lambda: late
+    with pytest.raises(Conflict):
+        b.change(spark.range(9).withColumnRenamed("id", "k"))
+    assert a.read().count() == 2
+    assert Folder(spark, str(tmp_path)).create("x", "1") and not Folder(spark, str(tmp_path)).create("x", "2") and Folder(spark, str(tmp_path)).text("x") == "1"
+    assert folder.LEASE_SECONDS == runs.LOCK_SECONDS
 
 
 def test_probe(spark, tmp_path):
