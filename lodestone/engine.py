@@ -28,7 +28,10 @@ CACHE_ROWS, CACHE_SECONDS, MOST = 128, 60.0, 50
 
 @dataclass
 class Envelope:
-    """A page of results. ``found`` is the whole ranked result, as many rows as there are candidates at most; it is collected once, when first asked for."""
+    """A page of results. ``found`` is the whole ranked result, as many rows as there are candidates at most.
+
+    It is collected once, when first asked for; of one of more than ``retrieval.DEEP`` rows only the page is.
+    """
 
     found: DataFrame
     mode: str
@@ -46,13 +49,19 @@ class Envelope:
         """The page as a DataFrame."""
         return retrieval.page(self.found, self.limit, self.offset)
 
+    @property
+    def _deep(self) -> bool:
+        return self.offset + self.limit > retrieval.DEEP
+
     @property
     def page(self) -> list:
+        if self._deep:
+            return sorted(self.found.filter((F.col("rank") > self.offset) & (F.col("rank") <= self.offset + self.limit)).collect(), key=lambda r: r["rank"])
         return self._all[self.offset : self.offset + self.limit]
 
     @property
     def total(self) -> int:
-        return len(self._all)
+        return self.found.count() if self._deep else len(self._all)
 
     @property
     def has_more(self) -> bool:
@@ -171,7 +180,10 @@ class Engine:
         if vector is None:
             alpha = 0.0
         vectors = self.vectors if vector is not None else self.chunks.select("chunk_id", F.array().cast("array<float>").alias("vector")).limit(0)
-        found = retrieval.hybrid(self.chunks, vectors, query, vector or [0.0], filters, self.now_ns(), alpha, k, weight, gap, candidates, self._leg(warnings))
+        if candidates > retrieval.DEEP:
+            found = retrieval.deep_hybrid(self.chunks, vectors, query, vector or [0.0], filters, self.now_ns(), candidates, alpha, k, weight, gap, self._leg(warnings))
+        else:
+            found = retrieval.hybrid(self.chunks, vectors, query, vector or [0.0], filters, self.now_ns(), alpha, k, weight, gap, candidates, self._leg(warnings))
         return found, mode_of(alpha, vector is not None, True), alpha, warnings
 
     def semantic(self, query: str, **options) -> Envelope:

@@ -189,8 +189,8 @@ def like_top_k(rows: DataFrame, query: str, k: int = CANDIDATES) -> DataFrame:
 
 
 def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset + 1 to offset + limit of a ranked result, with its total and whether more follow."""
-    total = F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    """Rows offset + 1 to offset + limit of a ranked result, with its total (its last rank) and whether more follow."""
+    total = F.lit(rows.agg(F.max("rank")).first()[0] or 0).cast("long")
     return rows.withColumn("total", total).withColumn("has_more", F.col("total") > offset + limit).filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
@@ -218,3 +218,54 @@ def similar(chunks: DataFrame, vectors: DataFrame, seed: str, k: int = 10) -> Da
         return chunks.select("chunk_id", "file_path", F.lit(0.0).alias("distance")).limit(0)
     others = chunks.join(vectors, "chunk_id").filter(F.col("chunk_id") != seed)
     return vector_top_k(others, [float(x) for x in found["vector"]], k).select("chunk_id", "file_path", "distance")
+
+
+# --- pages far beyond the first candidates -------------------------------------
+
+#: Candidates up to which legs are broadcast and ranked in one task.
+DEEP = 10_000
+
+
+def ranks(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows, written, with ``rank`` (from 1) in an order without ties: range partitions are sorted each for itself, and start where the counts of those before end.
+
+    No task holds more than a partition; the driver gets a count for each.
+    """
+    placed = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}
+    starts, total = [], 0
+    for k in sorted(counts):
+        starts.append((k, total))
+        total += counts[k]
+    heads = placed.sparkSession.createDataFrame(starts, "_range int, _start long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(heads), "_range").withColumn("rank", F.col("_start") + inside).drop("_range", "_start")  # a row a partition
+
+
+def deep_hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], filters: Filters, now_ns: int, candidates: int, alpha: float = ALPHA, k: int = RRF_K, weight: float = RECENCY_WEIGHT, gap: float = GAP, leg: Callable[[DataFrame, str, int], DataFrame] | None = None) -> DataFrame:
+    """The same as ``hybrid`` for any number of candidates: legs are ranked by ranges, fused and joined by shuffles.
+
+    Nothing that grows with the candidates is broadcast, collected or put in one partition.
+    """
+    rows = scoped(chunks, filters)
+    empty = rows.select("chunk_id", F.lit(0).cast("long").alias("rank")).filter(F.lit(False))
+    a = b = empty
+    if alpha > 0:
+        near = rows.select("chunk_id").join(vectors, "chunk_id").select("chunk_id", F.round(cosine_distance(F.col("vector"), vector), 6).alias("distance")).filter("distance is not null")
+        a = ranks(near, "distance", "chunk_id").filter(F.col("rank") <= candidates).select("chunk_id", "rank")
+    if alpha < 1:
+        words = leg(rows, query, candidates) if leg else bm25(rows, t.keywords(query))
+        b = ranks(words, F.desc("score"), "chunk_id").filter(F.col("rank") <= candidates).select("chunk_id", "rank")
+    fused = fuse(a, b, alpha, k).withColumn("fused", F.round("score", 9))
+    full = rows.select("chunk_id", "file_path", "text", "mtime_ns").join(fused, "chunk_id")
+    best = written(boosted(full, t.identifiers(query)).drop("text"), "boosted")
+    order = F.desc("score"), "chunk_id"
+    fresh = recent(best.orderBy(*order).limit(RECENCY_ROWS), now_ns, weight).select("chunk_id", F.col("score").alias("_recent"))
+    scored = best.join(F.broadcast(fresh), "chunk_id", "left").withColumn("score", F.round(F.coalesce("_recent", "score"), 9))  # RECENCY_ROWS rows
+    placed = written(ranks(scored, *order), "placed")
+    if gap > 0:
+        after = placed.select((F.col("rank") - 1).alias("rank"), F.col("score").alias("_after"))
+        top = placed.agg(F.max("score")).first()[0] or 0.0
+        cut = placed.select("rank", "score").join(after, "rank").filter((F.lit(top) > 0) & (F.col("score") - F.col("_after") > F.lit(gap * top))).agg(F.min("rank")).first()[0]
+        placed = placed.filter(F.col("rank") <= cut) if cut is not None else placed
+    return placed.select("rank", "chunk_id", "file_path", "vector_rank", "keyword_rank", "fused", "boost", "score")

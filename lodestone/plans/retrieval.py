@@ -174,6 +174,18 @@ def search_hybrid_far_page(spark, sf_dir):
     return r.page(found, limit=15, offset=60).drop("total", "has_more")
 
 
+@R.add("search_hybrid_deep", _hybrid_sql(r.GAP).replace("LIMIT 50", "LIMIT 400"))
+def search_hybrid_deep(spark, sf_dir):
+    """Legs of 400 candidates as those of any number are ranked and fused: by ranges and shuffles."""
+    return r.deep_hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), QUERY, QUERY_VECTOR, r.Filters(), NOW_NS, candidates=400)
+
+
+@R.add("search_hybrid_deep_page", f"SELECT * FROM ({_hybrid_sql(0.0).replace('LIMIT 50', 'LIMIT 400')}) WHERE rank > 380 AND rank <= 400")
+def search_hybrid_deep_page(spark, sf_dir):
+    found = r.deep_hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), QUERY, QUERY_VECTOR, r.Filters(), NOW_NS, candidates=400, gap=0.0)
+    return r.page(found, limit=20, offset=380).drop("total", "has_more")
+
+
 @R.add("search_semantic", f"WITH {_LEGS} SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM near")
 def search_semantic(spark, sf_dir):
     return r.hybrid(chunks(spark, sf_dir).drop("mtime_ns").withColumn("mtime_ns", F.lit(None).cast("long")), vectors(spark, sf_dir), "", QUERY_VECTOR, r.Filters(), NOW_NS, alpha=1.0, gap=0.0).select("chunk_id", "rank")

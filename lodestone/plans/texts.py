@@ -155,6 +155,16 @@ def s4_kept_files(spark, sf_dir):
     return rows.filter(files.kept(F.col("file_path"), F.col("size"), rules=files.ignore_rules("# out\nbuild/\n"))).select("file_path")
 
 
+_NESTED = "(p_partkey % 7 = 6 AND starts_with(p_partkey::VARCHAR, '1') AND NOT starts_with(p_partkey::VARCHAR, '13')) OR (p_partkey % 7 = 5 AND p_partkey % 10 <> 5) OR (p_partkey % 7 = 0 AND ends_with(p_partkey::VARCHAR, '7'))"
+
+
+@R.add("s6_ignore_by_folder", f"{_KEPT_FILES} SELECT file_path FROM f WHERE NOT ({_NESTED})")
+def s6_ignore_by_folder(spark, sf_dir):
+    """Paths that the ignore files of the root, of build/ and of doc/ keep; the deeper file's rules win."""
+    lists = spark.createDataFrame([(".ignore", "build/\n# comment\n/src/*7.php\nd13*\n"), ("build/.ignore", "!*5.py\n"), ("doc/.ignore", "d1*\n!d13*\n")], "file_path string, text string")
+    return files.not_ignored(_paths(spark, sf_dir), files.directory_rules(lists)).select("file_path")
+
+
 @R.add("s16_listing", f"{_KEPT_FILES} SELECT file_path FROM f WHERE p_partkey % 7 IN (0, 2, 4)")
 def s16_listing(spark, sf_dir):
     return files.listing(_paths(spark, sf_dir), include=("*.php", "*.js")).select("file_path")

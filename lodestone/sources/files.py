@@ -9,9 +9,12 @@ from __future__ import annotations
 import fnmatch
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.folder import Folder
+
 # What a scan leaves out.
 MAX_KB = 512
 SKIPPED_DIRS = ("node_modules", "__pycache__")
@@ -60,6 +63,48 @@ def ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
+def ignore_files(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
+    """(file_path, text) of the files of these names in all folders under root.
+
+    Their names mostly start with a dot, and such files Spark's readers pass over: the driver walks the listing, a file at a time, and reads those alone.
+    """
+    folder = Folder(spark, root)
+    files, at = folder._at()
+    base, rows = files.makeQualified(at).toUri().getPath().rstrip("/"), []
+    walk = files.listFiles(at, True)
+    while walk.hasNext():
+        path = walk.next().getPath()
+        if path.getName() in names:
+            inside = path.toUri().getPath()[len(base) + 1 :]
+            rows.append((inside, folder.text(inside)))
+    return spark.createDataFrame(rows, "file_path string, text string")
+
+
+def directory_rules(lists: DataFrame) -> DataFrame:
+    """(dir, line, keeps, pattern) of all rules of ignore files (file_path, text): a rule holds for what is under its file's folder ('' is the root)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(path.rpartition("/")[0], n, keeps, pattern) for path, text in zip(batch["file_path"], batch["text"], strict=True) for n, (keeps, pattern) in enumerate(ignore_rules(text or ""))]
+            yield pd.DataFrame(rows, columns=["dir", "line", "keeps", "pattern"])
+
+    return lists.select("file_path", "text").mapInPandas(run, "dir string, line int, keeps boolean, pattern string")
+
+
+def not_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """The files (file_path) that the ignore files of their folders keep: of the rules that a path meets, each relative to its own folder, the one of the deepest folder counts, and of that the last.
+
+    A path is joined with the rules of each folder above it, by the folder; the join of all paths with the root's rules is
+    one that adaptive execution can split or broadcast.  Equal paths are one file.
+    """
+    parts = F.split("file_path", "/")
+    depths = F.sequence(F.lit(0), F.size(parts) - 1)
+    above = files.select("file_path").distinct().select("file_path", F.explode(F.transform(depths, lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("dir"), F.array_join(F.slice(parts, d + 1, F.size(parts)), "/").alias("rest")))).alias("x")).select("file_path", "x.*")
+    met = above.join(rules, "dir").filter(F.expr("rest RLIKE pattern"))
+    last = met.groupBy("file_path").agg(F.max_by("keeps", F.struct("depth", "line")).alias("_keeps")).filter("NOT _keeps").select("file_path")
+    return files.join(last, "file_path", "left_anti").select(*files.columns)
+
+
 def kept(path: Column, size: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), rules: list[tuple[bool, str]] | tuple = (), max_kb: int = MAX_KB) -> Column:
     """The rules in their order: excluded globs, built-in ones, ignore files, then the allowlist."""
     none_of = lambda globs: [path.rlike(glob_pattern(g)) for g in globs]
@@ -79,12 +124,17 @@ def kept(path: Column, size: Column, include: tuple[str, ...] = (), exclude: tup
     return test
 
 
-def scan(spark: SparkSession, root: str, contents: bool = False, **filters) -> DataFrame:
-    """(file_path, size, mtime_ns[, text, hash]) of the files under root that the rules keep; paths are relative."""
+def scan(spark: SparkSession, root: str, contents: bool = False, ignore: tuple[str, ...] = (), **filters) -> DataFrame:
+    """(file_path, size, mtime_ns[, text, hash]) of the files under root that the rules keep; paths are relative.
+
+    Files named like one of ``ignore``, in whatever folder, are ignore files, and their rules hold for that folder.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^file:/*|/+$", "", root)
     relative = F.regexp_replace("path", "^(?:[a-z]+:/*)?/*" + re.escape(base.strip("/")) + "/", "")
     found = rows.withColumn("file_path", relative).filter(kept(F.col("file_path"), F.col("length"), **filters))
+    if ignore:
+        found = not_ignored(found, directory_rules(ignore_files(spark, root, ignore)))
     out = ["file_path", F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")]
     if contents:
         out += [F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash")]

@@ -112,6 +112,19 @@ def test_stored_words_give_the_same(many, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "/docs" not in plan
 
 
+def test_deep_pages(spark):
+    """Far pages are those of the whole ranking, by a plan without a broadcast of the legs or a window over one partition."""
+    rows = spark.range(120_000).select(F.col("id").cast("string").alias("chunk_id"), F.lit("a.md").alias("file_path"), F.concat(F.lit("alpha "), F.repeat(F.lit("w "), (F.col("id") % 97).cast("int"))).alias("text"), F.lit("1.0").alias("schema_version"), F.lit(None).cast("long").alias("mtime_ns"))
+    engine = Engine(chunks=rows)
+    out = engine.keyword("alpha", limit=50, offset=110_000, gap=0.0)
+    whole = retrieval.hybrid(rows, rows.select("chunk_id", F.array().cast("array<float>").alias("vector")).limit(0), "alpha", [0.0], retrieval.Filters(), 0, alpha=0.0, gap=0.0, candidates=110_050)
+    want = whole.filter("rank > 110000").select("rank", "chunk_id", "keyword_rank", "score").orderBy("rank").collect()
+    assert len(want) == 50 and [(r["rank"], r["chunk_id"], r["keyword_rank"], r["score"]) for r in out.page] == [tuple(r) for r in want]
+    plan = retrieval.ranks(rows.select("chunk_id"), "chunk_id")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+    assert engine.keyword("alpha", limit=5, offset=110_000, gap=0.0).total == 110_005
+
+
 def test_terms_stand_in_for_words(tables, many):
     out = Engine(chunks=many, searchable=False).keyword("w17")
     assert [r["chunk_id"] for r in out.page] == ["k017"] and "terms" in out.warnings[0]

@@ -453,3 +453,33 @@ def test_php_symbols_and_hooks(spark):
     rows = spark.createDataFrame([(1, text, "/m/node.module")], "id int, text string, file_path string")
     assert {(r.line, r.kind, r.name) for r in chunking.php_symbols(rows, "id").collect()} == {(2, "attribute", "Block"), (3, "class", "A"), (4, "function", "go"), (6, "function", "node_help"), (7, "function", "other_help"), (8, "interface", "I")}
     assert [(r.line, r.module, r.hook) for r in chunking.hooks(rows, "id").collect()] == [(6, "node", "help")]
+
+
+def test_ignore_files_by_folder(spark, tmp_path):
+    """Nested ignore files against a plain loop over folders, rules in their order."""
+    from lodestone.sources import files as f
+
+    rng = random.Random(11)
+    lists = {".keep": "*.log\n/out/\nb*\n!bb.txt\n", "x/.keep": "!*.log\nc.txt\n", "x/y/.keep": "*.log\n!a.log\n/d/\n", "z/.keep": "!b*\n"}
+    paths = sorted({"/".join([*rng.choices(["x", "y", "z", "out", "d", "b"], k=rng.randrange(4)), rng.choice(["a.log", "b.txt", "bb.txt", "c.txt", "e.log"])]) for _ in range(300)})
+    want = []
+    for path in paths:
+        gone = False
+        parts = path.split("/")
+        for d in range(len(parts)):
+            text = lists.get("/".join([*parts[:d], ".keep"]))
+            for keeps, pattern in f.ignore_rules(text) if text else ():
+                if re.search(pattern, "/".join(parts[d:])):
+                    gone = not keeps
+        if not gone:
+            want.append(path)
+    rules = f.directory_rules(spark.createDataFrame(list(lists.items()), "file_path string, text string"))
+    got = f.not_ignored(spark.createDataFrame([(p,) for p in paths], "file_path string"), rules)
+    assert sorted(r.file_path for r in got.collect()) == want and 20 < len(want) < len(paths) - 20
+    for name, text in {**lists, **{p: "x" for p in paths}}.items():
+        place = tmp_path / name
+        place.parent.mkdir(parents=True, exist_ok=True)
+        if not place.exists():
+            place.write_text(text)
+    scanned = {r.file_path for r in f.scan(spark, str(tmp_path), ignore=(".keep",)).collect()}
+    assert scanned - set(lists) == set(want)
