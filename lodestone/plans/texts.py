@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import html as h
 from lodestone.functions import text as t
@@ -204,3 +205,11 @@ def v8_hooks(spark, sf_dir):
 def html_excerpt(spark, sf_dir):
     """The first characters of each page's title."""
     return h.excerpts(table(spark, sf_dir, "pages"), "title", outer=False, max_chars=40)
+
+
+@R.add("html_links", """SELECT page_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS place, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), 'href="([^"]*)"', 1) AS l FROM pages)""")
+def html_links(spark, sf_dir):
+    """The links of each page's navigation in their order, by a compound selector."""
+    found = h.select(h.elements(table(spark, sf_dir, "pages")), "nav > ul li a[href]")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")).cast("long")
+    return found.select("page_id", place.alias("place"), F.col("attributes")["href"].alias("href"))

@@ -244,10 +244,13 @@ def test_half_written_versions_are_not_seen(spark, tmp_path):
     assert not (tmp_path / "t" / "x" / "v=1").exists() and tables.read("x", "a long").count() == 2
 
 
-@pytest.mark.parametrize(("selector", "outer", "n", "want"), [("p", True, 0, "<p class='a b'>x<p>y</p></p>"), ("p", False, 0, "x<p>y</p>"), (".b", False, 3, "x<p"), ("#q", True, 0, "<i id=q>z</i>"), ("br", True, 0, "<br>"), ("br", False, 0, ""), ("u", True, 0, None), ("b", True, 0, "<b>open")])
-def test_excerpt(selector, outer, n, want):
-    assert html.excerpt("<div>\n<p class='a b'>x<p>y</p></p><i id=q>z</i><br><b>open", selector, outer, n) == want
-    assert html.excerpt(None, selector, outer, n) is None
+EXCERPTS = [("p", True, 0, "<p class='a b'>x<p>y</p></p>"), ("p", False, 0, "x<p>y</p>"), (".b", False, 3, "x<p"), ("#q", True, 0, "<i id=q>z</i>"), ("br", True, 0, "<br>"), ("br", False, 0, ""), ("u", True, 0, None), ("b", True, 0, "<b>open")]
+
+
+def test_excerpt(spark):
+    pages = spark.createDataFrame([(1, "<div>\n<p class='a b'>x<p>y</p></p><i id=q>z</i><br><b>open"), (2, None)], "page_id int, html string")
+    for selector, outer, n, want in EXCERPTS:
+        assert {r.page_id: r.excerpt for r in html.excerpts(pages, selector, outer, n).collect()} == {1: want, 2: None}
 
 
 def test_epoch(spark):

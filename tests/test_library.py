@@ -203,7 +203,7 @@ def test_chunk_frames(spark):
 
 def test_outline():
     got = html.outline("<div id=a><p class='c'>x <b>y</b></p><br>z</div><p>w")
-    assert [(n, p, d, tag, e, c, text) for n, p, d, tag, e, c, text in got] == [(0, None, 0, "div", "a", None, "z"), (1, 0, 1, "p", None, "c", "x"), (2, 1, 2, "b", None, None, "y"), (3, 0, 1, "br", None, None, ""), (4, None, 0, "p", None, None, "w")]
+    assert [(n, p, d, tag, e, c, text) for n, p, d, tag, e, c, text in got] == [(0, None, 0, "div", "a", None, "x yz"), (1, 0, 1, "p", None, "c", "x y"), (2, 1, 2, "b", None, None, "y"), (3, 0, 1, "br", None, None, ""), (4, None, 0, "p", None, None, "w")]
     assert html.outline(None) == []
 
 
