@@ -49,9 +49,10 @@ def forms_with_routes(forms: DataFrame, routes: DataFrame) -> DataFrame:
     """(form, routes): the routes whose controller names the form's class as one of its parts, sorted; none gives an empty list.
 
     The parts of a controller are exploded and joined on equality, so nothing is
-    compared with everything.
+    compared with everything; parts that no form has, such as the namespace that all
+    share, go before routes are gathered.
     """
-    parts = routes.select("route", F.explode(F.array_distinct(F.split("controller", r"[\\:]+"))).alias("form"))
+    parts = routes.select("route", F.explode(F.array_distinct(F.split("controller", r"[\\:]+"))).alias("form")).join(forms.select("form").distinct(), "form", "left_semi")
     found = parts.groupBy("form").agg(F.array_sort(F.collect_set("route")).alias("routes"))
     return forms.join(found, "form", "left").select("form", F.coalesce("routes", F.array().cast("array<string>")).alias("routes"))
 
@@ -78,10 +79,15 @@ def entries(rows: DataFrame, key: str, mapping: str, skip: tuple[str, ...] = ("_
     return rows.select(key, F.explode(mapping).alias("name", "value")).filter(~F.col("name").isin(*skip))
 
 
-def _definitions(files: DataFrame, data: Column) -> DataFrame:
-    """(file_path, name, _d): the entries of a JSON object that are objects themselves, as JSON."""
-    found = files.select("file_path", F.from_json(data, "map<string,string>").alias("_m")).filter("_m is not null")
-    return found.select("file_path", F.explode("_m").alias("name", "_d")).filter(F.col("_d").startswith("{"))
+def _definitions(files: DataFrame, at: str) -> DataFrame:
+    """(file_path, name, _d): the entries of the object at a path of parsed files that are objects themselves, as variants; each file is parsed once."""
+    found = files.select("file_path", F.explode(F.try_variant_get(F.try_parse_json("data"), at, "map<string,variant>")).alias("name", "_d"))
+    return found.filter(F.schema_of_variant("_d").startswith("OBJECT"))
+
+
+def _said(of: Column | str, at: str) -> Column:
+    """A text at a path of a variant; null if there is none or it is empty."""
+    return F.nullif(F.try_variant_get(of, at, "string"), F.lit(""))
 
 
 def services(files: DataFrame) -> DataFrame:
@@ -90,18 +96,17 @@ def services(files: DataFrame) -> DataFrame:
     ``_defaults`` and entries that are no mappings are left out; a class that isn't
     said is empty, and tags without a name don't count.
     """
-    rows = _definitions(files, F.get_json_object("data", "$.services")).filter("name <> '_defaults'")
-    names = F.transform(F.from_json(F.get_json_object("_d", "$.tags"), "array<string>"), lambda x: F.get_json_object(x, "$.name"))
-    tags = F.coalesce(F.filter(names, lambda x: x != ""), F.array().cast("array<string>"))
-    return rows.select(F.col("name").alias("service_id"), F.coalesce(F.get_json_object("_d", "$.class"), F.lit("")).alias("class"), tags.alias("tags"), F.col("file_path").alias("file"))
+    rows = _definitions(files, "$.services").filter("name <> '_defaults'")
+    names = F.transform(F.try_variant_get("_d", "$.tags", "array<variant>"), lambda x: _said(x, "$.name"))
+    tags = F.coalesce(F.array_compact(names), F.array().cast("array<string>"))
+    return rows.select(F.col("name").alias("service_id"), F.coalesce(_said("_d", "$.class"), F.lit("")).alias("class"), tags.alias("tags"), F.col("file_path").alias("file"))
 
 
 def routes(files: DataFrame) -> DataFrame:
     """(route_name, path, controller, file) of the routes that parsed files (file_path, data) define; the controller is the form where there is none."""
-    said = lambda at: F.nullif(F.get_json_object("_d", at), F.lit(""))
-    handler = F.coalesce(said("$.defaults._controller"), said("$.defaults._form"), F.lit(""))
-    rows = _definitions(files, F.col("data"))
-    return rows.select(F.col("name").alias("route_name"), F.coalesce(said("$.path"), F.lit("")).alias("path"), handler.alias("controller"), F.col("file_path").alias("file"))
+    handler = F.coalesce(_said("_d", "$.defaults._controller"), _said("_d", "$.defaults._form"), F.lit(""))
+    rows = _definitions(files, "$")
+    return rows.select(F.col("name").alias("route_name"), F.coalesce(_said("_d", "$.path"), F.lit("")).alias("path"), handler.alias("controller"), F.col("file_path").alias("file"))
 
 
 # The kinds of field that refer to something, and what they refer to unless they say.
