@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestone.plans import catalogs, extras, graphs, operations, retrieval, texts
+from lodestone.plans import catalogs, extras, graphs, lookups, operations, retrieval, texts
 
-FAMILIES = (retrieval.R, graphs.R, operations.R, texts.R, catalogs.R, extras.R)
+FAMILIES = (retrieval.R, graphs.R, operations.R, texts.R, catalogs.R, extras.R, lookups.R)
 
 #: Fused hybrid retrieval.
 FLAGSHIP = retrieval.search_hybrid

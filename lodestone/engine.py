@@ -209,6 +209,14 @@ class Engine:
         rows = self.chunks if self.chunks is not None else self.queue
         return context.view(rows.filter(F.col("chunk_id") == chunk_id), fields or rows.columns, max_chars)
 
+    def file_chunks(self, file_path: str, function_name: str | None = None, limit: int = 200) -> DataFrame:
+        """The chunks of a file, by its whole path or its end, in reading order."""
+        rows = self.chunks if self.chunks is not None else self.queue
+        rows = rows.filter((F.col("file_path") == file_path) | F.col("file_path").endswith(f"/{file_path}"))
+        if function_name is not None:
+            rows = rows.filter(F.col("function_name") == function_name)
+        return rows.orderBy("file_path", "start_line", "chunk_id").limit(limit)
+
     def similar(self, chunk_id: str | None = None, limit: int = 10, file_path: str | None = None, function_name: str | None = None) -> DataFrame:
         """The chunks nearest to one: that of the id, or the first of a file, or of a function (in a file or anywhere)."""
         if chunk_id is None:

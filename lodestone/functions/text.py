@@ -43,6 +43,24 @@ def keywords(query: str) -> list[str]:
     return [t for t in terms(query) if t not in STOP_WORDS or t in keep]
 
 
+def terms_of(query: Column) -> Column:
+    """``terms`` of a column of queries."""
+    return F.array_distinct(F.filter(F.split(F.lower(query), "[^a-z0-9_.]+"), lambda x: F.length(x) > 1))
+
+
+def identifiers_of(query: Column) -> Column:
+    """``identifiers`` of a column of queries."""
+    quoted = F.transform(F.regexp_extract_all(query, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.trim(x))
+    found = F.concat(*(F.regexp_extract_all(query, F.lit(p), F.lit(0)) for p in IDENTIFIERS), quoted)
+    return F.array_distinct(F.filter(found, lambda x: F.length(x) > 1))
+
+
+def keywords_of(query: Column) -> Column:
+    """``keywords`` of a column of queries."""
+    keep = F.transform(identifiers_of(query), lambda x: F.lower(x))
+    return F.filter(terms_of(query), lambda x: ~x.isin(*sorted(STOP_WORDS)) | F.array_contains(keep, x))
+
+
 def tokens(text: Column) -> Column:
     """A text's words as the keyword index sees them."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9_.]+"), lambda x: x != "")

@@ -137,8 +137,8 @@ def r2_identifier_boost(spark, sf_dir):
     return r.boosted(chunks(spark, sf_dir).withColumn("score", F.lit(0.0)), NAMES).select("chunk_id", F.round("boost", 6).alias("boost"))
 
 
-def _hybrid_sql(gap: float) -> str:
-    return f"""WITH {_LEGS}, {_FUSED}, lifted AS (
+def _hybrid_sql(gap: float, fused: str = _FUSED) -> str:
+    return f"""WITH {_LEGS}, {fused}, lifted AS (
   SELECT chunk_id, file_path, mtime_ns, vector_rank, keyword_rank, fused, least({_BOOST}, 0.3::DOUBLE) AS boost FROM fused JOIN scoped USING (chunk_id)
 ), first_order AS (SELECT *, fused + boost AS s, row_number() OVER (ORDER BY fused + boost DESC, chunk_id) AS k FROM lifted),
 aged AS (

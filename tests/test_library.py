@@ -483,3 +483,81 @@ def test_ignore_files_by_folder(spark, tmp_path):
             place.write_text(text)
     scanned = {r.file_path for r in f.scan(spark, str(tmp_path), ignore=(".keep",)).collect()}
     assert scanned - set(lists) == set(want)
+
+
+def test_config_folders(spark, tmp_path):
+    from lodestone.sources import config
+
+    (tmp_path / "sync").mkdir()
+    for name, text in {"b.two.yml": "k: 1", "a.one.yml": "k: [x]", "a.bad.yml": "k: [", "notes.txt": "k: 1"}.items():
+        (tmp_path / "sync" / name).write_text(text)
+    folder = config.first_folder(spark, [str(tmp_path / "none"), str(tmp_path / "sync"), str(tmp_path)])
+    assert folder == str(tmp_path / "sync") and config.first_folder(spark, [str(tmp_path / "none")]) is None
+    files = config.read(spark, folder)
+    assert [r.name for r in config.named(files).collect()] == ["a.bad", "a.one", "b.two"] and [r.name for r in config.named(files, "a.", 1).collect()] == ["a.bad"]
+    assert sorted((r.name, r.data) for r in config.loaded(files).collect()) == [("a.one", '{"k": ["x"]}'), ("b.two", '{"k": 1}')]
+
+
+@pytest.mark.parametrize("query", ['the getName of a_b "is" v1.2 ABC', "", "   ", 'IS is "x y" x.y.z E-404 HTTP'])
+def test_terms_of_columns(spark, query):
+    from lodestone.functions import text as tx
+
+    row = spark.createDataFrame([(query,)], "q string").select(tx.terms_of(F.col("q")).alias("t"), tx.identifiers_of(F.col("q")).alias("i"), tx.keywords_of(F.col("q")).alias("k")).first()
+    assert (row.t, row.i, row.k) == (tx.terms(query), tx.identifiers(query), tx.keywords(query))
+
+
+def test_vector_index(spark, tmp_path):
+    """Recall of codes with exact re-ranking, by the defaults, over all ids divisible by 50; additions, ends, and when all is built again."""
+    import numpy as np
+    from lodestone.operators import pq
+    from lodestone.plans.inputs import vectors
+
+    assert [pq.parts_of(d) for d in (1536, 768, 384, 64, 8, 7)] == [96, 96, 96, 4, 1, 1]
+    rows = vectors(spark, "/root/testdata/sf0.1")
+    index = pq.VectorIndex(spark, str(tmp_path / "index"))
+    assert index.refresh(rows) == "built" and index.refresh(rows) == "same"
+    own = {r.chunk_id: np.array(r.vector, float) for r in rows.collect()}
+    ids = sorted(own)
+    unit = np.stack([own[i] / np.linalg.norm(own[i]) for i in ids])
+    asked = [i for i in ids if int(i) % 50 == 0]
+    got = index.top_k([own[i].tolist() for i in asked], 10).collect()
+    found = 0
+    for q, i in enumerate(asked):
+        near = {ids[k] for k in np.argsort(-(unit @ unit[ids.index(i)]), kind="stable")[:10]}
+        found += len(near & {r.chunk_id for r in got if r.q == q})
+    assert found / (10 * len(asked)) >= 0.9  # of 200 candidates, a tenth of the rows
+    exact = [r.chunk_id for r in index.exact(own[asked[0]].tolist(), 5).collect()]
+    assert exact == [ids[k] for k in np.argsort(-(unit @ unit[ids.index(asked[0])]), kind="stable")[:5]]
+    less = rows.filter("chunk_id <> '7'").unionByName(spark.createDataFrame([("new", own["9"].tolist())], "chunk_id string, vector array<float>"))
+    assert index.refresh(less) == "added" and {r.chunk_id for r in index.top_k([own["9"].tolist()], 2).collect()} == {"9", "new"}
+    assert index.rows().filter("chunk_id = '7'").count() == 0 and index.rows().count() == 2000
+    assert index.refresh(rows) == "built"  # an id that was gone came again
+    many = rows.unionByName(rows.withColumn("chunk_id", F.concat(F.lit("x"), "chunk_id")))
+    assert index.refresh(many) == "built" and index.rows().count() == 4000
+
+
+def test_word_index_in_segments(spark, tmp_path, monkeypatch):
+    """After inserts, changes and deletes, over many segments and merges, scores are those of a scan of what is there."""
+    from lodestone.operators import wordindex
+
+    monkeypatch.setattr(wordindex, "SEGMENTS", 3)
+    monkeypatch.setattr(wordindex, "RANGE", 2)
+    monkeypatch.setattr(wordindex, "FIRST", 2)
+    rng, have = random.Random(2), {}
+    index = wordindex.WordIndex(spark, str(tmp_path / "words"))
+    assert index.top_k("alpha", 5).count() == 0
+    words = ["alpha", "beta", "gamma", "delta", "the"]
+    for step in range(6):
+        put = {f"c{rng.randrange(40)}": " ".join(rng.choices(words, [1, 2, 4, 8, 9], k=rng.choice([0, 1, 5, 60]))) for _ in range(12)}
+        gone = [f"c{rng.randrange(40)}" for _ in range(3)]
+        index.change(spark.createDataFrame(list(put.items()), "chunk_id string, text string"), spark.createDataFrame([(g,) for g in gone if g not in put], "chunk_id string"))
+        have = {k: v for k, v in have.items() if k not in gone or k in put} | put
+        if step in (0, 3, 5):
+            rows = spark.createDataFrame(list(have.items()), "chunk_id string, text string")
+            assert index.counts()[:2] == (len(have), sum(len(v.split()) for v in have.values())) and index.counts()[2] <= 3
+            want = {r.chunk_id: r.score for r in retrieval.bm25(rows, ["alpha", "delta"]).collect()}
+            assert {r.chunk_id: r.score for r in index.bm25(["alpha", "delta"]).collect()} == want
+            for k in (1, 4, 100):
+                assert index.top_k("alpha delta nowhere", k).collect() == retrieval.keyword_top_k(rows, "alpha delta nowhere", k).collect()
+    index.vacuum()
+    assert index.top_k("alpha delta nowhere", 4).collect() == retrieval.keyword_top_k(rows, "alpha delta nowhere", 4).collect()
