@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import materialize
+from lodestone.llm.tables import Owned, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours is no single task.
     Self-loops and repeated edges are harmless; null ends are dropped.
     """
+    with Owned() as own:
+        now = _starred(edges)
+        own.keep(now)
+    return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node")))
+
+
+def _starred(edges: DataFrame) -> DataFrame:
+    """The written edges (a, b) from each node to the smallest of its component."""
     now, state = _settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         now, state = _settled(small)
         if state == before:
-            return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node")))
+            return now
 
 
 def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:

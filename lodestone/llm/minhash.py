@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import words as w
 from lodestone.llm.graph import components
-from lodestone.llm.tables import column, materialize
+from lodestone.llm.tables import Owned, column, materialize
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
@@ -256,14 +256,16 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def _placed(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, th (a hash of the text), n_shingles, group (null if linked with nothing by definition) and component_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    sketch = materialize(sketches(rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    found = sketch.filter("digest is not null and doc_id is not null")
-    classes = materialize(found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "classes")
-    banded = materialize(found.filter(F.size("bands") > 0).join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "banded")
-    linked = materialize(classes.join(_links(rows, banded), "node").select("digest", "rep", "component"), "linked")
-    least = materialize(linked.groupBy("component").agg(F.min("rep").alias("least")), "least")
-    of_class = linked.join(least, "component").select("digest", "component", "least")
-    named = materialize(classes.join(of_class, "digest", "left").select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("component_id")), "named")
+    with Owned() as owned:
+        sketch = materialize(sketches(rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
+        found = sketch.filter("digest is not null and doc_id is not null")
+        classes = materialize(found.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "classes")
+        banded = materialize(found.filter(F.size("bands") > 0).join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "banded")
+        linked = materialize(classes.join(_links(rows, banded), "node").select("digest", "rep", "component"), "linked")
+        least = materialize(linked.groupBy("component").agg(F.min("rep").alias("least")), "least")
+        of_class = linked.join(least, "component").select("digest", "component", "least")
+        named = materialize(classes.join(of_class, "digest", "left").select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("component_id")), "named")
+        owned.keep(sketch, named)
     own = sketch.filter("digest is null or doc_id is null").select("doc_id", "th", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", "th", "n_shingles", "digest").join(named, "digest").select("doc_id", "th", "n_shingles", "group", "component_id").unionByName(own)
 
@@ -281,7 +283,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     its text stays; of rows equal in id and text one.  Rows without an id all stay.
     """
     names = docs.columns
-    placed = materialize(_placed(docs).filter("doc_id = component_id").select("doc_id", "th", "group"), "kept")
+    with Owned() as owned:
+        placed = materialize(_placed(docs).filter("doc_id = component_id").select("doc_id", "th", "group"), "kept")
+        owned.keep(placed)
     first = placed.filter("group is not null").groupBy("group", "doc_id").agg(F.min("th").alias("th")).select("doc_id", "th")
     stay = first.unionByName(placed.filter("group is null").select("doc_id", "th")).distinct().select(F.col("doc_id").alias("_lodestone_id"), F.col("th").alias("_lodestone_th"))
     keyed = docs.filter("doc_id is not null").withColumns({"_lodestone_id": F.col("doc_id").cast("long"), "_lodestone_th": F.xxhash64("text")})

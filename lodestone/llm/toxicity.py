@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm import words as w
 from lodestone.llm.sampling import bounded, fold, taken
-from lodestone.llm.tables import materialize, plain
+from lodestone.llm.tables import Owned, materialize, plain
 
 #: Labels of this fold of crc32(doc_id) are held out.
 FOLDS, HELD_OUT = 5, 0
@@ -99,8 +99,9 @@ def sampled_features(docs: DataFrame, ids: DataFrame, most: int) -> list[np.ndar
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["_k"].slice(i, j - i), pa.array(np.diff(cut), pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "k", "n", "slots"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").withColumn("_k", F.xxhash64("doc_id", "text"))
-    made = materialize(chosen.mapInArrow(run, "doc_id long, k long, n long, slots binary"), "slots")
-    return [np.frombuffer(x["slots"], np.uint32) for x in taken(made, "n", SAMPLE_SLOTS, most)]
+    with Owned():
+        made = materialize(chosen.mapInArrow(run, "doc_id long, k long, n long, slots binary"), "slots")
+        return [np.frombuffer(x["slots"], np.uint32) for x in taken(made, "n", SAMPLE_SLOTS, most)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -88,3 +88,21 @@ def test_any_column_names(spark):
     assert sharded.count() == 40 and set(NAMES) - {"n_chars"} <= set(sharded.columns)
     kept = mixing.sequence(docs, keep=["Weight", "a.b", "text"])
     assert kept.columns[-3:] == ["_Weight", "a.b", "text"]
+
+
+def test_what_a_block_writes_goes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path))
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    with tables.Owned() as outer:
+        with tables.Owned() as inner:
+            a, b = tables.materialize(spark.range(3), "a"), tables.materialize(spark.range(2), "b")
+            inner.keep(a)
+        assert left() == ["a"] and a.count() == 3
+        c = tables.materialize(a, "c")
+        outer.keep(c)
+    assert left() == ["c"] and c.count() == 3 and b is not None
+    docs = spark.createDataFrame(_family(60, 25, 4), "doc_id long, text string")
+    kept = minhash.keep_one(docs)
+    assert left() == ["c", "kept"] and kept.count() >= 1
+    found = minhash.near_duplicates(docs)
+    assert left() == ["c", "kept", "named", "sketches"] and found.count() == 60
