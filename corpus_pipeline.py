@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontamination, minhash, mixing, sharding
 from lodestone.llm import toxicity as toxic
-from lodestone.llm.tables import materialize, read
+from lodestone.llm.tables import Owned, materialize, read
 from lodestone.session import ship
 
 #: SQL can't express the trained classifier, MinHash or the FM-index.
@@ -77,10 +77,13 @@ STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order, over the documents of sf_dir."""
+    """All stages, in order, over the documents of sf_dir; what a stage writes besides its result goes when that is written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with Owned() as own:
+            made = materialize(stage(spark, docs, sf_dir), name)
+            own.keep(made)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
