@@ -576,3 +576,37 @@ def test_every_number_has_one_query():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_quality_gradient_is_that_of_the_likelihood():
+    """What training goes down: chances and expected pairs against differences of the log of all labellings' weights, summed one by one."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sizes = [1, 3, 5]
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    unary, pairs = rng.normal(size=9), rng.normal(size=(2, 2))
+
+    def log_total(u, p):
+        out = 0.0
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            out += math.log(sum(math.exp(sum(u[a + k] * y for k, y in enumerate(ys)) + sum(p[x][y] for x, y in zip(ys, ys[1:], strict=False))) for ys in itertools.product((0, 1), repeat=int(b - a))))
+        return out
+
+    chance, both = quality.forward_backward(unary, first, pairs)
+    for i in range(9):
+        up, down = unary.copy(), unary.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert abs((log_total(up, pairs) - log_total(down, pairs)) / 2e-5 - chance[i]) < 1e-6
+    for x, y in itertools.product((0, 1), repeat=2):
+        up, down = pairs.copy(), pairs.copy()
+        up[x, y] += 1e-5
+        down[x, y] -= 1e-5
+        assert abs((log_total(unary, up) - log_total(unary, down)) / 2e-5 - both[x, y]) < 1e-6
+    values = rng.normal(size=9)
+    scores = rng.normal(size=(9, 3))
+    assert abs((quality.placed(scores, first) * values).sum() - (scores * quality.spread(values, first)).sum()) < 1e-9
