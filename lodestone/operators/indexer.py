@@ -148,12 +148,14 @@ class Indexer:
 
     def _symbols(self, changed: DataFrame, touched: DataFrame, fresh: DataFrame) -> None:
         """Nodes and edges of the changed files in place of those of the touched ones; calls are resolved where names came or went."""
-        rows = changed.select("file_path", "text").withColumn("project_path", F.lit(self.project))
+        before = written(self.nodes.read().join(touched, "file_path", "left_semi").select("node_id"), "before")
+        rows = changed.filter(chunking.route(F.col("file_path")) == "ast").select("file_path", "text").withColumn("project_path", F.lit(self.project))
+        if before.isEmpty() and rows.isEmpty():
+            return
         parts = codegraph.code_graph(rows), codegraph.line_graph(rows)
         nodes, edges = (written(a.unionByName(b), "symbols") for a, b in zip(*parts, strict=True))
         spans = fresh.select("file_path", F.col("chunk_id").alias("symbol"), F.col("start_line").cast("long").alias("start"), F.col("end_line").cast("long").alias("end"))
         held = graph.enclosing(spans, nodes.select("file_path", F.col("start_line").alias("line")).distinct(), slack=0).select("file_path", F.col("line").alias("start_line"), F.col("symbol").alias("chunk_id"))
-        before = written(self.nodes.read().join(touched, "file_path", "left_semi").select("node_id"), "before")
         gone = written(before.join(nodes.select("node_id"), "node_id", "left_anti"), "gone")
         edge_key = self.edges.key
         kept = self.edges.read()

@@ -170,7 +170,11 @@ def test_files_that_cannot_be_chunked(spark, tmp_path):
         return good.unionByName(files.filter("file_path = 'bad.md'").select("file_path", F.lit("broken").alias("error")), allowMissingColumns=True)
 
     index = Indexer(spark, str(tmp_path / "index"), hash_embedder, chunker=chunker)
-    for n in (1, 2, 3, 3):
+    for n in (1, 3, 3):
+        if n == 3:  # as after a second try
+            index.lease.take("test")
+            index.files.change(index.files.read().filter("status = 'parse_error' AND retry_count < 3").withColumn("retry_count", F.lit(2).cast("long")))
+            index.lease.release()
         index.start(_files(spark, {"bad.md": "x", "good.md": "y"}))
         assert {(r.file_path, r.status, r.retry_count, r.message) for r in index.files.read().collect()} == {("bad.md", "parse_error", n, "broken"), ("good.md", "parsed", 0, None)}
     index.start(_files(spark, {"bad.md": "other", "good.md": "y"}))
