@@ -64,11 +64,17 @@ class WordIndex:
         dead = self._dead(state)
         return rows.join(dead, ["chunk_id", "segment"], "left_anti") if dead is not None else rows
 
+    def _postings(self, segment: dict) -> DataFrame:
+        """All blocks of a segment; one without words has no file that would tell their columns."""
+        if not segment["words"]:
+            return self.spark.createDataFrame([], "term string, range long, size int, most long, least long, ids array<string>, tfs array<long>, ns array<long>, bucket int")
+        return self.spark.read.parquet(f"{self.path}/segment={segment['id']}/postings")
+
     def _blocks(self, state: dict, words: list[str]) -> DataFrame:
         """Blocks of the words: segment, term, range, size, most, least, and the postings ids, tfs, ns."""
         parts = []
         for s in state["segments"]:
-            rows = self.spark.read.parquet(f"{self.path}/segment={s['id']}/postings")
+            rows = self._postings(s)
             buckets = sorted({zlib.crc32(w.encode()) % s["folders"] for w in words})
             parts.append(rows.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*words)).drop("bucket").withColumn("segment", F.lit(s["id"])))
         return _union(parts)
@@ -104,7 +110,7 @@ class WordIndex:
             rows = put.select("chunk_id", tokens.alias("_t"), F.size(tokens).cast("long").alias("n"))
             postings = rows.select("chunk_id", "n", F.explode("_t").alias("term")).groupBy("chunk_id", "n", "term").agg(F.count("*").alias("tf"))
             made = self._write(rows.select("chunk_id", "n"), postings, n)
-            out["segments"].append(made)
+            out["segments"] += [made] if made["chunks"] else []
             out["chunks"] += made["chunks"]
             out["words"] += made["words"]
         if state["segments"]:
@@ -130,7 +136,7 @@ class WordIndex:
         part = {"segments": rest, "dead": state["dead"]}
         dead = self._dead(state)
         docs = self._docs(part)
-        rows = _union([self.spark.read.parquet(f"{self.path}/segment={s['id']}/postings").withColumn("segment", F.lit(s["id"])) for s in rest])
+        rows = _union([self._postings(s).withColumn("segment", F.lit(s["id"])) for s in rest])
         postings = rows.select("segment", "term", F.explode(F.arrays_zip("ids", "tfs", "ns")).alias("x")).select("segment", F.col("x.ids").alias("chunk_id"), "term", F.col("x.tfs").alias("tf"), F.col("x.ns").alias("n"))
         if dead is not None:
             postings = postings.join(dead, ["chunk_id", "segment"], "left_anti")

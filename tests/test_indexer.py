@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import dates, html
-from lodestone.operators import chunking, folder, keyed, runs
+from lodestone.operators import chunking, folder, keyed, runs, wordindex
 from lodestone.operators.folder import Conflict, Folder, Lease, Locked, Lost
 from lodestone.operators.indexer import Indexer
 from lodestone.operators.keyed import Keyed
 from lodestone.operators.tables import Tables
+from lodestone.operators.wordindex import WordIndex
 from lodestone.streaming.drain import hash_embedder
 
 FILES = "file_path string, size long, mtime_ns long, hash string, text string"
@@ -261,3 +262,17 @@ def test_epoch(spark):
     rows = [("-1 day", 913_600), ("2 weeks ago", 1_000_000 - 1_209_600), ("+3 min", 1_000_180), ("now", 1_000_000), ("17", 17), ("1970-01-02", 86_400), ("1970-01-01T00:00:05Z", 5), ("soon", None), ("", None), (None, None), ("1970-99-99", None)]
     got = spark.createDataFrame(rows, "t string, want long").select(dates.epoch(F.col("t"), 1_000_000).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_words_of_an_index_without_any(spark, tmp_path):
+    """Segments without words, or without chunks, are merged and searched like others."""
+    index = WordIndex(spark, str(tmp_path / "words"))
+    rows = lambda *x: spark.createDataFrame(x, "chunk_id string, text string")
+    index.change(rows(("a", ""), ("b", None)))
+    assert index.counts() == (2, 0, 1) and index.top_k("orange", 3).count() == 0
+    index.change(rows(("c", "orange boat")))
+    index.change(rows(("x", "")).limit(0), rows(("a", "")))
+    assert index.counts() == (2, 2, 2) and [r.chunk_id for r in index.top_k("orange", 3).collect()] == ["c"]
+    for n in range(wordindex.SEGMENTS):
+        index.change(rows((f"d{n}", "")))
+    assert index.counts()[:2] == (2 + wordindex.SEGMENTS, 2) and index.counts()[2] < wordindex.SEGMENTS and [r.chunk_id for r in index.bm25(["orange"]).collect()] == ["c"]
