@@ -83,11 +83,18 @@ class Indexer:
 
     def start(self, files: DataFrame, priority: int = 1, force: bool = False) -> str:
         """Takes in new and changed files (file_path, size, mtime_ns, hash, text), forgets deleted ones, then embeds; the run's id."""
+        return self._run(files, None, priority, force)
+
+    def take(self, files: DataFrame, gone: DataFrame, priority: int = 1, force: bool = False) -> str:
+        """As ``start``, but of some files only: takes in these, forgets those that are gone (file_path) and leaves all others as they are."""
+        return self._run(files, gone, priority, force)
+
+    def _run(self, files: DataFrame, gone: DataFrame | None, priority: int, force: bool) -> str:
         run, now = uuid.uuid4().hex, int(self.clock())
         self.lease.take(run)
         try:
             self._log(run, "running", now)
-            self._take_in(files, priority, now, force)
+            self._take_in(files, gone, priority, now, force)
             self._drain(run, now)
         finally:
             self._let_go()
@@ -114,8 +121,11 @@ class Indexer:
 
     # --- files to chunks, symbols and words ---
 
-    def _take_in(self, files: DataFrame, priority: int, now: int, force: bool) -> None:
+    def _take_in(self, files: DataFrame, gone: DataFrame | None, priority: int, now: int, force: bool) -> None:
+        """``gone``: the files that are no longer there; None if they are all that aren't among ``files``."""
         stored = self.files.read()
+        if gone is not None:
+            stored = stored.join(files.select("file_path").unionByName(gone.select("file_path")).distinct(), "file_path", "left_semi")
         states = written(incremental.changes(files, stored, force), "states")
         given_up = stored.filter((F.col("status") == "parse_error") & (F.col("retry_count") >= incremental.MAX_RETRIES)).select("file_path", "hash") if not force else stored.select("file_path", "hash").limit(0)
         changed = files.join(states.filter(F.col("state").isin("new", "pending_parse")).select("file_path"), "file_path", "left_semi").join(given_up, ["file_path", "hash"], "left_anti")
@@ -241,6 +251,10 @@ class Indexer:
             out.append(("folder", False, str(problem).split("\n")[0]))
         return out
 
+    def unparsed(self) -> DataFrame:
+        """(file_path) of the files that couldn't be parsed and are tried again."""
+        return self.files.read().filter((F.col("status") == "parse_error") & (F.col("retry_count") < incremental.MAX_RETRIES)).select("file_path")
+
     def status(self) -> DataFrame:
         """One row: pending and embedded chunks, files, and when one was last indexed."""
         return health.status(self.queue.read(), self.files.read())

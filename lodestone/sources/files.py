@@ -124,12 +124,17 @@ def kept(path: Column, size: Column, include: tuple[str, ...] = (), exclude: tup
     return test
 
 
-def scan(spark: SparkSession, root: str, contents: bool = False, ignore: tuple[str, ...] = (), **filters) -> DataFrame:
-    """(file_path, size, mtime_ns[, text, hash]) of the files under root that the rules keep; paths are relative.
+def scan(spark: SparkSession, root: str, contents: bool = False, ignore: tuple[str, ...] = (), locations: bool = False, only: list[str] | None = None, **filters) -> DataFrame:
+    """(file_path, size, mtime_ns[, text, hash][, location]) of the files under root that the rules keep; paths are relative.
 
     Files named like one of ``ignore``, in whatever folder, are ignore files, and their rules hold for that folder.
+    ``only`` names locations: other files are listed but not opened, and one that goes before it is opened is left out.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", str(only is not None).lower()).load(root)
+    if only is not None:
+        rows = rows.filter(F.col("_metadata.file_path").isin(only))  # decided on the listing
+    if locations:
+        rows = rows.withColumn("location", F.col("_metadata.file_path"))
     base = re.sub(r"^file:/*|/+$", "", root)
     relative = F.regexp_replace("path", "^(?:[a-z]+:/*)?/*" + re.escape(base.strip("/")) + "/", "")
     found = rows.withColumn("file_path", relative).filter(kept(F.col("file_path"), F.col("length"), **filters))
@@ -138,6 +143,8 @@ def scan(spark: SparkSession, root: str, contents: bool = False, ignore: tuple[s
     out = ["file_path", F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")]
     if contents:
         out += [F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash")]
+    if locations:
+        out.append("location")
     return found.select(*out)
 
 
