@@ -37,3 +37,16 @@ def test_a_stream_ends_as_the_batch(spark, tmp_path):
         states.streamed(spark.readStream.schema(states.EVENTS).parquet(source), table, str(tmp_path / "progress")).awaitTermination()
     assert {r.key: (r.seq, r.status, r.hash, r.retry_count) for r in table.read().collect()} == want
     assert states.folded(rows.limit(0)).count() == 0
+
+
+def test_what_is_gone_is_forgotten_in_time(spark, tmp_path):
+    """A late event finds a key gone, or after the time unknown; keys that are there stay, and the session keeps its settings."""
+    before = {name: spark.conf.get(name) for name in states._SETTINGS}
+    for name, forget, want in (("long", states.FORGET, {"b"}), ("short", 1, {"a", "b"})):
+        source, progress = str(tmp_path / name), str(tmp_path / f"{name}-progress")
+        table = Keyed(spark, str(tmp_path / f"{name}-states"), states.STATES, ["key"], buckets=2)
+        for events in ([("a", 5, "scan", "x"), ("a", 6, "gone", None), ("b", 7, "scan", "y")], [("a", 3, "scan", "x"), ("b", 4, "gone", None)]):
+            spark.createDataFrame(events, states.EVENTS).coalesce(1).write.mode("append").parquet(source)
+            states.streamed(spark.readStream.schema(states.EVENTS).parquet(source), table, progress, forget).awaitTermination()
+        assert {r.key for r in table.read().collect()} == want
+    assert {name: spark.conf.get(name) for name in states._SETTINGS} == before != states._SETTINGS
