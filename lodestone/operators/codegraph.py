@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, graph
+from lodestone.operators.batches import expanded
 from lodestone.operators.codelexer import code_of
 
 # The extensions that are read, those whose files may hold elements, words before a bracket that call nothing.
@@ -17,7 +17,8 @@ EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts")
 WITH_ELEMENTS = ("tsx", "js", "jsx")
 NOT_CALLED = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "import", "new", "constructor", "do", "else", "in", "of", "void", "delete", "yield", "throw", "case", "with")
 
-GRAPH = "nodes array<struct<path: string, name: string, kind: string, start_line: int, end_line: int>>, edges array<struct<path: string, target: string, relation: string>>"
+NODE = {"path": "string", "name": "string", "kind": "string", "start_line": "long", "end_line": "long"}
+EDGE = {"path": "string", "target": "string", "relation": "string"}
 
 _NAME = r"([A-Za-z_$][\w$]*)"
 _CLASS = re.compile(rf"\bclass\s+{_NAME}")
@@ -114,24 +115,26 @@ def graph_of(text: str | None, jsx: bool = False) -> tuple[list[dict], list[dict
     return list(nodes.values()), list(edges.values())
 
 
-def _graphs(texts: pd.Series, extensions: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([graph_of(text, e in WITH_ELEMENTS) for text, e in zip(texts, extensions, strict=True)], columns=["nodes", "edges"])
+def _nodes(text: str | None, extension: str) -> list[tuple]:
+    return [tuple(x[c] for c in NODE) for x in graph_of(text, extension in WITH_ELEMENTS)[0]]
+
+
+def _edges(text: str | None, extension: str) -> list[tuple]:
+    return [tuple(x[c] for c in EDGE) for x in graph_of(text, extension in WITH_ELEMENTS)[1]]
 
 
 def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, symbol_name, symbol_path, symbol_type, file_path, start_line, end_line) and edges (source_node_id, target_node_name,
     target_node_id, relationship_type) of files (project_path, file_path, text) whose extension is read; targets are left to ``graph.resolve``.
 
-    A file is a row of its own and needs no other: nothing is shuffled.
+    A file is a row of its own and needs no other: nothing is shuffled, and what it gives goes out in batches of a bounded size.
     """
     extension = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
-    rows = files.filter(extension.isin(*EXTENSIONS)).select("project_path", "file_path", F.pandas_udf(_graphs, GRAPH)("text", extension).alias("_g"))
+    rows = files.filter(extension.isin(*EXTENSIONS)).select("project_path", "file_path", "text", extension.alias("_ext"))
     ident = lambda path: F.sha2(F.concat_ws("|", "project_path", "file_path", path), 256)
     own = F.regexp_extract("file_path", r"([^/]*)$", 1)
-    n = rows.select("project_path", "file_path", F.explode("_g.nodes").alias("n")).select("project_path", "file_path", "n.*")
-    nodes = n.select(ident("path").alias("node_id"), F.when(F.col("kind") == "file", own).otherwise(F.col("name")).alias("symbol_name"), F.col("path").alias("symbol_path"), F.col("kind").alias("symbol_type"), "file_path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
-    e = rows.select("project_path", "file_path", F.explode("_g.edges").alias("e")).select("project_path", "file_path", "e.*")
-    edges = e.select(ident("path").alias("source_node_id"), F.col("target").alias("target_node_name"), F.lit(None).cast("string").alias("target_node_id"), F.col("relation").alias("relationship_type"))
+    nodes = expanded(rows, 2, _nodes, NODE).select(ident("path").alias("node_id"), F.when(F.col("kind") == "file", own).otherwise(F.col("name")).alias("symbol_name"), F.col("path").alias("symbol_path"), F.col("kind").alias("symbol_type"), "file_path", "start_line", "end_line")
+    edges = expanded(rows, 2, _edges, EDGE).select(ident("path").alias("source_node_id"), F.col("target").alias("target_node_name"), F.lit(None).cast("string").alias("target_node_id"), F.col("relation").alias("relationship_type"))
     return nodes, edges
 
 
