@@ -12,11 +12,12 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.batches import expanded
+
 # Void elements have no end; depth, text and rows that an outline keeps to.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAX_DEPTH, MAX_TEXT = 10, 500
@@ -25,6 +26,7 @@ _FIELDS = {
     "node_id": "int", "parent_id": "long", "prev_id": "long", "last_id": "int", "depth": "int", "tag": "string", "element_id": "string", "class": "string", "text": "string",
     "attributes": "map<string,string>", "outer_start": "int", "inner_start": "int", "inner_end": "int", "outer_end": "int",
 }
+_OUTLINE = {c: _FIELDS[c] for c in ("node_id", "parent_id", "depth", "tag", "element_id", "class", "text")}
 
 
 class _Node:
@@ -110,30 +112,17 @@ def outline(html: str | None, max_depth: int = MAX_DEPTH, max_text: int = MAX_TE
 
 def outlines(pages: DataFrame, key: str = "page_id", html: str = "html", max_depth: int = MAX_DEPTH, max_nodes: int = 0) -> DataFrame:
     """One row per element of each page; a page is one task's work, no shuffle."""
-    kind = pages.schema[key].dataType.simpleString()
-    names = [key, "node_id", "parent_id", "depth", "tag", "element_id", "class", "text"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, *x) for k, h in zip(batch[key], batch[html], strict=True) for x in outline(h, max_depth, max_nodes=max_nodes)]
-            yield pd.DataFrame(rows, columns=names).astype({"parent_id": "Int64"})
-
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, node_id int, parent_id long, depth int, tag string, element_id string, class string, text string")
+    return expanded(pages.select(key, html), 1, lambda source: outline(source, max_depth, max_nodes=max_nodes), _OUTLINE)
 
 
 def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """All elements of each page, with the interval of the elements inside, the sibling before, attributes, and where they stand in the source (characters)."""
-    kind = pages.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, h in zip(batch[key], batch[html], strict=True):
-                tree = _Tree(h or "")
-                rows += [(k, *tree.row(x, MAX_TEXT)) for x in tree.nodes]
-            yield pd.DataFrame(rows, columns=[key, *_FIELDS]).astype({"parent_id": "Int64", "prev_id": "Int64"})
+    def rows(source: str | None) -> Iterator[tuple]:
+        tree = _Tree(source or "")
+        return (tree.row(x, MAX_TEXT) for x in tree.nodes)
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} {t}" for n, t in _FIELDS.items()))
+    return expanded(pages.select(key, html), 1, rows, _FIELDS)
 
 
 # --- selectors ---------------------------------------------------------------
