@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from lodestone.operators import ivf
 from lodestone.operators.folder import Commits, Folder
 from lodestone.operators.retrieval import _dot
-from lodestone.operators.scratch import written
+from lodestone.operators.scratch import gathered, written
 
 ENTRIES, ROUNDS, BLOCK = 256, 12, 64
 # Parts of a vector, the first that divides it (of so many, or of this share of its length); vectors new after which an index is built again.
@@ -150,9 +150,13 @@ def candidates(indexed: DataFrame, quantiser: Quantiser, queries: list[list[floa
 
 
 def top_k(indexed: DataFrame, quantiser: Quantiser, queries: list[list[float]], k: int, refine: int = 20, probes: int | None = None) -> DataFrame:
-    """(q, rank, chunk_id, distance): for each query its k nearest of k * refine candidates, by exact cosine distance."""
-    spark, out = indexed.sparkSession, None
-    for i in range(0, len(queries), BLOCK):
+    """(q, rank, chunk_id, distance): for each query its k nearest of k * refine candidates, by exact cosine distance.
+
+    The answers of more than one block are written, so that no task holds the sorts of all.
+    """
+    spark = indexed.sparkSession
+
+    def answers(i: int) -> DataFrame:
         block = queries[i : i + BLOCK]
         found = written(candidates(indexed, quantiser, block, k * refine, probes), "candidates")
         asked = spark.createDataFrame([(q, [float(v) for v in x]) for q, x in enumerate(block)], "q int, _x array<double>")
@@ -160,9 +164,10 @@ def top_k(indexed: DataFrame, quantiser: Quantiser, queries: list[list[float]],
         norms = F.sqrt(_dot(F.col("vector"), F.col("vector"))) * F.sqrt(_dot(F.col("_x"), F.col("_x")))
         near = rows.select((F.col("q") + i).alias("q"), "chunk_id", F.round(1 - _dot(F.col("vector"), F.col("_x")) / F.nullif(norms, F.lit(0.0)), 6).alias("distance")).filter("distance is not null")
         rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "chunk_id"))
-        part = near.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "rank", "chunk_id", "distance")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "rank", "chunk_id", "distance")
+
+    blocks = range(0, len(queries), BLOCK)
+    return answers(0) if len(blocks) == 1 else gathered(map(answers, blocks), "nearest")
 
 
 class VectorIndex:

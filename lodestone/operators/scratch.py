@@ -1,8 +1,9 @@
-"""Tables written to the shared folder, to cut lineage."""
+"""Tables written to the shared folder, to cut lineage, and rows dealt out."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,18 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = place(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of few large partitions in four for each core, by columns if given: for work that costs a task far more than moving them."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
+
+
+def gathered(parts: Iterable[DataFrame], name: str) -> DataFrame | None:
+    """Tables of one schema, written one after another into one in the shared folder: what is read back is one scan, however many there are; None of none."""
+    path, out = None, None
+    for part in parts:
+        path = path or place(part.sparkSession, name)
+        part.write.mode("append").parquet(path)
+        out = part
+    return out.sparkSession.read.schema(out.schema).parquet(path) if out is not None else None

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import ivf, pq
-from lodestone.operators.scratch import place
+from lodestone.operators.scratch import gathered, place
 from lodestone.plans.base import Registry, table
 from lodestone.plans.inputs import QUERY_VECTOR, VECTORS_SQL, vectors
 from lodestone.streaming import drain
@@ -46,17 +48,12 @@ def k12_pq_neighbors(spark, sf_dir):
     index = pq.VectorIndex(spark, place(spark, "vectors"))
     index.build(rows)
     asked = rows.filter("cast(chunk_id as long) % 50 = 0").orderBy(F.col("chunk_id").cast("long")).select("chunk_id", "vector")
-    found = None
-    block: list = []
-
-    def answered(block):
-        names = spark.createDataFrame([(q, r["chunk_id"]) for q, r in enumerate(block)], "q int, query_id string")
-        return index.top_k([list(r["vector"]) for r in block], 10).join(F.broadcast(names), "q").select("query_id", "rank", "chunk_id", "distance")
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == 50 * pq.BLOCK:
-            found, block = answered(block) if found is None else found.unionByName(answered(block)), []
-    if block:
-        found = answered(block) if found is None else found.unionByName(answered(block))
+
+    def answers():
+        rows = asked.toLocalIterator()
+        while block := list(islice(rows, pq.BLOCK)):
+            names = spark.createDataFrame([(q, r["chunk_id"]) for q, r in enumerate(block)], "q int, query_id string")
+            yield index.top_k([list(r["vector"]) for r in block], 10).join(F.broadcast(names), "q").select("query_id", "rank", "chunk_id", "distance")
+
+    found = gathered(answers(), "neighbors")
     return found if found is not None else spark.createDataFrame([], "query_id string, rank int, chunk_id string, distance double")
