@@ -58,7 +58,7 @@ def identifiers_of(query: Column) -> Column:
 def keywords_of(query: Column) -> Column:
     """``keywords`` of a column of queries."""
     keep = F.transform(identifiers_of(query), lambda x: F.lower(x))
-    return F.filter(terms_of(query), lambda x: ~x.isin(*sorted(STOP_WORDS)) | F.array_contains(keep, x))
+    return F.array_except(terms_of(query), F.array_except(F.array(*map(F.lit, sorted(STOP_WORDS))), keep))
 
 
 def tokens(text: Column) -> Column:

@@ -9,6 +9,7 @@ from lodestone.functions import text as t
 from lodestone.operators import context, incremental
 from lodestone.operators import retrieval as r
 from lodestone.plans import retrieval as plans
+from lodestone.operators.scratch import spread
 from lodestone.plans.base import Registry, table
 from lodestone.plans.inputs import CHUNKS_SQL, LINES_SQL, NOW_NS, chunks, turns, vectors
 from lodestone.sources import config
@@ -62,7 +63,7 @@ _ASKED = "SELECT p_partkey, 'the getPart' || p_size || ' of ' || p_name || ' Par
 def _asked(spark, sf_dir):
     k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     parts = [F.lit("the getPart"), n, F.lit(" of "), F.col("p_name"), F.lit(" PartTable_"), k, F.lit(" a.b"), n, F.lit(".c ABC-"), n, F.lit(" v1."), n, F.lit(' "is it" is')]
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(*parts).alias("q"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")).select("p_partkey", F.concat(*parts).alias("q"))
 
 
 _FOUND = " || ".join(f"regexp_extract_all(q, '{p}')" for p in t.IDENTIFIERS)
