@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import html as h
 from lodestone.functions import text as t
 from lodestone.operators import chunking as ch
+from lodestone.operators.scratch import spread
 from lodestone.plans.base import Registry, table
 from lodestone.plans.inputs import CHUNKS_SQL, chunks
 from lodestone.sources import files
@@ -174,7 +175,7 @@ def s16_listing(spark, sf_dir):
 def _php(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("<?php\nfinal class C"), k, F.lit(" {\n  public static function run"), k, F.lit("() {}\n}\ninterface I"), k, F.lit(" {}\nfunction m"), k, F.lit("_form_alter(&$x) {}\nfunction other() {}"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), F.concat(F.lit("modules/m"), k, F.lit(".module")).alias("file_path"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", text.alias("text"), F.concat(F.lit("modules/m"), k, F.lit(".module")).alias("file_path"))
 
 
 @R.add("v7_php_symbols", "SELECT p_partkey, unnest([2, 3, 5, 6, 7]::BIGINT[]) AS line, unnest(['class', 'function', 'interface', 'function', 'function']) AS kind, unnest(['C' || p_partkey, 'run' || p_partkey, 'I' || p_partkey, 'm' || p_partkey || '_form_alter', 'other']) AS name FROM part")
