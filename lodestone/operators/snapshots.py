@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.scratch import spread
+
 
 def risk(name: Column, changed: Column) -> Column:
     """How risky a change of an object is, by its name and changed keys."""
@@ -34,13 +36,18 @@ def drift(diffed: DataFrame, prefix: str = "") -> DataFrame:
     return diffed.filter(F.col("name").startswith(prefix) & (F.col("status") != "identical"))
 
 
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct (name, required_by), dealt out before they are compared: few are equal, so a task that combined them first would hold all of its share of the input."""
+    return spread(pairs, "name", "required_by").distinct()
+
+
 def dependents(objects: DataFrame, depth: int = 1) -> DataFrame:
     """(name, required_by, depth) from objects (name, depends_on array<string>): who needs an object, directly or over others."""
-    direct = objects.select(F.explode("depends_on").alias("name"), F.col("name").alias("required_by")).distinct()
+    direct = _distinct_pairs(objects.select(F.explode("depends_on").alias("name"), F.col("name").alias("required_by")))
     out, level = direct.withColumn("depth", F.lit(1)), direct
     for d in range(2, depth + 1):
-        step = level.select("name", F.col("required_by").alias("_via")).join(direct.select(F.col("name").alias("_via"), "required_by"), "_via").select("name", "required_by").distinct()
-        level = step.join(out, ["name", "required_by"], "left_anti")
+        step = level.select("name", F.col("required_by").alias("_via")).join(direct.select(F.col("name").alias("_via"), "required_by"), "_via").select("name", "required_by")
+        level = _distinct_pairs(step).join(out, ["name", "required_by"], "left_anti")
         out = out.unionByName(level.withColumn("depth", F.lit(d)))
     return out
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import incremental as inc
 from lodestone.operators import ops, runs, snapshots
 from lodestone.functions import dates
+from lodestone.operators.scratch import spread
 from lodestone.plans.base import Registry, table
 
 R = Registry()
@@ -145,7 +146,7 @@ def _objects(spark, sf_dir):
     own = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     a = items.select(own("supp", "l_suppkey").alias("name"), own("part", "l_partkey").alias("d"))
     b = supplier.select(own("nation", "s_nationkey").alias("name"), own("supp", "s_suppkey").alias("d"))
-    return a.unionByName(b).groupBy("name").agg(F.collect_set("d").alias("depends_on"))
+    return spread(a.unionByName(b), "name").groupBy("name").agg(F.collect_set("d").alias("depends_on"))
 
 
 @R.add("n17_dependents", f"WITH {_NEEDS_SQL}, twice AS (SELECT DISTINCT a.name, b.required_by FROM needs a JOIN needs b ON b.name = a.required_by) SELECT name, required_by, 1::INTEGER AS depth FROM needs UNION ALL SELECT name, required_by, 2 FROM twice WHERE (name, required_by) NOT IN (SELECT (name, required_by) FROM needs)")
@@ -156,7 +157,7 @@ def n17_dependents(spark, sf_dir):
 @R.add("a12_impact", f"WITH {_SNAP_SQL}, many AS (SELECT {_NAME.format(k='l_partkey')} AS name, count(DISTINCT l_suppkey) AS dependents FROM lineitem GROUP BY l_partkey) SELECT name, status, risk_level, coalesce(dependents, 0) AS dependents, list_filter([CASE WHEN starts_with(name, 'field.') THEN 'data_schema' END, CASE WHEN starts_with(name, 'views.view.') THEN 'ui_display' END, CASE WHEN starts_with(name, 'core.extension') THEN 'module_lifecycle' END], lambda x: x IS NOT NULL) AS touched_domains, list_filter([CASE WHEN risk_level = 'high' THEN 'backup' END, CASE WHEN coalesce(dependents, 0) > 0 THEN 'verify dependents' END], lambda x: x IS NOT NULL) AS followups FROM rated LEFT JOIN many USING (name) WHERE status <> 'identical'")
 def a12_impact(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(_name(F.col("l_partkey")).alias("d"), F.col("l_suppkey").cast("string").alias("name"))
-    needed = snapshots.dependents(items.groupBy("name").agg(F.collect_set("d").alias("depends_on")))
+    needed = snapshots.dependents(spread(items, "name").groupBy("name").agg(F.collect_set("d").alias("depends_on")))
     return snapshots.impact(snapshots.diff(*_snapshots(spark, sf_dir)), needed)
 
 
