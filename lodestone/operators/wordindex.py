@@ -17,23 +17,88 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions import text as t
+from lodestone.operators.batches import bound
 from lodestone.operators.folder import Commits, Folder
 from lodestone.operators.retrieval import K1, B
 
 SEGMENTS = 8
 #: Postings that a folder of a segment holds about, folders of a segment at most, and chunks of a range.
 FOLDER_POSTINGS, FOLDERS, RANGE = 2_000_000, 1024, 128
+#: Postings that a task of a write sorts about, and bytes of a text that are cut into words at a time.
+TASK_POSTINGS, PIECE = 500_000, 1 << 20
 #: Ranges that a top-k scores first.
 FIRST = 32
 
 
+#: What stands between words becomes a blank: every byte but those of ``[a-z0-9_.]``, so all of a character beyond ASCII.
+_WORDS = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789_." else 32 for b in range(256))
+_BLOCK = "bucket int, term string, range long, size int, most long, least long, ids array<string>, tfs array<long>, ns array<long>"
+
+
+def _occurrences(text: bytes) -> Counter:
+    """How often each word stands in a lower-cased text; the words are those of ``text.tokens``."""
+    words, found, start = text.translate(_WORDS), Counter(), 0
+    while start < len(words):
+        end = words.find(b" ", start + PIECE)
+        end = len(words) if end < 0 else end
+        found.update(words[start:end].split())
+        start = end
+    return found
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, n, p) of (chunk_id, lower-cased text): the number of words, and each word with its number."""
+    for batch in batches:
+        terms, tfs, ends, ns = [], [], [0], []
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
+            found = _occurrences(text)
+            terms.extend(found)
+            tfs.extend(found.values())
+            ends.append(len(terms))
+            ns.append(found.total())
+        pairs = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())], ["term", "tf"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["chunk_id", "n", "p"])
+
+
+def _block(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """A block of each run of rows."""
+    ends = np.append(starts, len(rows))
+    tf, n = rows["tf"].to_numpy(), rows["n"].to_numpy()
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows[c]) for c in ("chunk_id", "tf", "n")]
+    keys = [rows[c].take(pa.array(starts)) for c in ("bucket", "term", "range")]
+    numbers = [pa.array(np.diff(ends), pa.int32()), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(n, starts))]
+    return pa.RecordBatch.from_arrays([*keys, *numbers, *lists], names=["bucket", "term", "range", "size", "most", "least", "ids", "tfs", "ns"])
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings that come in the order of term and range; the last run of a batch waits for the next batch."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        new = [pc.not_equal(batch[c].slice(1), batch[c].slice(0, len(batch) - 1)) for c in ("term", "range")]
+        starts = np.append(0, 1 + np.flatnonzero(pc.or_(*new).to_numpy(zero_copy_only=False)))
+        rest = batch.slice(starts[-1])
+        if len(starts) > 1:
+            yield _block(batch.slice(0, starts[-1]), starts[:-1])
+    if rest is not None:
+        yield _block(rest, np.array([0]))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -67,7 +132,7 @@ class WordIndex:
     def _postings(self, segment: dict) -> DataFrame:
         """All blocks of a segment; one without words has no file that would tell their columns."""
         if not segment["words"]:
-            return self.spark.createDataFrame([], "term string, range long, size int, most long, least long, ids array<string>, tfs array<long>, ns array<long>, bucket int")
+            return self.spark.createDataFrame([], _BLOCK)
         return self.spark.read.parquet(f"{self.path}/segment={segment['id']}/postings")
 
     def _blocks(self, state: dict, words: list[str]) -> DataFrame:
@@ -79,8 +144,19 @@ class WordIndex:
             parts.append(rows.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*words)).drop("bucket").withColumn("segment", F.lit(s["id"])))
         return _union(parts)
 
+    def _count(self, put: DataFrame, path: str) -> DataFrame:
+        """(chunk_id, n, p) of chunks (chunk_id, text), written: the number of words, and each word with its number."""
+        bound(self.spark)
+        rows = put.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+        schema = StructType([rows.schema["chunk_id"], *StructType.fromDDL("n long, p array<struct<term: string, tf: long>>").fields])
+        rows.mapInArrow(_counted, schema).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
     def _write(self, docs: DataFrame, postings: DataFrame, n: int) -> dict:
-        """A segment of docs (chunk_id, n) and postings (chunk_id, term, tf, n); its entry in the state."""
+        """A segment of docs (chunk_id, n) and postings (chunk_id, term, tf, n); its entry in the state.
+
+        Postings are shuffled once, to tasks that hold a share of the ranges of one folder, and sorted there.
+        """
         docs.write.mode("overwrite").parquet(f"{self.path}/segment={n}/docs")
         stored = self.spark.read.parquet(f"{self.path}/segment={n}/docs")
         chunks, total = stored.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -89,9 +165,12 @@ class WordIndex:
         share = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, chunks // (10 * RANGE))))
         place = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double")) * 2) * F.lit(1 << 40) + share
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(folders)).cast("int")
-        rows = postings.withColumn("range", place).groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "n"))).alias("p"))
-        cut = rows.select(bucket.alias("bucket"), "term", "range", F.size("p").alias("size"), F.array_max("p.tf").alias("most"), F.array_min("p.n").alias("least"), F.col("p.chunk_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("ns"))
-        cut.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={n}/postings")
+        slots = max(1, -(-total // (TASK_POSTINGS * folders)))
+        rows = postings.select(bucket.alias("bucket"), "term", place.alias("range"), "chunk_id", "tf", "n")
+        task = F.col("bucket") * slots + F.pmod(F.xxhash64("range"), F.lit(slots)).cast("int")
+        bound(self.spark)
+        cut = rows.repartitionById(folders * slots, task).sortWithinPartitions("term", "range", "chunk_id").mapInArrow(_blocked, _BLOCK)
+        cut.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={n}/postings")
         return {"id": n, "folders": folders, "chunks": chunks, "words": total}
 
     # --- changes ---
@@ -99,17 +178,16 @@ class WordIndex:
     def change(self, put: DataFrame | None = None, gone: DataFrame | None = None) -> int:
         """Takes chunks in (chunk_id, text; ids distinct), over those of the same id, and forgets others (chunk_id); the commit's number.
 
-        Texts are read for their lengths and for their words, which are counted before they are shuffled.
+        Texts are read once: the words of each are counted and written, and lengths and postings come from there.
         """
         before, state = self.commits.last()
         state = state or {"segments": [], "dead": [], "chunks": 0, "words": 0}
         n = before + 1
         out = {"segments": list(state["segments"]), "dead": list(state["dead"]), "chunks": state["chunks"], "words": state["words"]}
         if put is not None:
-            tokens = F.coalesce(t.tokens(F.col("text")), F.array().cast("array<string>"))
-            rows = put.select("chunk_id", tokens.alias("_t"), F.size(tokens).cast("long").alias("n"))
-            postings = rows.select("chunk_id", "n", F.explode("_t").alias("term")).groupBy("chunk_id", "n", "term").agg(F.count("*").alias("tf"))
-            made = self._write(rows.select("chunk_id", "n"), postings, n)
+            rows = self._count(put, f"{self.path}/segment={n}/counted")
+            made = self._write(rows.select("chunk_id", "n"), rows.select("chunk_id", "n", F.inline("p")), n)
+            self.folder.delete(f"segment={n}/counted")
             out["segments"] += [made] if made["chunks"] else []
             out["chunks"] += made["chunks"]
             out["words"] += made["words"]
