@@ -9,8 +9,10 @@ which an element's text and markup are slices.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +20,9 @@ from pyspark.sql.window import Window
 
 from lodestone.operators.batches import expanded
 
-# Void elements have no end; depth, text and rows that an outline keeps to.
+# Void elements have no end; an outline goes to any depth unless it is asked for less; text of an element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAX_DEPTH, MAX_TEXT = 10, 500
+MAX_DEPTH, MAX_TEXT = sys.maxsize, 500
 
 _FIELDS = {
     "node_id": "int", "parent_id": "long", "prev_id": "long", "last_id": "int", "depth": "int", "tag": "string", "element_id": "string", "class": "string", "text": "string",
@@ -103,16 +105,22 @@ class _Tree(HTMLParser):
         return (x.number, x.parent, x.prev, x.last, x.depth, x.tag, own.get("id"), own.get("class"), self.preview(x, most), {k: v or "" for k, v in own.items()}, x.outer_start, x.inner_start, x.inner_end, x.outer_end)
 
 
+def _outlined(html: str | None, max_depth: int, max_text: int, max_nodes: int) -> Iterator[tuple]:
+    """The rows of an outline one by one: the texts of elements in one another are together many times the page."""
+    tree = _Tree(html or "")
+    found = (x for x in tree.nodes if x.depth <= max_depth)
+    for x in islice(found, max_nodes or None):
+        yield (x.number, x.parent, x.depth, x.tag, x.attributes.get("id"), x.attributes.get("class"), tree.preview(x, max_text))
+
+
 def outline(html: str | None, max_depth: int = MAX_DEPTH, max_text: int = MAX_TEXT, max_nodes: int = 0) -> list[tuple]:
     """(node_id, parent_id, depth, tag, element_id, class, text): the first max_nodes elements (0: all) down to max_depth, in document order, each with the text inside it."""
-    tree = _Tree(html or "")
-    found = [x for x in tree.nodes if x.depth <= max_depth]
-    return [(x.number, x.parent, x.depth, x.tag, x.attributes.get("id"), x.attributes.get("class"), tree.preview(x, max_text)) for x in found[: max_nodes or None]]
+    return list(_outlined(html, max_depth, max_text, max_nodes))
 
 
 def outlines(pages: DataFrame, key: str = "page_id", html: str = "html", max_depth: int = MAX_DEPTH, max_nodes: int = 0) -> DataFrame:
     """One row per element of each page; a page is one task's work, no shuffle."""
-    return expanded(pages.select(key, html), 1, lambda source: outline(source, max_depth, max_nodes=max_nodes), _OUTLINE)
+    return expanded(pages.select(key, html), 1, lambda source: _outlined(source, max_depth, MAX_TEXT, max_nodes), _OUTLINE)
 
 
 def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -173,6 +173,22 @@ def test_queries_on_the_given_pages(spark):
     assert {r.page_id: (r.nodes, r.depth) for r in run("a16_dom_nodes")} == {k: (sum(d <= html.MAX_DEPTH for _, d in seen), max(d for _, d in seen if d <= html.MAX_DEPTH)) for k, seen in loops.items()}
 
 
+def test_elements_at_any_depth(spark, tmp_path):
+    """Paragraphs that aren't closed lie in one another: none is left out of an outline or of the counts, unless a depth is asked for."""
+    from lodestone import catalog
+
+    sources = {1: "<p>a" * 40, 2: "<div>" * 11 + "<b>c</b><br>" * 3, 3: "<i>x</i>" * 5, 4: "<ul><li>" * 5000}
+    spark.createDataFrame(list(sources.items()), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name, folder: catalog.queries()[name](spark, str(folder)).collect()
+    assert {r.page_id: (r.nodes, r.depth) for r in run("a16_dom_nodes", tmp_path)} == {1: (40, 39), 2: (17, 11), 3: (5, 0), 4: (10000, 9999)}
+    assert {(r.page_id, r.node_id): (r.tag, r.depth) for r in run("html_outline", tmp_path)} == {(k, n): x for k, source in sources.items() for n, x in enumerate(_Loop(source).seen)}
+    assert [x[2] for x in html.outline(sources[1], max_depth=10)] == list(range(11))
+    given = "/root/testdata/sf0.001"
+    loops = {r.page_id: _Loop(r.html or "").seen for r in spark.read.parquet(f"{given}/pages.parquet").collect()}
+    got = {r.page_id: (r.nodes, r.depth) for r in run("a16_dom_nodes", given)}
+    assert got == {k: (len(seen), max(d for _, d in seen)) for k, seen in loops.items()} and max(d for _, d in got.values()) > 10
+
+
 @pytest.mark.parametrize("selector", ["", ",", "p >", "> p", "p..x", "[", "p[", "a:hover", "p,"])
 def test_what_is_no_selector(selector):
     if selector == "p,":
